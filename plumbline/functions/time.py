@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,16 @@ def env(name: str) -> str:
     return os.environ[name]
 
 
+def utc(moment: datetime) -> datetime:
+    """The moment with its zone; one without a zone is taken as UTC."""
+    return moment.replace(tzinfo=UTC) if moment.tzinfo is None else moment.astimezone(UTC)
+
+
+def moment(as_of: datetime | None) -> Column:
+    """``as_of`` as a timestamp column, the current time when not given."""
+    return F.lit(f"{utc(as_of):%Y-%m-%d %H:%M:%S.%f}+00:00").cast("timestamp") if as_of else F.current_timestamp()
+
+
 def _unit_factor(unit: Column) -> Column:
     factor = F.lit(None).cast("double")
     for letter, seconds in UNIT_SECONDS.items():
@@ -83,7 +93,7 @@ def register_functions(spark: SparkSession, as_of: datetime | None = None) -> No
     They are SQL functions, so Catalyst inlines them; no Python runs per row.
     ``age`` measures from ``as_of``, or from the current time when not given.
     """
-    now = f"TIMESTAMP '{as_of:%Y-%m-%d %H:%M:%S.%f}'" if as_of else "current_timestamp()"
+    now = f"TIMESTAMP '{utc(as_of):%Y-%m-%d %H:%M:%S.%f}+00:00'" if as_of else "current_timestamp()"
     spark.sql("""
         CREATE OR REPLACE TEMPORARY FUNCTION duration(t STRING) RETURNS DOUBLE
         RETURN cast(left(t, length(t) - 1) AS DOUBLE) * CASE right(t, 1)

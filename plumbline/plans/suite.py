@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from plumbline.functions.lineage import materialise
 from plumbline.functions.normalise import unsupported_column
 from plumbline.functions.text import debug_list, quote
-from plumbline.functions.time import register_functions
+from plumbline.functions.time import register_functions, utc
 from plumbline.model import ERROR, FAIL, WARN, Check, Suite
 from plumbline.plans.rules import compile_rules, measure, missing_columns, outlier_inputs
 from plumbline.plans.thresholds import add_rows, first_row, needs, sample_array, tier_verdict
@@ -197,7 +197,7 @@ def run_suite(
     spark: SparkSession, suite: Suite, as_of: datetime | None = None, threads: int = 8
 ) -> DataFrame:
     """All results, one row per check, in suite order (column ``ord``)."""
-    run_at = as_of or datetime.now(UTC)
+    run_at = utc(as_of or datetime.now(UTC))
     rows = [
         (i, check.name, check.on, out.status, out.detail, out.sample, run_at)
         for i, (check, out) in enumerate(run_checks(spark, suite, as_of, threads))

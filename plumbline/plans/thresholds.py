@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import column, row_json
-from plumbline.functions.time import register_functions
+from plumbline.functions.time import moment, register_functions
 from plumbline.model import ERROR, FAIL, PASS, SAMPLE_ROWS, WARN, Check
 
 _QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"")
@@ -89,8 +89,7 @@ def add_rows(
         head = first_rows(df, SAMPLE_ROWS, order_by).select(keys, F.struct(*map(column, df.columns)).alias("r"))
         rows = F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda s: s.getField("r"))
         parts.append(head.agg(rows.alias("s")).scalar().alias("sample"))
-    now = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
-    return ctx.withColumn("rows", F.struct(*parts)).withColumn("as_of", now)
+    return ctx.withColumn("rows", F.struct(*parts)).withColumn("as_of", moment(as_of))
 
 
 def needs(check: Check) -> tuple[bool, bool]:

@@ -9,9 +9,12 @@ from plumbline.plans.results import report_json, report_yaml
 
 
 def append_results(results: DataFrame, path: str) -> None:
-    """Add a run to the history, partitioned by run date so reads can prune."""
+    """Add runs to the history, partitioned by run date so reads can prune.
+
+    Rebalancing keeps files few, and splits a date that holds most of the rows.
+    """
     dated = results.withColumn("run_date", F.to_date("run_at"))
-    dated.repartition("run_date").write.mode("append").partitionBy("run_date").parquet(path)
+    dated.hint("rebalance", "run_date").write.mode("append").partitionBy("run_date").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

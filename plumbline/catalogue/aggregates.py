@@ -36,9 +36,9 @@ def agg_recent_volume(t: Tables) -> DataFrame:
     return ops.row_count(t.events.where(ops.since(F.col("ts"), now(), "36 HOURS")))
 
 
-@query("agg_freshness", f"SELECT round(epoch({NOW}) - epoch(max(ts)), 3) AS age FROM events WHERE event_type = 'purchase'")
+@query("agg_freshness", f"SELECT (epoch_us({NOW}) - epoch_us(max(ts))) / 1000000 AS age FROM events WHERE event_type = 'purchase'")
 def agg_freshness(t: Tables) -> DataFrame:
-    return ops.freshness(t.events.where("event_type = 'purchase'"), "ts", now()).select(F.round("age", 3).alias("age"))
+    return ops.freshness(t.events.where("event_type = 'purchase'"), "ts", now())
 
 
 @query(
@@ -49,10 +49,10 @@ def agg_group_freshness(t: Tables) -> DataFrame:
     return ops.group_freshness(t.events, "user_id", "ts", now(), "6 HOURS")
 
 
-@query("agg_oldest_pending", f"SELECT round(coalesce(epoch({NOW}) - epoch(min(ts)), 0), 3) AS age FROM events WHERE event_type = 'error' AND value > 200")
+@query("agg_oldest_pending", f"SELECT coalesce((epoch_us({NOW}) - epoch_us(min(ts))) / 1000000, 0) AS age FROM events WHERE event_type = 'error' AND value > 200")
 def agg_oldest_pending(t: Tables) -> DataFrame:
     pending = (F.col("event_type") == "error") & (F.col("value") > 200)
-    return ops.oldest_pending(t.events, pending, "ts", now()).select(F.round("age", 3).alias("age"))
+    return ops.oldest_pending(t.events, pending, "ts", now())
 
 
 @query("agg_failure_rate", "SELECT round(count(*) FILTER (WHERE event_type = 'error')::DOUBLE / nullif(count(*), 0), 6) AS rate FROM events")

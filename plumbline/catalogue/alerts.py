@@ -1 +1,140 @@
-"""Placeholder."""
+"""Results history, streaks and alerts.
+
+The history is derived from the events: a check per event type, a run per
+hour, failing while the hour's mean value is above 60.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.catalogue.registry import EVENTS_AS_OF, Tables, at, query, sql_at
+from plumbline.functions.lineage import fresh_dir
+from plumbline.functions.time import seconds_between
+from plumbline.plans import alerts
+from plumbline.plans.results import results_latest as newest_results
+from plumbline.sources.sinks import append_results, read_results
+
+NOW = sql_at(EVENTS_AS_OF)
+SUSTAINED = 7200
+
+HISTORY_SQL = """
+    SELECT event_type AS "check", date_trunc('hour', ts) AS run_at, CASE WHEN avg(value) > 60 THEN 'FAIL' ELSE 'PASS' END AS status,
+           count(*) || ' row(s)' AS detail FROM events GROUP BY ALL"""
+
+STREAK_SQL = f"""
+    SELECT *, CASE WHEN failing THEN min(CASE WHEN failing THEN run_at END) OVER (PARTITION BY "check", island) END AS since,
+           NOT failing AND coalesce(lag(failing) OVER (PARTITION BY "check" ORDER BY run_at), false) AS recovered
+    FROM (SELECT *, status IN ('FAIL', 'ERROR') AS failing,
+                 count(*) FILTER (WHERE status NOT IN ('FAIL', 'ERROR')) OVER (PARTITION BY "check" ORDER BY run_at) AS island FROM ({HISTORY_SQL}))"""
+
+# Checks routed to one target; the others go to every target.
+SUITE_SQL = f"""
+    SELECT DISTINCT event_type AS "check", {SUSTAINED} AS sustained_secs,
+           CASE WHEN event_type IN ('error', 'purchase') THEN 'ops' END AS on_fail FROM events"""
+
+EVENT_SQL = f"""
+    SELECT s."check", s.run_at, CASE WHEN s.recovered THEN 'RECOVERED' ELSE s.status END AS status, s.detail, s.since, c.on_fail
+    FROM ({STREAK_SQL}) s JOIN ({SUITE_SQL}) c ON c."check" = s."check"
+    WHERE s.recovered OR (s.failing AND epoch(s.run_at) - epoch(s.since) >= c.sustained_secs)"""
+
+
+def history(t: Tables) -> DataFrame:
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    hourly = t.events.groupBy(F.col("event_type").alias("check"), hour.alias("run_at"))
+    return hourly.agg(F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n")).select(
+        "check", "run_at", F.when(F.col("mean_value") > 60, "FAIL").otherwise("PASS").alias("status"),
+        F.concat(F.col("n").cast("string"), F.lit(" row(s)")).alias("detail"),
+    )
+
+
+def suite(t: Tables) -> DataFrame:
+    kinds = t.events.select(F.col("event_type").alias("check")).distinct()
+    return kinds.select(
+        "check", F.lit(SUSTAINED).cast("bigint").alias("sustained_secs"),
+        F.when(F.col("check").isin("error", "purchase"), "ops").alias("on_fail"), F.lit(3600).cast("bigint").alias("every_secs"),
+    )
+
+
+@query(
+    "alert_should_notify",
+    f"""SELECT "check", run_at, failing AND epoch(run_at) - epoch(since) >= {SUSTAINED} AS gated, failing AS ungated,
+               failing AND NULL IS NOT NULL AS unknown FROM ({STREAK_SQL})""",
+)
+def alert_should_notify(t: Tables) -> DataFrame:
+    rows = alerts.streaks(history(t))
+    held, failing = seconds_between(F.col("since"), F.col("run_at")), F.col("failing")
+    none = F.lit(None).cast("double")
+    return rows.select(
+        "check", "run_at",
+        F.coalesce(alerts.should_notify(failing, F.lit(SUSTAINED), F.lit(0), held), F.lit(False)).alias("gated"),
+        alerts.should_notify(failing, none, F.lit(0), held).alias("ungated"),
+        alerts.should_notify(failing, F.lit(SUSTAINED), none, held).alias("unknown"),
+    )
+
+
+@query("alert_failing_since", f"SELECT \"check\", run_at, since FROM ({STREAK_SQL}) WHERE failing")
+def alert_failing_since(t: Tables) -> DataFrame:
+    return alerts.streaks(history(t)).where("failing").select("check", "run_at", "since")
+
+
+@query("alert_recovered", f"SELECT \"check\", run_at FROM ({STREAK_SQL}) WHERE recovered")
+def alert_recovered(t: Tables) -> DataFrame:
+    return alerts.streaks(history(t)).where("recovered").select("check", "run_at")
+
+
+@query("alert_events", EVENT_SQL)
+def alert_events(t: Tables) -> DataFrame:
+    return alerts.alert_events(history(t), suite(t))
+
+
+@query(
+    "alert_routing",
+    f"""SELECT e."check", e.run_at, e.status, t.target FROM ({EVENT_SQL}) e JOIN (VALUES ('ops'), ('audit')) t(target)
+        ON e.on_fail IS NULL OR e.on_fail = t.target""",
+)
+def alert_routing(t: Tables) -> DataFrame:
+    targets = t.spark.createDataFrame([("ops",), ("audit",)], "target string")
+    return alerts.route(alerts.alert_events(history(t), suite(t)), targets).select("check", "run_at", "status", "target")
+
+
+@query(
+    "alert_payload",
+    f"""SELECT "check", run_at, '{{"text":"' || CASE status WHEN 'RECOVERED' THEN ':white_check_mark:' ELSE ':red_circle:' END || ' ' || "check" || ' '
+               || status || ': ' || detail || '","check":"' || "check" || '","status":"' || status || '","detail":"' || detail || '"}}' AS payload
+        FROM ({EVENT_SQL})""",
+)
+def alert_payload(t: Tables) -> DataFrame:
+    return alerts.payload(alerts.alert_events(history(t), suite(t))).select("check", "run_at", "payload")
+
+
+@query(
+    "cadence_due",
+    f"""SELECT c."check", h.last_run, coalesce(epoch({NOW}) - epoch(h.last_run) >= 3600, true) AS due,
+               round(greatest(epoch({NOW}) - epoch(h.last_run) - 3600, 0), 3) AS overdue_secs
+        FROM ({SUITE_SQL}) c LEFT JOIN (SELECT "check", max(run_at) AS last_run FROM ({HISTORY_SQL})
+             WHERE run_at <= {NOW} AND (status = 'FAIL' OR "check" = 'view') AND "check" <> 'click' GROUP BY "check") h ON h."check" = c."check\"""",
+)
+def cadence_due(t: Tables) -> DataFrame:
+    now = at(EVENTS_AS_OF)
+    kept = ((F.col("status") == "FAIL") | (F.col("check") == "view")) & (F.col("check") != "click")
+    seen = history(t).where((F.col("run_at") <= now) & kept)
+    return alerts.cadence(suite(t), seen, now).select("check", "last_run", "due", F.round("overdue_secs", 3).alias("overdue_secs"))
+
+
+@query("results_latest", f"SELECT \"check\", max(run_at) AS run_at, arg_max(status, run_at) AS status FROM ({HISTORY_SQL}) GROUP BY \"check\"")
+def results_latest(t: Tables) -> DataFrame:
+    return newest_results(history(t)).select("check", "run_at", "status")
+
+
+@query(
+    "results_history",
+    f"""SELECT run_at::DATE AS run_date, status, count(*) AS n FROM ({HISTORY_SQL})
+        WHERE run_at >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY ALL""",
+)
+def results_history(t: Tables) -> DataFrame:
+    path = fresh_dir(t.spark, "results")
+    append_results(history(t), path)
+    recent = read_results(t.spark, path).where("run_date >= DATE '2024-01-10'")
+    return recent.groupBy("run_date", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,123 @@
-"""Placeholder."""
+"""Checks over the events as a stream, run over what is available now."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from plumbline.catalogue.alerts import EVENT_SQL, history, suite
+from plumbline.catalogue.registry import Tables, query
+from plumbline.functions.lineage import fresh_dir
+from plumbline.model import ColumnRule
+from plumbline.streaming import jobs
+from plumbline.streaming.alerts import read_events, sustained_alerts
+
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+RULES = [
+    ColumnRule("value", range=(0, 150)), ColumnRule("event_type", allowed=["click", "view", "signup", "purchase"]),
+    ColumnRule("user_id", not_null=True),
+]
+
+
+def events(t: Tables) -> DataFrame:
+    return jobs.read_stream(t.spark, f"{t.root}/event[s].parquet", EVENT_SCHEMA, "ts")
+
+
+def finish(run: StreamingQuery) -> None:
+    """Wait for an available-now run to end; its failure is raised here."""
+    run.awaitTermination()
+
+
+def table(t: Tables, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream into a Parquet table and read it back."""
+    path = fresh_dir(t.spark, name)
+    finish(jobs.write_table(stream, f"{path}/data", f"{path}/checkpoint"))
+    return t.spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
+def zoneless(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
+
+
+@query(
+    "stream_validate",
+    """SELECT 'events_ok' AS "check", CASE WHEN v + a > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
+              CASE WHEN v + a = 0 THEN n || ' row(s), all rules passed' ELSE concat_ws('; ',
+                  CASE WHEN v > 0 THEN 'column "value": range=[0,150]: ' || v || ' value(s) out of range' END,
+                  CASE WHEN a > 0 THEN 'column "event_type": allowed: ' || a || ' value(s) not in allowed set ["click", "view", "signup", "purchase"]' END)
+              END AS detail
+       FROM (SELECT count(*) AS n, count(*) FILTER (WHERE value < 0 OR value > 150) AS v,
+                    count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'signup', 'purchase')) AS a FROM events)""",
+)
+def stream_validate(t: Tables) -> DataFrame:
+    path = fresh_dir(t.spark, "stream-validate")
+    finish(jobs.validate_stream(events(t), RULES, "events_ok", f"{path}/data", f"{path}/checkpoint", ["event_id"]))
+    return t.spark.read.parquet(f"{path}/data").select("check", "status", "detail")
+
+
+@query(
+    "stream_window_rules",
+    """SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, count(*) AS n_rows, count(*) FILTER (WHERE value < 0 OR value > 150) AS value_range,
+              count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'signup', 'purchase')) AS event_type_allowed,
+              count(*) FILTER (WHERE user_id IS NULL) AS user_id_not_null
+       FROM (SELECT *, date_trunc('day', ts)::TIMESTAMP AS d, max(ts) OVER () AS newest FROM events)
+       WHERE d + INTERVAL 1 DAY <= newest - INTERVAL 1 HOUR GROUP BY d""",
+)
+def stream_window_rules(t: Tables) -> DataFrame:
+    counted = jobs.window_rules(events(t), RULES, "ts", "1 day", "1 hour")
+    return zoneless(table(t, counted, "window-rules"), "window_start", "window_end")
+
+
+@query(
+    "stream_sliding_volume",
+    """SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, count(*) AS n_rows
+       FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS w, max(ts) OVER () AS newest FROM events, range(4) r(k))
+       WHERE w + INTERVAL 1 HOUR <= newest - INTERVAL 1 HOUR GROUP BY w""",
+)
+def stream_sliding_volume(t: Tables) -> DataFrame:
+    counted = jobs.sliding_volume(events(t), "ts", "1 hour", "15 minutes", "1 hour")
+    return zoneless(table(t, counted, "sliding-volume"), "window_start", "window_end")
+
+
+@query(
+    "stream_session_gaps",
+    """SELECT event_type, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n_rows
+       FROM (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS session
+             FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) >= INTERVAL 1 HOUR, true) AS fresh,
+                          max(ts) OVER () AS newest FROM events))
+       GROUP BY event_type, session, newest HAVING max(ts) + INTERVAL 1 HOUR <= newest - INTERVAL 1 HOUR""",
+)
+def stream_session_gaps(t: Tables) -> DataFrame:
+    sessions = jobs.silent_gaps(events(t), "event_type", "ts", "1 hour", "1 hour")
+    return zoneless(table(t, sessions, "session-gaps"), "session_start", "session_end")
+
+
+@query("stream_sustained_alerts", EVENT_SQL)
+def stream_sustained_alerts(t: Tables) -> DataFrame:
+    """The history arrives in two parts; the second run continues the first one's streaks."""
+    path, runs = fresh_dir(t.spark, "alerts"), history(t)
+    later = F.col("run_at") >= F.lit("2024-01-16 07:00:00").cast("timestamp_ntz")
+    for part in (~later, later):
+        runs.where(part).write.mode("append").parquet(f"{path}/history")
+        arriving = jobs.read_stream(t.spark, f"{path}/history", "check string, run_at timestamp_ntz, status string, detail string")
+        finish(sustained_alerts(arriving, suite(t), f"{path}/out", f"{path}/checkpoint"))
+    return read_events(t.spark, f"{path}/out").drop("batch")
+
+
+@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(t: Tables) -> DataFrame:
+    kept = jobs.drop_repeats(events(t), ["user_id", "event_type"], "ts", "40 days")
+    return table(t, kept, "dedup").select("user_id", "event_type")
+
+
+@query(
+    "stream_orphans",
+    """SELECT e.event_id, e.user_id FROM events e LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON c.c_custkey = e.user_id
+       WHERE c.c_custkey IS NULL""",
+)
+def stream_orphans(t: Tables) -> DataFrame:
+    stream, known = events(t), t.customer.where("c_acctbal > 0").select("c_custkey")
+    return table(t, jobs.stream_orphans(stream, known, stream["user_id"] == known["c_custkey"]), "orphans").select("event_id", "user_id")
+
+

@@ -28,36 +28,42 @@ def should_notify(failing: Column, sustained_secs: Column, since: Column, now: C
     return failing & F.when(sustained_secs.isNull(), True).otherwise(held)
 
 
-def _bucket_chain(local: DataFrame) -> DataFrame:
+def _bucket_chain(local: DataFrame, opened: DataFrame | None) -> DataFrame:
     """Per check and bucket: onset of the streak that is open when it begins."""
     folded = local.groupBy("check", "bucket").agg(
         F.max_by("failing", "run_at").alias("ends_failing"),
         F.bool_or(~F.col("failing")).alias("has_healthy"),
         F.max(F.when(F.col("local_start"), F.col("run_at"))).alias("last_start"),
     )
+    if opened is None:
+        folded = folded.withColumn("before", F.lit(None).cast(local.schema["run_at"].dataType))
+    else:
+        folded = folded.join(opened.select("check", F.col("onset").alias("before")), "check", "left")
     along = Window.partitionBy("check").orderBy("bucket")
     so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Buckets without a healthy run continue the streak of the bucket before.
     chained = folded.withColumn("run", F.sum(F.col("has_healthy").cast("int")).over(so_far))
     within = Window.partitionBy("check", "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onset = F.min(F.when(F.col("ends_failing"), F.col("last_start"))).over(within)
-    opened = chained.withColumn("open_onset", onset)
-    return opened.select("check", "bucket", F.lag("open_onset").over(along).alias("carried"))
+    inherited = F.when(F.col("run") == 0, F.col("before"))
+    linked = chained.withColumn("open_onset", F.coalesce(inherited, onset))
+    carried = F.when(F.row_number().over(along) == 1, F.col("before")).otherwise(F.lag("open_onset").over(along))
+    return linked.select("check", "bucket", carried.alias("carried"))
 
 
-def streaks(history: DataFrame, bucket: str = "day") -> DataFrame:
+def streaks(history: DataFrame, bucket: str = "day", opened: DataFrame | None = None) -> DataFrame:
     """Adds ``failing``, ``since`` (onset of the current streak) and ``recovered``.
 
     ``since`` is kept through repeated failures and NULL on healthy runs.
-    ``recovered`` marks the first healthy run after a streak.
+    ``recovered`` marks the first healthy run after a streak. ``opened``
+    (``check, onset``) gives streaks already open before the history begins.
     """
     rows = history.withColumn("failing", is_failing()).withColumn("bucket", F.date_trunc(bucket, "run_at"))
     inside = Window.partitionBy("check", "bucket").orderBy("run_at")
     local = rows.withColumn("prev", F.lag("failing").over(inside)).withColumn(
         "local_start", F.col("failing") & ~F.coalesce("prev", F.lit(False))
     )
-    carried = _bucket_chain(local)
-    joined = local.join(carried, ["check", "bucket"], "left")
+    joined = local.join(_bucket_chain(local, opened), ["check", "bucket"], "left")
     starts = F.col("local_start") & (F.col("prev").isNotNull() | F.col("carried").isNull())
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onset = F.coalesce(F.max(F.when(starts, F.col("run_at"))).over(so_far), F.col("carried"))
@@ -69,14 +75,24 @@ def streaks(history: DataFrame, bucket: str = "day") -> DataFrame:
     )
 
 
-def alert_events(history: DataFrame, suite: DataFrame, bucket: str = "day") -> DataFrame:
-    """Every event a run of checks raises: alerts while failing, and recoveries.
+def still_open(marked: DataFrame, opened: DataFrame | None = None) -> DataFrame:
+    """Streaks open after a history: ``check, onset``, to continue from later.
 
-    ``suite`` gives ``check, sustained_secs, on_fail`` (at most a row per check).
-    A failing run alerts once its streak has lasted the sustained window; a
-    recovery is reported even when the streak never alerted.
+    ``marked`` comes from :func:`streaks`; checks without a run in it keep the
+    streak they had.
     """
-    gated = streaks(history, bucket).join(suite.select("check", "sustained_secs", "on_fail"), "check", "left")
+    last = F.max_by(F.struct("failing", "since"), F.col("run_at")).alias("last")
+    ended = marked.groupBy("check").agg(last).select("check", F.lit(True).alias("ran"), F.col("last.since").alias("onset_now"))
+    if opened is None:
+        return ended.where("onset_now IS NOT NULL").select("check", F.col("onset_now").alias("onset"))
+    both = opened.join(ended, "check", "full_outer")
+    onset = F.when(F.col("ran"), F.col("onset_now")).otherwise(F.col("onset"))
+    return both.select("check", onset.alias("onset")).where("onset IS NOT NULL")
+
+
+def raise_events(marked: DataFrame, suite: DataFrame) -> DataFrame:
+    """Alerts and recoveries among runs marked by :func:`streaks`."""
+    gated = marked.join(suite.select("check", "sustained_secs", "on_fail"), "check", "left")
     alerting = should_notify(
         F.col("failing"), F.col("sustained_secs"), F.lit(0), seconds_between(F.col("since"), F.col("run_at"))
     )
@@ -86,15 +102,22 @@ def alert_events(history: DataFrame, suite: DataFrame, bucket: str = "day") -> D
     )
 
 
-def route(events: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each event with its targets: the one it names, or all of them.
+def alert_events(history: DataFrame, suite: DataFrame, bucket: str = "day") -> DataFrame:
+    """Every event a run of checks raises: alerts while failing, and recoveries.
 
-    The target list is small by nature (one row per notifier), so it is folded
-    to one array and looked up per event.
+    ``suite`` gives ``check, sustained_secs, on_fail`` (at most a row per check).
+    A failing run alerts once its streak has lasted the sustained window; a
+    recovery is reported even when the streak never alerted.
     """
-    names = targets.agg(F.array_sort(F.collect_set("target")).alias("t")).scalar()
-    mine = F.when(F.col("on_fail").isNull(), names).otherwise(F.filter(names, lambda t: t == F.col("on_fail")))
-    return events.withColumn("target", F.explode(mine))
+    return raise_events(streaks(history, bucket), suite)
+
+
+def route(events: DataFrame, targets: DataFrame) -> DataFrame:
+    """Each event with its targets: the one it names, or all when it names none."""
+    named = targets.select(F.col("target").alias("_to"), "target")
+    every = targets.select(F.lit(None).cast("string").alias("_to"), "target")
+    routes = named.unionByName(every)
+    return events.join(routes, events["on_fail"].eqNullSafe(routes["_to"])).drop("_to")
 
 
 def payload(events: DataFrame) -> DataFrame:

@@ -1,46 +1,42 @@
-"""Sustained alerts over a stream of results, with the streak kept as state."""
+"""Sustained alerts over a stream of results.
+
+The only state is which streaks are open: one row per failing check, written
+per micro-batch next to the events. A micro-batch is evaluated with the same
+plan as a whole history (see :mod:`plumbline.plans.alerts`), continuing from
+the streaks the batch before left open, so a check with most of the runs is
+spread over time buckets and no Python sees a row.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from plumbline.plans.alerts import raise_events, still_open, streaks
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plumbline.model import FAILING
-from plumbline.plans.alerts import RECOVERED
+def sustained_alerts(
+    results: DataFrame, suite: DataFrame, path: str, checkpoint: str, bucket: str = "day"
+) -> StreamingQuery:
+    """Write alerts and recoveries as results stream in, in order of ``run_at``.
 
-EVENT_SCHEMA = "check string, run_at timestamp, status string, detail string, since timestamp"
-STATE_SCHEMA = "since timestamp"
+    Events go to ``path/events``, open streaks to ``path/open``, each under the
+    micro-batch number. A batch replayed after a failure starts from the same
+    state and overwrites its own output, so every event is written once.
+    """
 
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        opened = spark.read.parquet(f"{path}/open/batch={number - 1}") if number > 0 else None
+        marked = streaks(batch, bucket, opened).persist()
+        try:
+            raise_events(marked, suite).write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+            still_open(marked, opened).write.mode("overwrite").parquet(f"{path}/open/batch={number}")
+        finally:
+            marked.unpersist()
 
-def sustained_alerts(results: DataFrame, sustained_secs: int | None) -> DataFrame:
-    """Alerts and recoveries as results stream in (``check, run_at, status, detail``).
+    return results.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    State per check is the onset of its streak only. Results are one row per
-    check run, so this is the one place where Python sees rows.
-    """
 
-    def step(key: tuple[str], batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("run_at")
-        events = []
-        for run_at, status, detail in zip(rows["run_at"], rows["status"], rows["detail"], strict=True):
-            if status in FAILING:
-                since = run_at if since is None else since
-                if sustained_secs is None or (run_at - since).total_seconds() >= sustained_secs:
-                    events.append((key[0], run_at, status, detail, since))
-            elif since is not None:
-                events.append((key[0], run_at, RECOVERED, detail, None))
-                since = None
-        if since is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((since,))
-        out = pd.DataFrame(events, columns=["check", "run_at", "status", "detail", "since"])
-        yield out.astype({"run_at": "datetime64[ns]", "since": "datetime64[ns]"})
-
-    keyed = results.groupBy("check")
-    return keyed.applyInPandasWithState(step, EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/events")

@@ -18,9 +18,17 @@ from plumbline.plans.rules import compile_rules
 from plumbline.plans.validate import validate
 
 
-def read_stream(spark: SparkSession, root: str, pattern: str, schema: str, time: str | None = None) -> DataFrame:
-    """Parquet files of a folder, as they arrive."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(root)
+def read_stream(
+    spark: SparkSession, path: str, schema: str, time: str | None = None, files_per_batch: int | None = None
+) -> DataFrame:
+    """Parquet files as they arrive; ``path`` is a folder or a glob.
+
+    ``files_per_batch`` bounds a micro-batch when a long backlog is waiting.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(path)
     return stream.withColumn(time, F.col(time).cast("timestamp")) if time else stream
 
 

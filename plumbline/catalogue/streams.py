@@ -82,14 +82,14 @@ def stream_sliding_volume(t: Tables) -> DataFrame:
 
 @query(
     "stream_session_gaps",
-    """SELECT event_type, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n_rows
-       FROM (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS session
-             FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) >= INTERVAL 1 HOUR, true) AS fresh,
+    """SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_rows
+       FROM (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
+             FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR, true) AS fresh,
                           max(ts) OVER () AS newest FROM events))
-       GROUP BY event_type, session, newest HAVING max(ts) + INTERVAL 1 HOUR <= newest - INTERVAL 1 HOUR""",
+       GROUP BY user_id, session, newest HAVING max(ts) + INTERVAL 6 HOUR <= newest - INTERVAL 1 HOUR""",
 )
 def stream_session_gaps(t: Tables) -> DataFrame:
-    sessions = jobs.silent_gaps(events(t), "event_type", "ts", "1 hour", "1 hour")
+    sessions = jobs.silent_gaps(events(t), "user_id", "ts", "6 hours", "1 hour")
     return zoneless(table(t, sessions, "session-gaps"), "session_start", "session_end")
 
 

@@ -5,10 +5,10 @@ state is a value -> count map. For any other column that map would grow with
 the data, so the wanted ranks are closed in on instead: a fixed-size
 ``percentile_approx`` sketch proposes an interval around each rank, exact counts
 say on which side of (or inside) it the rank lies, and the next pass looks only
-at the values strictly inside. Ties at an interval bound resolve at once, so a
-value held by a third of all rows cannot stall it. Each pass is a scan with
-pushed-down bounds and a handful of numbers per column back; it narrows the
-candidates about ``ACCURACY / 4``-fold.
+at the values strictly inside, until few are left. Ties at an interval bound
+resolve at once, so a value held by a third of all rows cannot stall it. Each
+pass is a scan with pushed-down bounds and a handful of numbers per column back;
+it narrows the candidates about ``ACCURACY / 4``-fold.
 """
 
 from __future__ import annotations
@@ -64,40 +64,52 @@ def exact_percentiles(
     types = {f.name: f.dataType for f in df.schema.fields}
     numbers = df.select(*[as_number(column(c), types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
     names = [f"c{i}" for i in range(len(columns))]
-    sizes = numbers.agg(
-        *[F.count(n).alias(f"{n}_n") for n in names], *[F.approx_count_distinct(n).alias(f"{n}_d") for n in names]
-    ).first()
+    around = F.array(*[F.lit(bound) for p in probs for bound in _around(p, p)])
+    first = numbers.agg(*[
+        agg for n in names for agg in (
+            F.count(n).alias(f"{n}_n"), F.approx_count_distinct(n).alias(f"{n}_d"), F.percentile_approx(n, around, ACCURACY).alias(f"{n}_q"),
+        )
+    ]).first()
     found: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
-    enough = [n for n in names if sizes[f"{n}_n"] >= max(at_least, 1)]
-    small = [n for n in enough if sizes[f"{n}_d"] <= map_limit]
+    enough = [n for n in names if first[f"{n}_n"] >= max(at_least, 1)]
+    small = [n for n in enough if first[f"{n}_d"] <= map_limit]
     if small:
         row = numbers.agg(*[F.percentile(n, F.array(*map(F.lit, probs))).alias(n) for n in small]).first()
         found.update({n: list(row[n]) for n in small})
     large = [n for n in enough if n not in small]
-    if large:
-        searches = []
-        for n in large:
-            for p in probs:
-                at = p * (sizes[f"{n}_n"] - 1)
-                ends = {math.floor(at), math.ceil(at)}
-                searches.append(_Search(n, {r: r for r in ends}, sizes[f"{n}_n"]))
-        values = _values_at(numbers, searches, map_limit)
-        for n in large:
-            found[n] = [_interpolate(values, n, p * (sizes[f"{n}_n"] - 1)) for p in probs]
+    guesses = []
+    for n in large:
+        for i, p in enumerate(probs):
+            at = p * (first[f"{n}_n"] - 1)
+            ends = {math.floor(at), math.ceil(at)}
+            guesses.append((_Search(n, {r: r for r in ends}, first[f"{n}_n"]), *first[f"{n}_q"][2 * i : 2 * i + 2]))
+    values = _values_at(numbers, guesses, map_limit)
+    for n in large:
+        found[n] = [_interpolate(values, n, p * (first[f"{n}_n"] - 1)) for p in probs]
     return {c: found[n] for c, n in zip(columns, names, strict=True)}
 
 
+def _around(first: float, last: float) -> tuple[float, float]:
+    """Shares of the data between which the sketch is asked to bracket some ranks."""
+    return max(0.0, first - 2 / ACCURACY), min(1.0, last + 2 / ACCURACY)
+
+
 def _interpolate(values: dict[tuple[str, int], float], name: str, at: float) -> float:
     low, high = math.floor(at), math.ceil(at)
     share = at - low
     return values[name, low] * (1 - share) + values[name, high] * share
 
 
-def _values_at(numbers: DataFrame, searches: list[_Search], map_limit: int) -> dict[tuple[str, int], float]:
+def _values_at(
+    numbers: DataFrame, guesses: list[tuple[_Search, float, float]], map_limit: int
+) -> dict[tuple[str, int], float]:
     """The value at each wanted rank."""
     found: dict[tuple[str, int], float] = {}
-    while searches:
-        searches = _narrow(numbers, searches, map_limit, found)
+    while guesses:
+        searches = _split(numbers, guesses, found)
+        few = [s for s in searches if s.count <= map_limit]
+        guesses, more = _sketch(numbers, [s for s in searches if s.count > map_limit], map_limit)
+        found.update(_count_through(numbers, few + more))
     return found
 
 
@@ -106,36 +118,37 @@ def _within(numbers: DataFrame, searches: list[_Search]) -> DataFrame:
     return numbers.where(reduce(Column.__or__, [s.candidate for s in searches]))
 
 
-def _narrow(
-    numbers: DataFrame, searches: list[_Search], map_limit: int, found: dict[tuple[str, int], float]
-) -> list[_Search]:
-    """One round: record the ranks it settles and return what is still open."""
+def _sketch(
+    numbers: DataFrame, searches: list[_Search], map_limit: int
+) -> tuple[list[tuple[_Search, float, float]], list[_Search]]:
+    """Searches with a proposed inner interval, and those with few distinct values left."""
+    if not searches:
+        return [], []
     sketch = []
     for i, s in enumerate(searches):
         held = F.when(s.candidate, F.col(s.column))
-        first, last = (f(s.ranks.values()) / max(s.count - 1, 1) for f in (min, max))
-        around = F.array(F.lit(max(0.0, first - 2 / ACCURACY)), F.lit(min(1.0, last + 2 / ACCURACY)))
+        shares = [rank / max(s.count - 1, 1) for rank in s.ranks.values()]
+        around = F.array(*map(F.lit, _around(min(shares), max(shares))))
         sketch += [F.percentile_approx(held, around, ACCURACY).alias(f"q{i}"), F.approx_count_distinct(held).alias(f"d{i}")]
-    guess = _within(numbers, searches).agg(*sketch).first()
+    row = _within(numbers, searches).agg(*sketch).first()
+    many = [i for i in range(len(searches)) if row[f"d{i}"] > map_limit]
+    return [(searches[i], *row[f"q{i}"]) for i in many], [s for i, s in enumerate(searches) if i not in many]
 
-    wide = []
-    for i, s in enumerate(searches):
-        if guess[f"d{i}"] <= map_limit:
-            found.update(_count_through(numbers.where(s.candidate), s))
-        else:
-            wide.append((s, *guess[f"q{i}"]))
-    if not wide:
-        return []
+
+def _split(
+    numbers: DataFrame, guesses: list[tuple[_Search, float, float]], found: dict[tuple[str, int], float]
+) -> list[_Search]:
+    """Count exactly on both sides of the proposed bounds; record ranks that hit a bound."""
     parts = []
-    for k, (s, low, high) in enumerate(wide):
+    for k, (s, low, high) in enumerate(guesses):
         col = F.col(s.column)
         at_high = col == high if high > low else F.lit(False)
         for part, test in (("a", col < low), ("b", col == low), ("c", (col > low) & (col < high)), ("d", at_high)):
             parts.append(F.count_if(s.candidate & test).alias(f"{part}{k}"))
-    tally = _within(numbers, [s for s, _, _ in wide]).agg(*parts).first()
+    tally = _within(numbers, [s for s, _, _ in guesses]).agg(*parts).first()
     return [
         piece
-        for k, (s, low, high) in enumerate(wide)
+        for k, (s, low, high) in enumerate(guesses)
         for piece in _settle(s, low, high, [tally[f"{part}{k}"] for part in "abcd"], found)
     ]
 
@@ -158,12 +171,17 @@ def _settle(
     return out
 
 
-def _count_through(candidates: DataFrame, s: _Search) -> dict[tuple[str, int], float]:
+def _count_through(numbers: DataFrame, searches: list[_Search]) -> dict[tuple[str, int], float]:
     """Last step: few enough distinct values are left to number them in order."""
-    counts = candidates.groupBy(F.col(s.column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    seen = counts.withColumn("seen", F.sum("n").over(Window.orderBy("v")))
-    picks = [F.min(F.when(F.col("seen") > rank, F.col("v"))) for rank in s.ranks.values()]
-    return dict(zip([(s.column, absolute) for absolute in s.ranks], seen.agg(*picks).first(), strict=True))
+    if not searches:
+        return {}
+    hits = F.array(*[F.when(s.candidate, F.struct(F.lit(i).alias("i"), F.col(s.column).alias("v"))) for i, s in enumerate(searches)])
+    held = _within(numbers, searches).select(F.inline(F.array_compact(hits)))
+    counts = held.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.withColumn("seen", F.sum("n").over(Window.partitionBy("i").orderBy("v")))
+    wanted = [(i, s.column, absolute, rank) for i, s in enumerate(searches) for absolute, rank in s.ranks.items()]
+    picks = [F.min(F.when((F.col("i") == i) & (F.col("seen") > rank), F.col("v"))) for i, _, _, rank in wanted]
+    return {(name, absolute): value for (_, name, absolute, _), value in zip(wanted, seen.agg(*picks).first(), strict=True)}
 
 
 def iqr_fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float] | None]:

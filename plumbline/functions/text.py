@@ -35,12 +35,18 @@ def escape_sql(text: str) -> str:
     return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
+def present(col: Column, dtype: T.DataType) -> Column:
+    """True where there is a value; NaN and infinities count as missing."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return col.isNotNull() & (F.abs(col) < F.lit(float("inf")))
+    return col.isNotNull()
+
+
 def finite(col: Column, dtype: T.DataType) -> Column:
     """The column with NaN and infinities read as NULL."""
-    if not isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return col
-    bad = F.isnan(col) | F.abs(col).eqNullSafe(F.lit(float("inf")))
-    return F.when(~bad, col)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(F.abs(col) < F.lit(float("inf")), col)
+    return col
 
 
 def as_number(col: Column, dtype: T.DataType) -> Column:

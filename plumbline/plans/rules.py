@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.quantiles import iqr_fences
 from plumbline.functions.text import (
-    INTEGRAL, NUMERIC, TIMESTAMPS, as_number, column, debug_list, plain_number, plain_value, quote, value_text,
+    INTEGRAL, NUMERIC, TIMESTAMPS, as_number, column, debug_list, plain_number, plain_value, present, quote, value_text,
 )
 from plumbline.model import ColumnRule
 
@@ -64,8 +64,7 @@ def _is_time_text(text: Column) -> Column:
 def _breaks_type(col: Column, dtype: T.DataType, expected: str) -> Column:
     number, text = isinstance(dtype, NUMERIC), isinstance(dtype, (T.StringType, T.CharType, T.VarcharType))
     if expected == "int" and number and not isinstance(dtype, INTEGRAL):
-        value = as_number(col, dtype)
-        return value != F.rint(value)
+        return col.cast("double") != F.rint(col.cast("double"))
     if expected == "timestamp" and text:
         return ~_is_time_text(col)
     temporal = isinstance(dtype, (T.DateType, *TIMESTAMPS))
@@ -76,22 +75,22 @@ def _breaks_type(col: Column, dtype: T.DataType, expected: str) -> Column:
         "bool": isinstance(dtype, T.BooleanType),
         "timestamp": temporal,
     }[expected]
-    return F.lit(False) if conforms else plain_value(col, dtype).isNotNull()
+    return F.lit(not conforms)
 
 
 @dataclass(frozen=True)
 class Outliers:
-    """Numbers a column's outlier test needs: an interval, or mean and deviation."""
+    """What an outlier test needs to know: an interval, or count, mean and deviation."""
 
     fences: tuple[float, float] | None = None
-    stats: Column | None = None
+    stats: tuple[Column, Column, Column] | None = None
 
     def predicate(self, value: Column) -> Column:
         if self.fences is not None:
             return (value < self.fences[0]) | (value > self.fences[1])
         if self.stats is not None:
-            n, mean, sd = (self.stats.getField(k) for k in ("n", "mean", "sd"))
-            return F.when((n >= ZSCORE_MIN) & (sd > 0), F.abs((value - mean) / sd) > ZSCORE_LIMIT).otherwise(False)
+            n, mean, sd = self.stats
+            return (n >= ZSCORE_MIN) & (F.abs((value - mean) / F.when(sd > 0, sd)) > ZSCORE_LIMIT)
         return F.lit(False)
 
 
@@ -113,7 +112,7 @@ class Measure:
     def predicate(self, outliers: Outliers | None = None) -> Column | None:
         """True on offending rows; ``None`` for rules that name no rows."""
         col, dtype = self.value, self.dtype
-        seen = plain_value(col, dtype).isNotNull()
+        seen = present(col, dtype)
         if self.rule == "type":
             return seen & _breaks_type(col, dtype, self.param)
         if self.rule == "not_null":
@@ -125,28 +124,44 @@ class Measure:
         if self.rule == "range":
             if not isinstance(dtype, NUMERIC):
                 return seen
-            return seen & ~as_number(col, dtype).between(*self.param)
+            return seen & ~col.cast("double").between(*self.param)
         if self.rule == "outliers" and isinstance(dtype, NUMERIC):
-            return seen & outliers.predicate(as_number(col, dtype))
+            return seen & outliers.predicate(col.cast("double"))
         return None
 
+    @property
+    def number(self) -> Column:
+        """The values a statistical rule works on: finite numbers, else NULL."""
+        return as_number(self.value, self.dtype) if isinstance(self.dtype, NUMERIC) else F.lit(None).cast("double")
+
     def aggregates(self) -> list[Column]:
-        """Counts taken in the shared pass, named after :attr:`key`."""
-        seen = plain_value(self.value, self.dtype).isNotNull()
+        """Counts and statistics taken in the first pass, named after :attr:`key`."""
         if self.rule == "null_rate":
-            return [F.count_if(~seen).alias(self.key)]
+            return [F.count_if(~present(self.value, self.dtype)).alias(self.key)]
         if self.rule == "distribution":
-            value = as_number(self.value, self.dtype) if isinstance(self.dtype, NUMERIC) else F.lit(None).cast("double")
-            return [
-                F.count(value).alias(f"{self.key}_n"),
-                F.coalesce(F.var_pop(value), F.lit(0.0)).alias(f"{self.key}_m2"),
-                F.skewness(value).alias(f"{self.key}_skew"),
-                F.kurtosis(value).alias(f"{self.key}_kurt"),
-            ]
+            return [F.count(self.number).alias(f"{self.key}_n"), F.avg(self.number).alias(f"{self.key}_mean")]
+        if self.rule == "outliers" and self.param == "zscore":
+            number = self.number
+            stats = (("n", F.count(number)), ("mean", F.avg(number)), ("sd", F.stddev_pop(number)))
+            return [agg.alias(f"{self.key}_{name}") for name, agg in stats]
         if self.rule in ("unique", "outliers"):
             return []
         return [F.count_if(self.predicate()).alias(self.key)]
 
+    def late_aggregates(self, first: Column, outliers: Outliers | None) -> list[Column]:
+        """What needs a second pass, knowing the statistics of the first."""
+        if self.rule == "outliers":
+            predicate = self.predicate(outliers)
+            return [(F.lit(0).cast("bigint") if predicate is None else F.count_if(predicate)).alias(self.key)]
+        if self.rule == "distribution":
+            off = self.number - first.getField(f"{self.key}_mean")
+            square = off * off
+            return [
+                F.coalesce(F.avg(power), F.lit(0.0)).alias(f"{self.key}_m{k}")
+                for k, power in ((2, square), (3, square * off), (4, square * square))
+            ]
+        return []
+
     # What follows reads the one-row result of the passes.
 
     def violations(self, rows: Column) -> Column:
@@ -165,7 +180,9 @@ class Measure:
 
     def _p(self) -> Column:
         """Jarque-Bera tail probability; chi-squared with two degrees is exp(-x/2)."""
-        n, skew, kurt = (F.col(f"{self.key}_{k}") for k in ("n", "skew", "kurt"))
+        n, m2, m3, m4 = (F.col(f"{self.key}_{k}") for k in ("n", "m2", "m3", "m4"))
+        spread = F.when(m2 > 0, m2)
+        skew, kurt = m3 / F.pow(spread, F.lit(1.5)), m4 / (spread * spread) - 3.0
         return F.exp(-(n / 6.0) * (skew * skew + kurt * kurt / 4.0) / 2.0)
 
     def error(self) -> Column:
@@ -229,21 +246,31 @@ def missing_columns(rules: Sequence[ColumnRule], schema: T.StructType, check: st
     }
 
 
-def outlier_inputs(df: DataFrame, measures: Sequence[Measure]) -> dict[str, Outliers]:
-    """Fences (found up front) or a one-row statistics subquery, per outlier rule."""
-    wanted = [m for m in measures if m.rule == "outliers" and isinstance(m.dtype, NUMERIC)]
-    fences = iqr_fences(df, list(dict.fromkeys(m.column for m in wanted if m.param == "iqr")))
-    out = {m.key: Outliers(fences=fences[m.column]) for m in wanted if m.param == "iqr"}
-    scored = [m for m in wanted if m.param == "zscore"]
-    if scored:
-        stats = df.agg(F.struct(*[_zscore_stats(m).alias(m.key) for m in scored]).alias("stats")).scalar()
-        out.update({m.key: Outliers(stats=stats.getField(m.key)) for m in scored})
+def find_fences(df: DataFrame, measures: Sequence[Measure]) -> dict[str, Outliers]:
+    """Interquartile fences per ``iqr`` rule; the exact quartiles are searched for here."""
+    wanted = [m for m in measures if m.rule == "outliers" and m.param == "iqr" and isinstance(m.dtype, NUMERIC)]
+    fences = iqr_fences(df, list(dict.fromkeys(m.column for m in wanted)))
+    return {m.key: Outliers(fences=fences[m.column]) for m in wanted}
+
+
+def with_scores(first: Column, measures: Sequence[Measure], fences: dict[str, Outliers]) -> dict[str, Outliers]:
+    """The fences plus, per ``zscore`` rule, the statistics of a first pass."""
+    out = dict(fences)
+    for m in measures:
+        if m.rule == "outliers" and m.param == "zscore":
+            n, mean, sd = (first.getField(f"{m.key}_{k}") for k in ("n", "mean", "sd"))
+            out[m.key] = Outliers(stats=(n, mean, sd))
     return out
 
 
-def _zscore_stats(m: Measure) -> Column:
-    value = as_number(m.value, m.dtype)
-    return F.struct(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+def first_pass(df: DataFrame, measures: Sequence[Measure], extra: Sequence[Column] = ()) -> DataFrame:
+    """Everything one scan can tell, in one row, with ``n_rows``."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *[a for m in measures for a in m.aggregates()], *extra)
+
+
+def as_struct(row: DataFrame) -> Column:
+    """A one-row result as a scalar subquery."""
+    return row.select(F.struct("*").alias("s")).scalar()
 
 
 def duplicate_counts(df: DataFrame, m: Measure) -> Column:
@@ -259,19 +286,24 @@ def duplicate_counts(df: DataFrame, m: Measure) -> Column:
 
 
 def measure(
-    df: DataFrame, measures: Sequence[Measure], outliers: dict[str, Outliers], extra: Sequence[Column] = ()
+    df: DataFrame, measures: Sequence[Measure], fences: dict[str, Outliers], extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """All counts of all measures in one row, with ``n_rows`` and any extra aggregates."""
-    shared = [a for m in measures for a in m.aggregates()]
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *shared, *extra)
-    flagged = [(m, m.predicate(outliers.get(m.key))) for m in measures if m.rule == "outliers"]
-    tested = [(m, p) for m, p in flagged if p is not None]
-    late: list[Column] = [F.lit(0).cast("bigint").alias(m.key) for m, p in flagged if p is None]
-    if tested:
-        counts = df.agg(F.struct(*[F.count_if(p).alias(m.key) for m, p in tested]).alias("c")).scalar()
-        late += [counts.getField(m.key).alias(m.key) for m, _ in tested]
+    """All counts of all measures in one row, with ``n_rows`` and any extra aggregates.
+
+    One scan for most rules. Outliers and normality take a second scan that
+    reads the first one's row as a scalar subquery; uniqueness one each, as its
+    shuffle is by the column's values.
+    """
+    wide = first_pass(df, measures, extra)
+    second = [m for m in measures if m.rule in ("outliers", "distribution")]
+    if second:
+        names, first = wide.columns, as_struct(wide)
+        known = with_scores(first, second, fences)
+        late = df.agg(*[a for m in second for a in m.late_aggregates(first, known.get(m.key, Outliers()))])
+        wide = late.select("*", *[first.getField(name).alias(name) for name in names])
+    repeats = []
     for m in measures:
         if m.rule == "unique":
             dup = duplicate_counts(df, m)
-            late += [dup.getField("repeats").alias(m.key), dup.getField("values").alias(f"{m.key}_n")]
-    return wide.select("*", *late) if late else wide
+            repeats += [dup.getField("repeats").alias(m.key), dup.getField("values").alias(f"{m.key}_n")]
+    return wide.select("*", *repeats) if repeats else wide

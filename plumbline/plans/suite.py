@@ -23,7 +23,7 @@ from plumbline.functions.normalise import unsupported_column
 from plumbline.functions.text import debug_list, quote
 from plumbline.functions.time import register_functions, utc
 from plumbline.model import ERROR, FAIL, WARN, Check, Suite
-from plumbline.plans.rules import compile_rules, measure, missing_columns, outlier_inputs
+from plumbline.plans.rules import compile_rules, find_fences, measure, missing_columns
 from plumbline.plans.thresholds import add_rows, first_row, needs, sample_array, tier_verdict
 from plumbline.plans.validate import sample_json, verdict
 from plumbline.sources.connections import first_line, open_connections
@@ -89,7 +89,7 @@ def group_plan(df: DataFrame, checks: Sequence[tuple[int, Check]], as_of: dateti
     order_by = next((c.order_by for _, c in checks if c.order_by), None)
     extra: list[Column] = [first_row(df, order_by).alias("row")] if any(row for row, _ in wanted) else []
     every = [m for ms in measures.values() for m in ms]
-    ctx = measure(df, every, outlier_inputs(df, every), extra)
+    ctx = measure(df, every, find_fences(df, every), extra)
     ctx = add_rows(ctx, df, order_by, any(sample for _, sample in wanted), as_of)
     lines = []
     for i, check in checks:

@@ -12,7 +12,9 @@ from pyspark.sql.window import Window
 from plumbline.functions.lineage import materialise
 from plumbline.functions.text import column, row_json
 from plumbline.model import ERROR, FAIL, PASS, SAMPLE_ROWS, ColumnRule
-from plumbline.plans.rules import Measure, Outliers, compile_rules, measure, missing_columns, outlier_inputs
+from plumbline.plans.rules import (
+    Measure, Outliers, as_struct, compile_rules, find_fences, first_pass, measure, missing_columns, with_scores,
+)
 
 
 def column_outcomes(rules: Sequence[ColumnRule], measures: Sequence[Measure], missing: dict[int, str]) -> list[tuple[Column, Column]]:
@@ -52,7 +54,7 @@ def rule_report(df: DataFrame, rules: Sequence[ColumnRule], check: str = "check"
     """One row per column rule: rows seen, violations, status and message."""
     measures = compile_rules(rules, df.schema)
     missing = missing_columns(rules, df.schema, check)
-    wide = measure(df, measures, outlier_inputs(df, measures))
+    wide = measure(df, measures, find_fences(df, measures))
     rows = F.col("n_rows")
     lines = [
         F.struct(
@@ -79,7 +81,7 @@ def offending_rows(
     df: DataFrame,
     rules: Sequence[ColumnRule],
     order_by: Sequence[str] | None = None,
-    outliers: dict[str, Outliers] | None = None,
+    fences: dict[str, Outliers] | None = None,
     limit: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """The first offending rows of each column, numbered within the column.
@@ -89,11 +91,13 @@ def offending_rows(
     before the shuffle. The result holds at most ``limit`` rows per column.
     """
     measures = compile_rules(rules, df.schema)
-    if outliers is None:
-        outliers = outlier_inputs(df, measures)
+    outliers = find_fences(df, measures) if fences is None else fences
+    scored = [m for m in measures if m.rule == "outliers" and m.param == "zscore"]
+    if scored:
+        outliers = with_scores(as_struct(first_pass(df, scored)), scored, outliers)
     broken: dict[int, Column] = {}
     for m in measures:
-        predicate = m.predicate(outliers.get(m.key))
+        predicate = m.predicate(outliers.get(m.key, Outliers()))
         if predicate is not None:
             broken[m.ord] = broken[m.ord] | predicate if m.ord in broken else predicate
     if not broken:
@@ -110,10 +114,10 @@ def offending_rows(
 
 
 def sample_json(
-    df: DataFrame, rules: Sequence[ColumnRule], order_by: Sequence[str] | None = None, outliers: dict[str, Outliers] | None = None
+    df: DataFrame, rules: Sequence[ColumnRule], order_by: Sequence[str] | None = None, fences: dict[str, Outliers] | None = None
 ) -> DataFrame:
     """One row: the check's sample as an array of JSON texts, in rule order."""
-    bad = offending_rows(df, rules, order_by, outliers)
+    bad = offending_rows(df, rules, order_by, fences)
     lines = bad.select("ord", "pos", "row.*").select("ord", "pos", row_json(df.schema).alias("json"))
     ordered = F.array_sort(F.collect_list(F.struct("ord", "pos", "json")))
     texts = F.transform(F.slice(ordered, 1, SAMPLE_ROWS), lambda s: s.getField("json"))
@@ -132,10 +136,10 @@ def validate(
     if reuse:
         df = materialise(df)
     measures = compile_rules(rules, df.schema)
-    outliers = outlier_inputs(df, measures)
+    fences = find_fences(df, measures)
     status, detail = verdict(rules, measures, missing_columns(rules, df.schema, check))
-    wide = measure(df, measures, outliers).select(F.lit(check).alias("check"), status.alias("status"), detail.alias("detail"))
+    wide = measure(df, measures, fences).select(F.lit(check).alias("check"), status.alias("status"), detail.alias("detail"))
     if not used:
         return wide.withColumn("sample", F.array().cast("array<string>"))
-    sample = sample_json(df, rules, order_by, outliers).scalar()
+    sample = sample_json(df, rules, order_by, fences).scalar()
     return wide.withColumn("sample", F.when(F.col("status") == FAIL, sample).otherwise(F.array().cast("array<string>")))

@@ -26,6 +26,7 @@ from plumbline.model import ColumnRule
 RULE_ORDER = ("type", "not_null", "null_rate", "allowed", "matches", "range", "unique", "outliers", "distribution")
 IQR_MIN, ZSCORE_MIN, NORMAL_MIN = 4, 3, 8
 ZSCORE_LIMIT, NORMAL_P = 3.0, 0.05
+FIRST = "_first_pass"
 # The text forms accepted as a timestamp.
 RFC3339_FORM = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
 LOCAL_FORM = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
@@ -297,10 +298,11 @@ def measure(
     wide = first_pass(df, measures, extra)
     second = [m for m in measures if m.rule in ("outliers", "distribution")]
     if second:
-        names, first = wide.columns, as_struct(wide)
-        known = with_scores(first, second, fences)
-        late = df.agg(*[a for m in second for a in m.late_aggregates(first, known.get(m.key, Outliers()))])
-        wide = late.select("*", *[first.getField(name).alias(name) for name in names])
+        first = as_struct(wide).alias(FIRST)
+        seen = F.col(FIRST)
+        known = with_scores(seen, second, fences)
+        late = [a for m in second for a in m.late_aggregates(seen, known.get(m.key, Outliers()))]
+        wide = df.select("*", first).agg(*late).select("*", first).select("*", f"{FIRST}.*").drop(FIRST)
     repeats = []
     for m in measures:
         if m.rule == "unique":

@@ -261,7 +261,28 @@ def report_text(t: Tables) -> DataFrame:
     return res.report_text(_results(t)).where("line_no = 0").select("ord", "line")
 
 
-@query("report_text_samples")
+# The sample rows the failing checks of the suite carry, as JSON texts in order.
+_BALANCE_JSON = """'{"c_custkey":' || c_custkey || ',"c_acctbal":' || c_acctbal || '}'"""
+_ORDER_JSON = """'{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":'
+    || o_totalprice || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00","o_orderpriority":"' || o_orderpriority || '"}'"""
+SAMPLED_SQL = f"""
+    SELECT r.*, coalesce(s.sample, []) AS sample FROM ({SUITE_SQL}) r LEFT JOIN (
+        SELECT ord, list(j ORDER BY k, key) AS sample FROM (
+            (SELECT 2 AS ord, 0 AS k, c_custkey AS key, {_BALANCE_JSON} AS j FROM customer WHERE c_acctbal < 0 ORDER BY c_custkey LIMIT 3)
+            UNION ALL (SELECT * FROM (
+                (SELECT 4 AS ord, 1 AS k, o_orderkey AS key, {_ORDER_JSON} AS j FROM orders
+                 WHERE o_totalprice < 0 OR o_totalprice > 400000 ORDER BY key LIMIT 10)
+                UNION ALL (SELECT 4, 2, o_orderkey AS key, {_ORDER_JSON} FROM orders
+                 WHERE NOT regexp_matches(o_orderpriority, '^[1-3]-') ORDER BY key LIMIT 10)) ORDER BY k, key LIMIT 10))
+        GROUP BY ord) s ON s.ord = r.ord"""
+_QUOTED_DETAIL = """replace(detail, '"', chr(92) || '"')"""
+
+
+@query(
+    "report_text_samples",
+    f"""SELECT ord, 0 AS line_no, {_HEAD} AS line FROM ({SUITE_SQL})
+        UNION ALL SELECT ord, i::INTEGER, '      ' || sample[i] FROM ({SAMPLED_SQL}), range(1, 11) n(i) WHERE i <= len(sample)""",
+)
 def report_text_samples(t: Tables) -> DataFrame:
     return res.report_text(_results(t))
 
@@ -283,34 +304,82 @@ def report_failures(t: Tables) -> DataFrame:
 
 @query(
     "report_digest",
-    f"""SELECT printf('shop: %d/%d checks FAILED', count(*) FILTER (WHERE status IN ('FAIL', 'ERROR')), count(*)) AS headline FROM ({SUITE_SQL})""",
+    f"""SELECT printf('nightly: %d/%d checks FAILED on "shop"', count(*) FILTER (WHERE status IN ('FAIL', 'ERROR')), count(*)) AS headline FROM ({SUITE_SQL})""",
 )
 def report_digest(t: Tables) -> DataFrame:
-    return res.failure_digest(_results(t), "shop").select(F.substring_index("digest", "\n", 1).alias("headline"))
+    return res.failure_digest(_results(t), "nightly", "shop").select(F.substring_index("digest", "\n", 1).alias("headline"))
 
 
-@query("report_json")
+@query(
+    "report_json",
+    f"""SELECT ord, '{{"name":"' || "check" || '","status":"' || lower(status) || '","detail":"' || {_QUOTED_DETAIL} || '","sample":['
+               || array_to_string(sample, ',') || ']}}' AS json FROM ({SAMPLED_SQL})""",
+)
 def report_json(t: Tables) -> DataFrame:
     return res.report_json(_results(t))
 
 
-@query("report_yaml")
+@query(
+    "report_yaml",
+    f"""SELECT ord, '- name: "' || "check" || '"' || chr(10) || '  status: "' || lower(status) || '"' || chr(10) || '  detail: "' || {_QUOTED_DETAIL}
+               || '"' || chr(10) || CASE WHEN len(sample) = 0 THEN '  sample: []'
+                  ELSE '  sample:' || chr(10) || '  - ' || array_to_string(sample, chr(10) || '  - ') END AS yaml FROM ({SAMPLED_SQL})""",
+)
 def report_yaml(t: Tables) -> DataFrame:
     return res.report_yaml(_results(t))
 
 
-@query("report_gauge_text")
+@query(
+    "report_failing_json",
+    f"""SELECT '[' || string_agg('{{"name":"' || "check" || '","status":"' || status || '","detail":"' || {_QUOTED_DETAIL} || '"}}', ',' ORDER BY ord)
+               || ']' AS failures_json FROM ({SUITE_SQL}) WHERE status IN ('FAIL', 'ERROR')""",
+)
+def report_failing_json(t: Tables) -> DataFrame:
+    return res.failing_json(_results(t))
+
+
+@query(
+    "report_gauge_text",
+    f"""SELECT 'plumbline_check_status{{check="' || "check" || '"}} ' || CASE status WHEN 'PASS' THEN 0 WHEN 'WARN' THEN 1 WHEN 'FAIL' THEN 2 ELSE 3 END AS line
+        FROM ({SUITE_SQL})
+        UNION ALL SELECT 'plumbline_check_up{{check="' || "check" || '"}} ' || CASE WHEN status IN ('PASS', 'WARN') THEN 1 ELSE 0 END FROM ({SUITE_SQL})
+        UNION ALL SELECT unnest(['# HELP plumbline_check_status Check status: 0=pass 1=warn 2=fail 3=error', '# TYPE plumbline_check_status gauge',
+                                 '# HELP plumbline_check_up 1 if check is passing or warning, 0 otherwise', '# TYPE plumbline_check_up gauge'])""",
+)
 def report_gauge_text(t: Tables) -> DataFrame:
     return res.gauge_text(_results(t))
 
 
-@query("report_explain")
+# Fixed value: query and tiers of every check of the suite above.
+_LISTED_SQL = f"""
+    SELECT * FROM (VALUES
+        (0, 'SELECT count(*) AS n FROM orders', ['fail']), (1, 'SELECT count(*) AS n FROM orders', ['warn']), (2, '{NEGATIVE}', ['fail']),
+        (3, '{ERROR_RATE.replace("'", "''")}', ['warn', 'fail']), (4, 'SELECT * FROM orders', []), (5, 'SELECT * FROM orders', []),
+        (6, 'SELECT 1 AS ok', ['fail']), (7, 'SELECT * FROM no_such_table', ['fail'])) l(ord, query, conditions)"""
+
+
+@query(
+    "report_explain",
+    f"""SELECT r.ord, r."check", r.status, r.detail, l.query, r.sample, CASE r.status
+            WHEN 'ERROR' THEN 'An ERROR occurred evaluating the check condition: ' || r.detail
+            WHEN 'FAIL' THEN 'The `' || CASE WHEN list_contains(l.conditions, 'fail') THEN 'fail' ELSE 'warn' END || '` tier fired. ' || r.detail
+                             || ' Review the sample rows below and the SQL query.'
+            ELSE 'Check passed — no failure to explain.' END AS hint
+        FROM ({SAMPLED_SQL}) r JOIN ({_LISTED_SQL}) l ON l.ord = r.ord""",
+)
 def report_explain(t: Tables) -> DataFrame:
     return res.explain(_results(t), suite_frame(t.spark, shop_suite(t.root)))
 
 
-@query("suite_list")
+@query(
+    "suite_list",
+    f"""SELECT r.ord, r."check", r.status, l.query, l.conditions, CASE r."check" WHEN 'error_rate' THEN 'audit' ELSE 'ops' END AS on_fail,
+               CASE r."check" WHEN 'balances' THEN 7200 END AS sustained_secs
+        FROM ({SUITE_SQL}) r JOIN ({_LISTED_SQL}) l ON l.ord = r.ord""",
+)
 def suite_list(t: Tables) -> DataFrame:
     """The suite's checks with the latest status of each."""
-    listed = suite_frame(t.spark, shop_suite(t.root))
-    return listed.join(_results(t).select("check", "status"), "check")
+    listed = suite_frame(t.spark, shop_suite(t.root)).drop("ord", "connection")
+    return listed.join(_results(t).select("ord", "check", "status"), "check").select(
+        "ord", "check", "status", "query", "conditions", "on_fail", F.col("sustained_secs").cast("int").alias("sustained_secs")
+    )

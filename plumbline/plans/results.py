@@ -93,31 +93,46 @@ def report_text(results: DataFrame) -> DataFrame:
     return results.select("ord", F.posexplode(F.concat(F.array(head), rows)).alias("line_no", "line"))
 
 
+def json_string(col: Column) -> Column:
+    """Text as a JSON string, quotes and escapes included."""
+    wrapped = F.to_json(F.array(col))
+    return wrapped.substr(F.lit(2), F.length(wrapped) - 2)
+
+
 def report_json(results: DataFrame) -> DataFrame:
     """One JSON object per check: name, status, detail, sample."""
-    body = F.struct(
-        F.col("check").alias("name"), F.lower("status").alias("status"), "detail",
-        F.transform("sample", lambda s: F.parse_json(s)).alias("sample"),
+    body = F.concat(
+        F.lit('{"name":'), json_string(F.col("check")), F.lit(',"status":'), json_string(F.lower("status")),
+        F.lit(',"detail":'), json_string(F.col("detail")), F.lit(',"sample":['), F.array_join("sample", ","), F.lit("]}"),
     )
-    return results.select("ord", F.to_json(body).alias("json"))
+    return results.select("ord", body.alias("json"))
 
 
 def report_yaml(results: DataFrame) -> DataFrame:
     """The same values as YAML, one text block per check; strings are JSON-quoted."""
 
-    def scalar(name: str, value: Column) -> Column:
-        return F.concat(F.lit(f"{name}: "), F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2))
+    def entry(lead: str, name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{lead}{name}: "), json_string(value))
 
-    sample = F.when(F.size("sample") == 0, F.lit("  sample: []")).otherwise(
-        F.concat(F.lit("  sample:\n"), F.array_join(F.transform("sample", lambda s: F.concat(F.lit("  - "), s)), "\n"))
-    )
+    rows = F.concat(F.lit("  sample:\n"), F.array_join(F.transform("sample", lambda s: F.concat(F.lit("  - "), s)), "\n"))
     block = F.concat_ws(
-        "\n", F.concat(F.lit("- "), scalar("name", F.col("check"))), F.concat(F.lit("  "), scalar("status", F.lower("status"))),
-        F.concat(F.lit("  "), scalar("detail", F.col("detail"))), sample,
+        "\n", entry("- ", "name", F.col("check")), entry("  ", "status", F.lower("status")), entry("  ", "detail", F.col("detail")),
+        F.when(F.size("sample") == 0, "  sample: []").otherwise(rows),
     )
     return results.select("ord", block.alias("yaml"))
 
 
+def failing_json(results: DataFrame) -> DataFrame:
+    """One row: the failing checks as a JSON array of name, status, detail."""
+    item = F.concat(
+        F.lit('{"name":'), json_string(F.col("check")), F.lit(',"status":'), json_string(F.col("status")),
+        F.lit(',"detail":'), json_string(F.col("detail")), F.lit("}"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct("ord", item.alias("j"))))
+    texts = F.array_join(F.transform(listed, lambda s: s.getField("j")), ",")
+    return results.where(is_failing()).agg(F.concat(F.lit("["), texts, F.lit("]")).alias("failures_json"))
+
+
 def failure_lines(results: DataFrame) -> DataFrame:
     """Failing checks, each as a headline and its first two sample rows."""
     head = F.concat(F.col("status"), F.lit("  "), F.col("check"), F.lit(" — "), F.col("detail"), F.lit("\n"))
@@ -134,7 +149,7 @@ def failure_text(results: DataFrame) -> DataFrame:
     return lines.agg(F.array_join(F.transform(ordered, lambda s: s.getField("t")), "").alias("failures"))
 
 
-def failure_digest(results: DataFrame, title: str, max_bytes: int = DIGEST_BYTES) -> DataFrame:
+def failure_digest(results: DataFrame, title: str, suite: str, max_bytes: int = DIGEST_BYTES) -> DataFrame:
     """A size-bounded failure message: headline, failing checks, ``(+k more checks)``.
 
     A check is taken whole while it fits; a sample row that no longer fits is
@@ -143,7 +158,8 @@ def failure_digest(results: DataFrame, title: str, max_bytes: int = DIGEST_BYTES
     """
     failed, total = F.count_if(is_failing()), F.count(F.lit(1))
     counts = results.agg(F.struct(failed.alias("failed"), total.alias("total")).alias("c")).scalar()
-    headline = F.format_string(f"{title}: %d/%d checks FAILED\n", counts.getField("failed"), counts.getField("total"))
+    words = F.format_string("%d/%d checks FAILED", counts.getField("failed"), counts.getField("total"))
+    headline = F.concat(F.lit(f"{title}: "), words, F.lit(f' on "{suite}"\n'))
     budget = max_bytes - DIGEST_RESERVE
 
     def size(text: Column) -> Column:

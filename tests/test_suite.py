@@ -134,6 +134,10 @@ def test_health_and_counts(spark, results):
     assert res.results_health(results.where("status in ('PASS', 'WARN')")).first()["http_status"] == 200
     assert res.results_health(results.limit(0)).first()["http_status"] == 200
     assert tuple(res.results_summary(results).first()) == (4, 1, 1, 2, 1, "fail")
+    assert res.failing_json(results).first()[0] == (
+        '[{"name":"bad\\"one","status":"FAIL","detail":"3 row(s)"},{"name":"broken","status":"ERROR","detail":"boom"}]'
+    )
+    assert res.failing_json(results.limit(0)).first()[0] == "[]"
     assert res.results_summary(results.limit(0)).first()["status"] == "pass"
 
 
@@ -160,19 +164,19 @@ def test_reports(spark, results):
 def test_failure_text_and_digest(spark, results):
     text = res.failure_text(results).first()["failures"]
     assert text == 'FAIL  bad"one — 3 row(s)\n  {"id":1}\n  {"id":2}\nERROR  broken — boom\n'
-    digest = res.failure_digest(results, "nightly").first()
-    assert digest["digest"] == "nightly: 2/4 checks FAILED\n" + text and digest["more"] == 0
+    digest = res.failure_digest(results, "nightly", "shop").first()
+    assert digest["digest"] == 'nightly: 2/4 checks FAILED on "shop"\n' + text and digest["more"] == 0
 
 
 def test_digest_is_bounded(spark):
     many = [(i, f"check_{i:04}", "m", "FAIL", "é" * 100, ['{"id":1}'] * 5) for i in range(400)]
     df = spark.createDataFrame(many, "ord int, check string, connection string, status string, detail string, sample array<string>")
-    got = res.failure_digest(df, "nightly").first()
+    got = res.failure_digest(df, "nightly", "shop").first()
     body = got["digest"]
     assert len(body.encode()) <= 8192 and got["shown"] + got["more"] == 400
-    assert body.endswith(f"(+{got['more']} more checks)\n") and body.startswith("nightly: 400/400 checks FAILED\n")
+    assert body.endswith(f"(+{got['more']} more checks)\n") and body.startswith('nightly: 400/400 checks FAILED on "shop"\n')
     # As many as fit, by hand: the first check whose headline does not fit ends the list.
-    used, shown = len(b"nightly: 400/400 checks FAILED\n"), 0
+    used, shown = len(b'nightly: 400/400 checks FAILED on "shop"\n'), 0
     for _ in many:
         head = len(f"FAIL  check_0000 — {'é' * 100}\n".encode())
         if used + head > 8192 - 32:

@@ -79,10 +79,14 @@ def resolve(check: Check, session: SparkSession) -> DataFrame:
 
 
 def group_plan(df: DataFrame, checks: Sequence[tuple[int, Check]], as_of: datetime | None = None) -> DataFrame:
-    """One row per check (``ord, status, detail``) from one pass over ``df``."""
+    """One row per check (``ord, status, detail, broken``) from one pass over ``df``.
+
+    ``broken`` lists the positions of the violated column rules.
+    """
+    nothing = F.array().cast("array<int>").alias("broken")
     problem = unsupported_column(df.schema)
     if problem:
-        rows = [F.struct(F.lit(i).alias("ord"), F.lit(ERROR).alias("status"), F.lit(problem).alias("detail")) for i, _ in checks]
+        rows = [F.struct(F.lit(i).alias("ord"), F.lit(ERROR).alias("status"), F.lit(problem).alias("detail"), nothing) for i, _ in checks]
         return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
     measures = {i: compile_rules(c.validate, df.schema, f"k{i}_") for i, c in checks if c.validate is not None}
     wanted = [needs(c) for _, c in checks]
@@ -94,17 +98,17 @@ def group_plan(df: DataFrame, checks: Sequence[tuple[int, Check]], as_of: dateti
     lines = []
     for i, check in checks:
         if check.validate is not None:
-            status, detail = verdict(check.validate, measures[i], missing_columns(check.validate, df.schema, check.name))
+            status, detail, broken = verdict(check.validate, measures[i], missing_columns(check.validate, df.schema, check.name))
         else:
-            status, detail = tier_verdict(ctx, check)
-        lines.append(F.struct(F.lit(i).alias("ord"), status.alias("status"), detail.alias("detail")))
+            (status, detail), broken = tier_verdict(ctx, check), nothing
+        lines.append(F.struct(F.lit(i).alias("ord"), status.alias("status"), detail.alias("detail"), broken.alias("broken")))
     return ctx.select(F.inline(F.array(*lines)))
 
 
-def check_sample(df: DataFrame, check: Check, status: str) -> DataFrame | None:
+def check_sample(df: DataFrame, check: Check, status: str, broken: Sequence[int]) -> DataFrame | None:
     """The sample rows a finished check should carry, if any."""
     if check.validate is not None:
-        return sample_json(df, check.validate, check.order_by) if status == FAIL else None
+        return sample_json(df, check.validate, check.order_by, only=broken) if status == FAIL else None
     tier = {FAIL: check.fail, WARN: check.warn}.get(status)
     return sample_array(df, tier.sample, check.order_by) if tier and tier.sample else None
 
@@ -139,11 +143,10 @@ def _run_job(job: _Job, as_of: datetime | None) -> dict[int, Outcome]:
 
     def work() -> dict[int, Outcome]:
         df = materialise(job.df) if any(c.materialise for c in by_ord.values()) else job.df
-        out = {r["ord"]: Outcome(r["status"], r["detail"]) for r in group_plan(df, job.checks, as_of).collect()}
-        for i, outcome in out.items():
-            sample = check_sample(df, by_ord[i], outcome.status)
-            if sample is not None:
-                outcome.sample = list(sample.first()["sample"])
+        out = {}
+        for r in group_plan(df, job.checks, as_of).collect():
+            sample = check_sample(df, by_ord[r["ord"]], r["status"], r["broken"])
+            out[r["ord"]] = Outcome(r["status"], r["detail"], list(sample.first()["sample"]) if sample is not None else [])
         return out
 
     try:

@@ -33,8 +33,10 @@ def column_outcomes(rules: Sequence[ColumnRule], measures: Sequence[Measure], mi
     return out
 
 
-def verdict(rules: Sequence[ColumnRule], measures: Sequence[Measure], missing: dict[int, str]) -> tuple[Column, Column]:
-    """Status and detail of the whole check, read from the one-row counts."""
+def verdict(
+    rules: Sequence[ColumnRule], measures: Sequence[Measure], missing: dict[int, str]
+) -> tuple[Column, Column, Column]:
+    """Status, detail and violated rule positions of a check, read from the one-row counts."""
     outcomes = column_outcomes(rules, measures, missing)
     none = F.lit(None).cast("string")
     error = F.coalesce(none, *[e for e, _ in outcomes])
@@ -47,7 +49,8 @@ def verdict(rules: Sequence[ColumnRule], measures: Sequence[Measure], missing: d
         .when(violations != "", violations)
         .otherwise(F.concat(rows.cast("string"), F.lit(" row(s), all rules passed")))
     )
-    return status, detail
+    marks = F.array(*[F.when(v.isNotNull(), F.lit(i)) for i, (_, v) in enumerate(outcomes)]).cast("array<int>")
+    return status, detail, F.array_compact(marks)
 
 
 def rule_report(df: DataFrame, rules: Sequence[ColumnRule], check: str = "check") -> DataFrame:
@@ -83,14 +86,16 @@ def offending_rows(
     order_by: Sequence[str] | None = None,
     fences: dict[str, Outliers] | None = None,
     limit: int = SAMPLE_ROWS,
+    only: Sequence[int] | None = None,
 ) -> DataFrame:
     """The first offending rows of each column, numbered within the column.
 
-    One scan serves all columns: a row is emitted once per column it breaks,
-    and a per-column rank limit lets each task drop all but its first few
-    before the shuffle. The result holds at most ``limit`` rows per column.
+    Per column a filtered top-``limit``: every task keeps only that many rows in
+    a heap, and the column's own condition lets Parquet statistics skip clean
+    row groups. ``only`` names the rule positions known to be violated; others
+    are then not looked at. The result holds at most ``limit`` rows per column.
     """
-    measures = compile_rules(rules, df.schema)
+    measures = [m for m in compile_rules(rules, df.schema) if only is None or m.ord in only]
     outliers = find_fences(df, measures) if fences is None else fences
     scored = [m for m in measures if m.rule == "outliers" and m.param == "zscore"]
     if scored:
@@ -100,24 +105,26 @@ def offending_rows(
         predicate = m.predicate(outliers.get(m.key, Outliers()))
         if predicate is not None:
             broken[m.ord] = broken[m.ord] | predicate if m.ord in broken else predicate
-    if not broken:
-        return df.limit(0).select(F.lit(0).alias("ord"), F.lit(0).alias("pos"), F.struct("*").alias("row"))
-    marks = F.array_compact(F.array(*[F.when(p, F.lit(i)) for i, p in broken.items()]))
-    keys = [F.col("row").getField(c) for c in order_by or df.columns]
-    ranked = Window.partitionBy("ord").orderBy(*[k.asc_nulls_first() for k in keys])
-    return (
-        df.where(reduce(Column.__or__, broken.values()))
-        .select(F.explode(marks).alias("ord"), F.struct(*map(column, df.columns)).alias("row"))
-        .withColumn("pos", F.row_number().over(ranked))
-        .where(F.col("pos") <= limit)
-    )
+    keys = [column(c).asc_nulls_first() for c in order_by or df.columns]
+    heads = [
+        df.where(predicate).orderBy(*keys).limit(limit).select(F.lit(i).alias("ord"), F.struct(*map(column, df.columns)).alias("row"))
+        for i, predicate in broken.items()
+    ]
+    empty = df.limit(0).select(F.lit(0).alias("ord"), F.struct(*map(column, df.columns)).alias("row"))
+    few = reduce(DataFrame.unionByName, heads) if heads else empty
+    within = Window.partitionBy("ord").orderBy(*[F.col("row").getField(c).asc_nulls_first() for c in order_by or df.columns])
+    return few.withColumn("pos", F.row_number().over(within)).select("ord", "pos", "row")
 
 
 def sample_json(
-    df: DataFrame, rules: Sequence[ColumnRule], order_by: Sequence[str] | None = None, fences: dict[str, Outliers] | None = None
+    df: DataFrame,
+    rules: Sequence[ColumnRule],
+    order_by: Sequence[str] | None = None,
+    fences: dict[str, Outliers] | None = None,
+    only: Sequence[int] | None = None,
 ) -> DataFrame:
     """One row: the check's sample as an array of JSON texts, in rule order."""
-    bad = offending_rows(df, rules, order_by, fences)
+    bad = offending_rows(df, rules, order_by, fences, only=only)
     lines = bad.select("ord", "pos", "row.*").select("ord", "pos", row_json(df.schema).alias("json"))
     ordered = F.array_sort(F.collect_list(F.struct("ord", "pos", "json")))
     texts = F.transform(F.slice(ordered, 1, SAMPLE_ROWS), lambda s: s.getField("json"))
@@ -137,7 +144,7 @@ def validate(
         df = materialise(df)
     measures = compile_rules(rules, df.schema)
     fences = find_fences(df, measures)
-    status, detail = verdict(rules, measures, missing_columns(rules, df.schema, check))
+    status, detail, _ = verdict(rules, measures, missing_columns(rules, df.schema, check))
     wide = measure(df, measures, fences).select(F.lit(check).alias("check"), status.alias("status"), detail.alias("detail"))
     if not used:
         return wide.withColumn("sample", F.array().cast("array<string>"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.catalogue.alerts import EVENT_SQL, history, suite
 from plumbline.catalogue.registry import Tables, query
 from plumbline.functions.lineage import fresh_dir
-from plumbline.model import ColumnRule
+from plumbline.model import Check, ColumnRule, Defaults, Suite, Tier
+from plumbline.sources import Connection
 from plumbline.streaming import jobs
 from plumbline.streaming.alerts import read_events, sustained_alerts
 
@@ -56,6 +59,33 @@ def stream_validate(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{path}/data").select("check", "status", "detail")
 
 
+@query(
+    "stream_suite",
+    """SELECT 0 AS ord, 'arrived' AS "check", CASE WHEN count(*) = 0 THEN 'FAIL' ELSE 'PASS' END AS status, '1 row(s)' AS detail FROM events
+       UNION ALL SELECT 1, 'errors', CASE WHEN count(*) FILTER (WHERE event_type = 'error') / count(*) > 0.1 THEN 'WARN' ELSE 'PASS' END, '1 row(s)' FROM events
+       UNION ALL SELECT 2, 'unknown_users', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) || ' row(s)'
+                 FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
+)
+def stream_suite(t: Tables) -> DataFrame:
+    unknown = "SELECT event_id, user_id FROM events LEFT ANTI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON c.c_custkey = user_id"
+
+    def with_customers(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        session = tables["events"].sparkSession
+        return {**tables, "customer": session.read.parquet(f"{t.root}/customer.parquet")}
+
+    def suite(batch: Connection) -> Suite:
+        both = Connection("both", lambda spark: with_customers(batch.load(spark)))
+        rate = "SELECT count_if(event_type = 'error') / count(*) AS rate FROM events"
+        return Suite([both], [
+            Check("arrived", "SELECT count(*) AS n FROM events", fail="row.n == 0"), Check("errors", rate, warn="row.rate > 0.1"),
+            Check("unknown_users", unknown, fail=Tier("rows.count > 0", sample=5), order_by=["event_id"]),
+        ], Defaults(timeout="10m"))
+
+    path = fresh_dir(t.spark, "stream-suite")
+    finish(jobs.watch_suite(events(t), "events", suite, f"{path}/data", f"{path}/checkpoint"))
+    return t.spark.read.parquet(f"{path}/data").select("ord", "check", "status", "detail")
+
+
 @query(
     "stream_window_rules",
     """SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, count(*) AS n_rows, count(*) FILTER (WHERE value < 0 OR value > 150) AS value_range,

@@ -7,15 +7,18 @@ need them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.model import ColumnRule
+from plumbline.model import ColumnRule, Suite
 from plumbline.plans.rules import compile_rules
+from plumbline.plans.suite import run_suite
 from plumbline.plans.validate import validate
+from plumbline.sources.connections import Connection, frame_connection
 
 
 def read_stream(
@@ -58,6 +61,24 @@ def validate_stream(
     )
 
 
+def watch_suite(
+    stream: DataFrame, table: str, suite: Callable[[Connection], Suite], path: str, checkpoint: str, as_of: datetime | None = None
+) -> StreamingQuery:
+    """Run a whole suite on each micro-batch and append its results.
+
+    ``suite`` receives a connection in which the batch is a table; it may add
+    others, say for the static side of a join.
+    """
+
+    def record(batch: DataFrame, batch_id: int) -> None:
+        results = run_suite(batch.sparkSession, suite(frame_connection("batch", {table: batch})), as_of)
+        results.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def window_rules(stream: DataFrame, rules: Sequence[ColumnRule], time: str, width: str, delay: str) -> DataFrame:
     """Violations of element-wise rules per tumbling event-time window."""
     measures = [m for m in compile_rules(rules, stream.schema) if m.predicate() is not None]

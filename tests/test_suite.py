@@ -8,7 +8,9 @@ import pytest
 from plumbline.model import Check, ColumnRule, Defaults, Suite, Tier
 from plumbline.plans import results as res
 from plumbline.plans.suite import run_suite, suite_frame
-from plumbline.sources import Connection, parquet_connection, static_connection
+from plumbline.sources import (
+    Connection, catalog_connection, frame_connection, jdbc_connection, parquet_connection, static_connection,
+)
 
 NOW = datetime(2024, 1, 5, 12)
 
@@ -116,6 +118,21 @@ def test_connection_failure_of_any_kind(spark):
     assert got == [("c", "ERROR", 'connection "x" unavailable: no route to host')]
 
 
+def test_catalog_frames_and_databases(spark):
+    spark.range(3).createOrReplaceGlobalTempView("three_rows")
+    catalog = catalog_connection("catalog", ["three_rows"], "global_temp")
+    frames = frame_connection("frames", {"four_rows": spark.range(4)})
+    database = jdbc_connection("database", "jdbc:nosuchdriver://localhost/x", {"t": {}})
+    checks = [
+        Check("a", "select count(*) as n from three_rows", on="catalog", fail="row.n != 3"),
+        Check("b", "select count(*) as n from four_rows", on="frames", fail="row.n != 4"),
+        Check("c", "select count(*) as n from t", on="database"),
+    ]
+    got = outcome(spark, Suite([catalog, frames, database], checks))
+    assert [s for _, s, _ in got] == ["PASS", "PASS", "ERROR"]
+    assert got[2][2].startswith('connection "database" unavailable: ')
+
+
 RESULTS = [
     (0, "ok", "main", "PASS", "1 row(s)", []),
     (1, "slow", "main", "WARN", "2 row(s)", []),

@@ -11,6 +11,7 @@ from plumbline.model import Check, ColumnRule, Defaults, Suite, Tier
 from plumbline.plans import results as res
 from plumbline.plans.suite import run_suite, suite_frame
 from plumbline.plans.thresholds import context, evaluate
+from plumbline.plans.validate import validate
 from plumbline.sources import parquet_connection
 
 NEGATIVE = "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0"
@@ -132,6 +133,18 @@ def check_empty_result(t: Tables) -> DataFrame:
     return _evaluated(t.orders.where("o_totalprice < 0"), checks)
 
 
+@query(
+    "check_unsupported_type",
+    """SELECT "check", 'ERROR' AS status, 'column "embedding" has unhandled type array<float>' AS detail, n AS n_rows
+       FROM (VALUES ('by_tier'), ('by_rule')) c("check"), (SELECT count(*) AS n FROM embeddings)""",
+)
+def check_unsupported_type(t: Tables) -> DataFrame:
+    by_tier = evaluate(t.embeddings, _check("by_tier", fail="rows.count > 0"))
+    by_rule = validate(t.embeddings, [ColumnRule("label", not_null=True)], "by_rule")
+    both = by_tier.unionByName(by_rule).drop("sample")
+    return both.withColumn("n_rows", t.embeddings.agg(F.count(F.lit(1))).scalar())
+
+
 @query(
     "tier_sample",
     """SELECT 'negative_balance' AS "check", CASE WHEN any_value(n) > 0 THEN 'FAIL' ELSE 'PASS' END AS status,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import NUMERIC, TIMESTAMPS, column, plain_value, quote
@@ -24,3 +25,14 @@ def normalise(df: DataFrame) -> DataFrame:
     if problem:
         raise ValueError(problem)
     return df.select(*[plain_value(column(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def type_error_row(df: DataFrame, check: str, status: str) -> DataFrame | None:
+    """The one-row outcome of a check whose result has an unsupported column, if it has."""
+    problem = unsupported_column(df.schema)
+    if problem is None:
+        return None
+    return df.sparkSession.range(1).select(
+        F.lit(check).alias("check"), F.lit(status).alias("status"), F.lit(problem).alias("detail"),
+        F.array().cast("array<string>").alias("sample"),
+    )

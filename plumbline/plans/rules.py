@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.quantiles import iqr_fences
 from plumbline.functions.text import (
-    INTEGRAL, NUMERIC, TIMESTAMPS, as_number, column, debug_list, plain_number, plain_value, present, quote, value_text,
+    INTEGRAL, NUMERIC, TIMESTAMPS, as_number, column, debug_list, plain_number, present, quote, value_text,
 )
 from plumbline.model import ColumnRule
 
@@ -280,7 +280,7 @@ def duplicate_counts(df: DataFrame, m: Measure) -> Column:
     Grouping by the value first lets every task fold its repeats before the
     shuffle, so one very frequent value stays one row per task.
     """
-    value = plain_value(m.value, m.dtype)
+    value = m.number if isinstance(m.dtype, NUMERIC) and not isinstance(m.dtype, INTEGRAL) else m.value
     per_value = df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     total = F.coalesce(F.sum("n"), F.lit(0))
     return per_value.agg(F.struct(total.alias("values"), (total - F.count(F.lit(1))).alias("repeats")).alias("dup")).scalar()

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.normalise import type_error_row
 from plumbline.functions.text import column, row_json
 from plumbline.functions.time import moment, register_functions
 from plumbline.model import ERROR, FAIL, PASS, SAMPLE_ROWS, WARN, Check
@@ -146,6 +147,9 @@ def tier_verdict(ctx: DataFrame, check: Check) -> tuple[Column, Column]:
 
 def evaluate(df: DataFrame, check: Check, as_of: datetime | None = None) -> DataFrame:
     """One row: ``check, status, detail, sample`` for a check with tiers."""
+    failed = type_error_row(df, check.name, ERROR)
+    if failed is not None:
+        return failed
     register_functions(df.sparkSession, as_of)
     row, sample = needs(check)
     ctx = context(df, check.order_by, row, sample, as_of)

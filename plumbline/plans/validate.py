@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.lineage import materialise
+from plumbline.functions.normalise import type_error_row
 from plumbline.functions.text import column, row_json
 from plumbline.model import ERROR, FAIL, PASS, SAMPLE_ROWS, ColumnRule
 from plumbline.plans.rules import (
@@ -139,6 +140,9 @@ def validate(
     With ``reuse`` the result is written once and read back, for inputs that
     are themselves costly to compute.
     """
+    failed = type_error_row(df, check, ERROR)
+    if failed is not None:
+        return failed
     used = [r.name for r in rules if r.name in df.columns]
     if reuse:
         df = materialise(df)

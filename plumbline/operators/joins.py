@@ -51,15 +51,19 @@ def orphan_count(child: DataFrame, parent: DataFrame, child_key: str | Sequence[
 def orphans_of_any(child: DataFrame, parents: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
     """Child rows lacking at least one of several parents ``(parent, child_key, parent_key)``.
 
-    Rows with a NULL key lack that parent for certain and skip the joins.
+    Rows found to lack a parent leave at once; the rest go on to the next one.
+    Each parent's anti and semi join share one shuffle of the child, and both
+    are joins whose hot child keys adaptive execution can split. Rows with a
+    NULL key lack that parent for certain and skip the joins.
     """
     unset = reduce(Column.__or__, [column(child_key).isNull() for _, child_key, _ in parents])
-    out, missing = child.where(~unset), F.lit(False)
-    for i, (parent, child_key, parent_key) in enumerate(parents):
-        known = parent.select(column(parent_key).alias(f"_k{i}")).distinct().withColumn(f"_has{i}", F.lit(True))
-        out = out.join(known, out[child_key] == known[f"_k{i}"], "left")
-        missing = missing | F.col(f"_has{i}").isNull()
-    return out.where(missing).select(*[column(c) for c in child.columns]).unionByName(child.where(unset))
+    lost, whole = [child.where(unset)], child.where(~unset)
+    for parent, child_key, parent_key in parents:
+        known = _parent_keys(parent, [parent_key])
+        on = whole[child_key] == known["_p0"]
+        lost.append(whole.join(known, on, "left_anti"))
+        whole = whole.join(known, on, "left_semi")
+    return reduce(DataFrame.unionByName, lost)
 
 
 def without_match(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:

@@ -165,6 +165,11 @@ def _run_job(job: _Job, as_of: datetime | None) -> dict[int, Outcome]:
 def run_checks(
     spark: SparkSession, suite: Suite, as_of: datetime | None = None, threads: int = 8
 ) -> list[tuple[Check, Outcome]]:
+    """Every check of the suite with its outcome, in suite order.
+
+    Opening connections and analysing queries happen here on the driver; only
+    the groups that are left to run start Spark jobs.
+    """
     live, dead = open_connections(spark, suite.connections)
     declared = [c.name for c in suite.connections]
     for session in live.values():
@@ -206,3 +211,11 @@ def run_suite(
         for i, (check, out) in enumerate(run_checks(spark, suite, as_of, threads))
     ]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
+
+
+def run_check(spark: SparkSession, suite: Suite, name: str, as_of: datetime | None = None) -> DataFrame:
+    """The result of one check of a suite, by name."""
+    found = [c for c in suite.resolved() if c.name == name]
+    if not found:
+        raise ValueError(f"check {quote(name)} not found; available: {debug_list([c.name for c in suite.resolved()])}")
+    return run_suite(spark, Suite(suite.connections, found), as_of)

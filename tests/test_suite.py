@@ -7,7 +7,7 @@ import pytest
 
 from plumbline.model import Check, ColumnRule, Defaults, Suite, Tier
 from plumbline.plans import results as res
-from plumbline.plans.suite import run_suite, suite_frame
+from plumbline.plans.suite import run_check, run_suite, suite_frame
 from plumbline.sources import (
     Connection, catalog_connection, frame_connection, jdbc_connection, parquet_connection, static_connection,
 )
@@ -73,6 +73,15 @@ def test_for_each_and_defaults(spark):
     assert listed["not_empty[a]"]["conditions"] == ["fail"]
 
 
+def test_one_check_by_name(spark):
+    each = Check("count", "select count(*) as n from orders where id > ${each.value}", for_each=["0", "9"], fail="row.n == 0")
+    suite = Suite([orders(2)], [each], Defaults(timeout="1m"))
+    assert run_check(spark, suite, "count[9]", NOW).first()["status"] == "FAIL"
+    with pytest.raises(ValueError) as err:
+        run_check(spark, suite, "count")
+    assert str(err.value) == 'check "count" not found; available: ["count[0]", "count[9]"]'
+
+
 def test_same_query_is_one_job_and_one_bad_check_does_not_spoil_it(spark):
     q = "select * from orders"
     checks = [

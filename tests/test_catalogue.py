@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from plumbline.catalogue import ORACLES, QUERIES
 from tests.compare import mismatch, spark_rows, tables
 
 ROOT = os.environ.get("PLUMBLINE_TESTDATA", "/root/testdata/sf0.001")
@@ -16,13 +17,13 @@ def con():
     return tables(ROOT)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
     assert mismatch(spark, con, name, ROOT) is None
 
 
 def test_others_run(spark):
-    for name in sorted(set(entry_module.queries()) - set(entry_module.oracle_sql())):
+    for name in sorted(set(QUERIES) - set(ORACLES)):
         assert spark_rows(spark, name, ROOT)[1], name
 
 

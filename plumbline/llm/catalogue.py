@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.language import fit_language, predict_language
+from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import find_pii, pii_digests
 from plumbline.llm.secrets import scan_secrets, secret_digests
+from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,12 @@ def fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+@query("op4_packing")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return pack_documents(table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op5_token_counts")
 def op5(spark: SparkSession, root: str) -> DataFrame:
     """Token counts of all documents. The cache begins empty, so that the query's cost is that of the whole work."""
@@ -49,6 +57,13 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     return pii_digests(find_pii(table(spark, root, "documents")))
 
 
+@query("op8_simhash")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprints of all documents and the components they form at two or fewer differing bits."""
+    found = near_duplicates(table(spark, root, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op9_language")
 def op9(spark: SparkSession, root: str) -> DataFrame:
     """Languages of all documents, learned from two thirds of them."""

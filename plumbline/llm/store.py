@@ -38,11 +38,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package where it is not installed (on a cluster, ship it with the job)."""
+def ship(df: DataFrame) -> None:
+    """Let Python workers import this package where it is not installed but lies in the same place; else ship it with the job."""
     env = df.sparkSession.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package within the workers' reach."""
+    ship(df)
     return df.mapInArrow(run, schema)
 
 

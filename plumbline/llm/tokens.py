@@ -7,7 +7,9 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +17,14 @@ from pyspark.sql import functions as F
 from plumbline.llm.store import map_batches, new_path, slices
 
 #: Entries a worker's memory of pieces may hold; when full it starts anew, which costs time only.
-MEMO = 400_000
+MEMO = 600_000
 #: White space as Unicode has it; the separators U+001C to U+001F, which Python adds, are not in it.
 _WHITE = "\t\n\x0b\x0c\r\x20\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PIECES = re.compile(rf"\x20?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
 _ODD = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case depends on their neighbours or is more than one letter.
+_UNLIKE = re.compile("[\u03a3\u0130]")
+_TAIL = re.compile(r"(.*[^\W_])([.,!?;:|#*$%&]++)", re.DOTALL).fullmatch
 
 
 @lru_cache(maxsize=4)
@@ -35,33 +40,79 @@ def special_strings(path: str) -> tuple[str, ...]:
     return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
 
 
-class Counter:
-    """Token counts of whole texts for a byte-level vocabulary.
+def encode_distinct(path: str, pieces: list[str], at_once: int = 2000) -> list[bytes]:
+    """Little-endian unsigned 32-bit ids of each piece; no piece may hold a special string.
 
-    Its splitting pattern never joins text across the pieces cut here (a word with the blank before it, or white space),
-    so a text's count is the sum over its pieces, and each distinct piece is encoded once. Texts with special strings,
-    whose places cut the text first, and with control characters that Python and the pattern see differently are encoded
-    whole.
+    Many pieces go through the library as one text with a special string between each two: it cuts the text before
+    anything else is done to it, and its id marks where a piece's ids end.
+    """
+    own, special = tokenizer(path), special_strings(path)
+    if not special:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in own.encode_batch_fast(pieces, add_special_tokens=False)]
+    mark, out = own.token_to_id(special[0]), []
+    for a in range(0, len(pieces), at_once):
+        ids = np.array(own.encode_batch_fast([special[0].join(pieces[a : a + at_once])], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts, data = np.flatnonzero(ids == mark).tolist(), ids.tobytes()
+        out += [data[4 * x + 4 : 4 * y] for x, y in zip([-1, *cuts], [*cuts, len(ids)], strict=True)]
+    return out
+
+
+class Memo:
+    """Ids of words or pieces of text, each met by the tokenizer once while it is remembered.
+
+    A piece that ends in punctuation after a letter or digit is put together from two, as both vocabularies' patterns
+    always cut there; ``fold`` may lower-case pieces where the vocabulary does so itself.
     """
 
-    def __init__(self, path: str) -> None:
-        self.path, self.memo = path, {}
+    def __init__(self, path: str, fold: bool = False) -> None:
+        self.path, self.fold, self.whole, self.parts = path, fold, {}, {}
+
+    def _parts(self, piece: str) -> tuple[str, ...]:
+        if self.fold:
+            if _UNLIKE.search(piece):
+                return (piece,)
+            low = piece.lower()
+            if piece.isascii() or is_normalized("NFC", piece) and is_normalized("NFC", low):
+                piece = low
+        m = _TAIL(piece)
+        return m.groups() if m else (piece,)
+
+    def learn(self, pieces: set[str]) -> None:
+        new = pieces - self.whole.keys()
+        if len(self.whole) + len(new) > MEMO:
+            self.whole, new = {}, pieces
+        made = {p: self._parts(p) for p in new}
+        parts = set().union(*made.values())
+        fresh = parts - self.parts.keys()
+        if len(self.parts) + len(fresh) > MEMO:
+            self.parts, fresh = {}, parts
+        fresh = list(fresh)
+        self.parts.update(zip(fresh, encode_distinct(self.path, fresh), strict=True))
+        get = self.parts.__getitem__
+        for piece, own in made.items():
+            self.whole[piece] = b"".join(map(get, own))
+
+    def odd(self, text: str) -> bool:
+        """Must this text be encoded whole?"""
+        return _ODD.search(text) is not None or any(s in text for s in special_strings(self.path))
+
+    def encode(self, text: str) -> bytes:
+        return np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+class Counter(Memo):
+    """Token counts of whole texts for a byte-level vocabulary.
 
-    def _encode(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+    Its splitting pattern never joins text across the pieces cut here (a word with the blank before it, or white space),
+    so a text's count is the sum over its pieces. Texts with special strings, whose places cut the text first, and with
+    control characters that Python and the pattern see differently are encoded whole.
+    """
 
     def counts(self, texts: list[str]) -> list[int]:
-        special = special_strings(self.path)
-        whole = [_ODD.search(t) is not None or any(s in t for s in special) for t in texts]
-        pieces = [None if w else _PIECES.findall(t) for t, w in zip(texts, whole, strict=True)]
-        new = set().union(*filter(None, pieces)) - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = set().union(*filter(None, pieces))
-        new = list(new)
-        self.memo.update(zip(new, self._encode(new), strict=True))
-        get = self.memo.__getitem__
-        return [self._encode([t])[0] if w else sum(map(get, p)) for t, w, p in zip(texts, whole, pieces, strict=True)]
+        pieces = [None if self.odd(t) else _PIECES.findall(t) for t in texts]
+        self.learn(set().union(*filter(None, pieces)))
+        get = self.whole.__getitem__
+        return [(len(self.encode(t)) if p is None else sum(map(len, map(get, p)))) // 4 for t, p in zip(texts, pieces, strict=True)]
 
 
 @lru_cache(maxsize=2)

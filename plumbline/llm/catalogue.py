@@ -14,6 +14,7 @@ from plumbline.llm.pii import find_pii, pii_digests
 from plumbline.llm.secrets import scan_secrets, secret_digests
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.tokens import token_counts
+from plumbline.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +39,17 @@ def fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labelled documents of four folds in five."""
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    labels = table(spark, root, "labels").where(fold(5) != 0).select("doc_id", "toxic")
+    model = fit_toxicity(docs.join(labels, "doc_id"))
+    found = score_toxicity(docs, model)
+    held_out = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op4_packing")
 def op4(spark: SparkSession, root: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""

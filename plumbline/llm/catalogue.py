@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.decontamination import find_contaminated
 from plumbline.llm.language import fit_language, predict_language
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import find_pii, pii_digests
 from plumbline.llm.secrets import scan_secrets, secret_digests
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.tokens import token_counts
-from plumbline.llm.toxicity import fit_toxicity, score_toxicity
+from plumbline.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,12 +45,34 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     """Toxicity of all documents, learned from the labelled documents of four folds in five."""
     docs = table(spark, root, "documents").select("doc_id", "text")
     labels = table(spark, root, "labels").where(fold(5) != 0).select("doc_id", "toxic")
-    model = fit_toxicity(docs.join(labels, "doc_id"))
+    model = fit_toxicity(labelled_texts(docs, labels))
     found = score_toxicity(docs, model)
     held_out = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+OP2_SQL = """
+WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(5, len(w)) AS k FROM items WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+           FROM (SELECT item_id, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i FROM sized)),
+words AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+cut AS (SELECT doc_id, r, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i
+        FROM words, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k),
+held AS (SELECT DISTINCT doc_id, r, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM cut),
+shared AS (SELECT doc_id, r, item_id, count(*) AS n_shared FROM held JOIN wanted USING (k, s) GROUP BY doc_id, r, item_id),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM wanted GROUP BY item_id)
+SELECT doc_id, item_id, n_shared, n_shingles, CAST(n_shared AS DOUBLE) / n_shingles AS containment
+FROM shared JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_shingles
+"""
+
+
+@query("op2_decontamination", OP2_SQL)
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold at least 0.8 of a benchmark item's five-word shingles."""
+    return find_contaminated(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark"))
+
+
 @query("op4_packing")
 def op4(spark: SparkSession, root: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""

@@ -191,6 +191,20 @@ def calibrate(margins: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[fl
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
+def bounded(rows: DataFrame, most_rows: int, *by: str) -> DataFrame:
+    """``rows``, or where there are more than ``most_rows``, those whose hash of the columns ``by`` is in the share that fits."""
+    total = rows.count()
+    if total <= most_rows:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < int((1 << 40) * 0.95 * most_rows / total))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Texts with their labels. At most about ``most_rows`` labels are taken, so that they can be sent to every task of the scan."""
+    few = bounded(labels.where(F.col(id_col).isNotNull()).select(id_col, label_col), most_rows, id_col)
+    return docs.select(id_col, text_col).join(F.broadcast(few), id_col)
+
+
 def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", landmarks: int = 128, most_rows: int = 20_000) -> Model:
     """Learn from labelled texts (sentences or documents); the label is 1 for toxic.
 
@@ -199,10 +213,7 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
     label are left out. Without rows of both labels the model scores every text 0 (or 1, if all are toxic).
     """
     rows = labelled.select(F.col(text_col).alias("text"), (F.col(label_col) == 1).alias("bad")).where("text is not null and bad is not null")
-    total = rows.count()
-    if total > most_rows:
-        mark = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-        rows = rows.where(mark < int((1 << 40) * most_rows / total * 0.98))
+    rows = bounded(rows, most_rows, "text")
 
     def count(batches):
         sums: dict[str, list[int]] = {}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.decontamination import find_contaminated
+from plumbline.llm.embeddings import near_vectors
 from plumbline.llm.language import fit_language, predict_language
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import find_pii, pii_digests
@@ -92,6 +93,12 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     return pii_digests(find_pii(table(spark, root, "documents")))
 
 
+@query("op7_embeddings")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    """Links and components of all embeddings of one label at a cosine of 0.93."""
+    return near_vectors(table(spark, root, "embeddings"))
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, root: str) -> DataFrame:
     """Fingerprints of all documents and the components they form at two or fewer differing bits."""

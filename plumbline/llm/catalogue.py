@@ -13,6 +13,7 @@ from plumbline.llm.embeddings import near_vectors
 from plumbline.llm.language import fit_language, predict_language
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import find_pii, pii_digests
+from plumbline.llm.repeats import find_repeats, remove_repeats
 from plumbline.llm.secrets import scan_secrets, secret_digests
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.tokens import token_counts
@@ -74,6 +75,12 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
     return find_contaminated(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark"))
 
 
+@query("op3_repeats")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that begin more than once."""
+    return remove_repeats(find_repeats(table(spark, root, "documents")))
+
+
 @query("op4_packing")
 def op4(spark: SparkSession, root: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""

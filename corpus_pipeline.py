@@ -1,13 +1,72 @@
-"""A corpus pipeline of five stages over ``documents``; each stage's result is written and read again by the next."""
+"""A corpus pipeline of five stages over ``documents``; each stage's result is written and read again by the next.
+
+``toxicity`` drops documents scored toxic, ``near_duplicates`` keeps one document of each SimHash group,
+``decontamination`` drops documents that hold a benchmark item, ``secrets`` replaces secrets in texts, and ``packing`` cuts
+and packs what is left into training sequences. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm.decontamination import drop_contaminated
+from plumbline.llm.packing import pack_documents
+from plumbline.llm.secrets import redact
+from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.store import keep
+from plumbline.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model learned from the labelled ones scores below one half.
+
+    Null and empty texts are scored as empty and stay; without labels of both kinds among the documents nothing is
+    learned and every document stays unless all labels are toxic. Repeated rows are judged alike.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = fit_toxicity(labelled_texts(docs, labels))
+    return score_toxicity(docs, model, score_col="toxicity_score").where("toxicity_score < 0.5").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies.
+
+    Rows of one id are one document: of repeated rows one stays. Null and empty texts are copies of each other. Rows
+    without an id stay only where no row of their group has one, one for all such groups.
+    """
+    found = keep(near_duplicates(docs), "near-duplicates")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    ids = kept.distinct()
+    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+    return out if ids.count() == kept.count() else out.dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 0.8 of no benchmark item's five-word shingles; null and empty texts stay."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets in their texts are replaced by ``[secret]``, and ``n_chars`` follows. Null texts stay null."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of at most 2048 tokens with its sequence and place; null texts count as empty."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_copies),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
 
+#: The first and last stages are learned models and a tokenizer, which SQL can't express; tests hold stages against brute force.
 ORACLE_SQL = None
 
 

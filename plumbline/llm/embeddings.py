@@ -23,6 +23,8 @@ from plumbline.llm.store import keep, map_batches, ship
 
 #: Code words per block, and the threshold in standard deviations of a random vector's lean towards a direction.
 WORDS, LEAN, SEED = 64, 2.6, 20240611
+#: Filters that every vector has at least: where fewer exceed the threshold, the directions it leans towards most.
+FEWEST = 24
 #: Vectors of one filter that are compared at once.
 CHUNK = 1024
 #: Rows that one group for Python holds, about.
@@ -41,19 +43,22 @@ def code(dim: int, words: int = WORDS) -> tuple[np.ndarray, ...]:
 
 
 def decode(unit: np.ndarray, words: int = WORDS, lean: float = LEAN) -> list[np.ndarray]:
-    """Filters of each unit vector, ascending; the one it leans towards most is always among them."""
+    """Filters of each unit vector, ascending: all directions it leans towards enough, and at least the ``FEWEST`` best."""
     dim = unit.shape[1]
     blocks, cuts = code(dim, words), np.cumsum([0, *[b.shape[1] for b in code(dim, words)]])
     scores = [unit[:, a:b] @ own.T for own, a, b in zip(blocks, cuts, cuts[1:], strict=False)]
     least = lean / np.sqrt(dim) * np.sqrt(len(blocks))
     out = []
     if len(blocks) == 1:
-        return [np.flatnonzero((s >= min(least, s.max()))) for s in scores[0]]
+        return [np.flatnonzero(s >= min(least, np.sort(s)[-min(FEWEST, words)])) for s in scores[0]]
     orders = [np.argsort(-s, axis=1) for s in scores]
     tops = [np.take_along_axis(s, o, axis=1) for s, o in zip(scores, orders, strict=True)]
+    # the best sums are among those of high places in both lists
+    i, j = np.nonzero(np.outer(np.arange(1, words + 1), np.arange(1, words + 1)) <= FEWEST)
+    floors = np.partition(tops[0][:, i] + tops[1][:, j], -FEWEST, axis=1)[:, -FEWEST]
     for k in range(len(unit)):
         first, second = tops[0][k], tops[1][k]
-        need = min(least, first[0] + second[0])
+        need = min(least, floors[k])
         # how far down the second list each word of the first may go
         reach = np.searchsorted(-second, -(need - first) + 1e-12, side="right")
         rows = np.flatnonzero(reach)

@@ -73,7 +73,8 @@ def index_pairs(codes: np.ndarray, groups: np.ndarray, limit: int, step: int = 8
         levels.append(np.flatnonzero(turn | np.concatenate([[True], lead[1:] != lead[:-1]])[: len(codes)]))
         patterns.append(lead[levels[-1]] & np.uint64((1 << step) - 1))
     levels.append(np.arange(len(codes)))
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    none = np.empty(0, dtype=np.int64)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(none, none)]
 
     def children(depth: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own, below = levels[depth], levels[depth + 1]

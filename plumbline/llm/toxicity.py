@@ -27,7 +27,7 @@ LEAST = 0.4
 WINDOW = 24
 MEMO = 600_000
 _EDGES = ".,!?;:|#*$%&()[]{}<>\"'`~^=+-_/\\"
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}+(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S(?!\S)){3,}+")
 
 
 @lru_cache(maxsize=64)

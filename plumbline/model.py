@@ -18,7 +18,6 @@ from plumbline.functions.time import interval_secs
 COLUMN_TYPES = ("int", "float", "string", "bool", "timestamp")
 OUTLIER_METHODS = ("iqr", "zscore")
 DISTRIBUTIONS = ("normal",)
-DEFAULT_TIMEOUT_SECS = 30
 DEFAULT_EVERY_SECS = 60
 SAMPLE_ROWS = 10
 
@@ -67,22 +66,22 @@ class ColumnRule:
         _one_of(where, "distribution", self.distribution, DISTRIBUTIONS)
         for key in ("not_null", "unique"):
             if getattr(self, key) is not None and not isinstance(getattr(self, key), bool):
-                raise ValueError(f"{where}: `{key}` must be bool, got {getattr(self, key)!r}")
+                raise ValueError(f"{where}: `{key}` is true or false, not {getattr(self, key)!r}")
         if self.null_rate is not None:
             if not _is_number(self.null_rate):
-                raise ValueError(f"{where}: `null_rate` must be a number, got {self.null_rate!r}")
+                raise ValueError(f"{where}: `null_rate` needs a number, not {self.null_rate!r}")
             if not 0 <= self.null_rate <= 1:
-                raise ValueError(f"{where}: `null_rate` must lie between 0 and 1, got {self.null_rate!r}")
+                raise ValueError(f"{where}: `null_rate` is a share from 0 to 1, not {self.null_rate!r}")
         if self.allowed is not None:
             if isinstance(self.allowed, str) or not isinstance(self.allowed, Sequence):
-                raise ValueError(f"{where}: `allowed` must be a list, got {self.allowed!r}")
+                raise ValueError(f"{where}: `allowed` needs a list, not {self.allowed!r}")
             for item in self.allowed:
                 if not isinstance(item, str):
-                    raise ValueError(f"{where}: `allowed` items must be strings, got {item!r}")
+                    raise ValueError(f"{where}: `allowed` holds only text, not {item!r}")
             object.__setattr__(self, "allowed", tuple(self.allowed))
         if self.matches is not None:
             if not isinstance(self.matches, str):
-                raise ValueError(f"{where}: `matches` must be a string, got {self.matches!r}")
+                raise ValueError(f"{where}: `matches` needs text, not {self.matches!r}")
             _check_pattern(where, self.matches)
         if self.range is not None:
             object.__setattr__(self, "range", _read_range(where, self.range))
@@ -92,7 +91,7 @@ class ColumnRule:
         known = {f.name for f in fields(cls)} - {"name"}
         for key in attributes:
             if key not in known:
-                raise ValueError(f"validate column {quote(name)}: unknown attribute `{key}`")
+                raise ValueError(f"validate column {quote(name)} has no rule `{key}`")
         return cls(name, **attributes)
 
 
@@ -104,39 +103,75 @@ def _one_of(where: str, what: str, value: Any, known: Sequence[str]) -> None:
     if value is None:
         return
     if not isinstance(value, str):
-        raise ValueError(f"{where}: {what} must be a string, got {value!r}")
+        raise ValueError(f"{where}: {what} needs text, not {value!r}")
     if value not in known:
-        raise ValueError(f"{where}: unknown {what} {quote(value)}; expected one of {debug_list(known)}")
+        raise ValueError(f"{where}: no such {what}: {quote(value)}; there are {debug_list(known)}")
 
 
 def _read_range(where: str, value: Any) -> tuple[float, float]:
     if isinstance(value, Mapping):
         for key in ("min", "max"):
             if key not in value:
-                raise ValueError(f"{where}: `range` missing `{key}`")
+                raise ValueError(f"{where}: `range` lacks `{key}`")
         value = (value["min"], value["max"])
     if not isinstance(value, Sequence) or isinstance(value, str) or len(value) != 2:
-        raise ValueError(f"{where}: `range` must hold min and max, got {value!r}")
+        raise ValueError(f"{where}: `range` takes a pair or `min` and `max`, not {value!r}")
     low, high = value
     for key, bound in (("min", low), ("max", high)):
         if not _is_number(bound):
-            raise ValueError(f"{where}: `range.{key}` must be a number, got {bound!r}")
+            raise ValueError(f"{where}: `range.{key}` needs a number, not {bound!r}")
     if low > high:
-        raise ValueError(f"{where}: `range.min` ({plain_number(low)}) must be <= `range.max` ({plain_number(high)})")
+        raise ValueError(f"{where}: `range` is empty: {plain_number(low)} lies above {plain_number(high)}")
     return float(low), float(high)
 
 
+#: What stands in a pattern that is neither a literal nor plain syntax, outside character classes.
+_GROUP = re.compile(r"\(\?(?:P<[A-Za-z_]\w*>|<[A-Za-z_]\w*>|[imsxU]*(?:-[imsxU]+)?[:)])")
+
+
 def _check_pattern(where: str, pattern: str) -> None:
-    """Reject patterns that are malformed or need backtracking features."""
-    if re.search(r"\(\?(?:[=!]|<[=!])", pattern) or re.search(r"(?<!\\)(?:\\\\)*\\(?:[1-9]|k<)", pattern):
-        raise ValueError(f"{where}: `matches` regex {quote(pattern)} is invalid: lookaround and backreferences are not supported")
-    # Spelling differences only; the pattern itself is handed to Spark.
+    """Reject patterns that are malformed or outside the dialect: no lookaround, backreferences or conditions."""
+
+    def refuse(why: str) -> None:
+        raise ValueError(f"{where}: `matches` regex {quote(pattern)} cannot be used: {why}")
+
+    i, in_class, depth = 0, 0, 0
+    while i < len(pattern):
+        char = pattern[i]
+        if char == "\\":
+            if re.match(r"\\[1-9kgG]", pattern[i:]):
+                refuse("no lookaround, backreferences or conditions")
+            i += 2
+            continue
+        if char == "[" and not pattern.startswith("[:", i):
+            in_class += 1
+        elif char == "]" and in_class:
+            in_class -= 1
+        elif char == "(" and not in_class:
+            if pattern.startswith("(?", i) and not _GROUP.match(pattern, i):
+                refuse("no lookaround, backreferences or conditions")
+            depth += not re.match(r"\(\?[imsxU-]+\)", pattern[i:])
+            i += 1
+            if pattern.startswith("?", i):  # the group's head is no repetition
+                i = _GROUP.match(pattern, i - 1).end()
+                if pattern[i - 1] == ")":
+                    continue
+            continue
+        elif char == ")" and not in_class:
+            depth -= 1
+            if depth < 0:
+                refuse("unopened group")
+        i += 1
+    if depth or in_class:
+        refuse("unclosed group or class")
+    # Repetitions and escapes: spelling aside, the two dialects agree on what is malformed.
     probe = re.sub(r"\\[pP](?:\{[^}]*\}|[A-Za-z])", "x", pattern)
     probe = re.sub(r"\[:\^?[a-z]+:\]", "x", probe).replace(r"\z", r"\Z").replace("(?<", "(?P<")
+    probe = re.sub(r"\(\?[imsxU-]*\)", "(?:)", re.sub(r"\(\?[imsxU-]+:", "(?:", probe))
     try:
         re.compile(probe)
     except re.error as err:
-        raise ValueError(f"{where}: `matches` regex {quote(pattern)} is invalid: {err}") from err
+        raise ValueError(f"{where}: `matches` regex {quote(pattern)} cannot be used: {err}") from err
 
 
 def _as_tier(tier: Tier | str | None) -> Tier | None:
@@ -172,23 +207,23 @@ class Check:
         if not isinstance(self.name, str) or not self.name:
             raise ValueError("check needs a name")
         if not (isinstance(self.query, str) or callable(self.query)):
-            raise ValueError(f"{where}: query is not a string: {self.query!r}")
+            raise ValueError(f"{where}: the query is neither SQL text nor a function: {self.query!r}")
         object.__setattr__(self, "warn", _as_tier(self.warn))
         object.__setattr__(self, "fail", _as_tier(self.fail))
         if self.validate is not None:
             if self.warn is not None or self.fail is not None:
-                raise ValueError(f"{where}: `validate` is mutually exclusive with `warn`/`fail`; remove one or the other")
+                raise ValueError(f"{where} has column rules and tiers; a check takes one kind only")
             object.__setattr__(self, "validate", tuple(self.validate))
         if isinstance(self.for_each, str):
-            raise ValueError(f"{where}: for_each must be a list, got {self.for_each!r}")
+            raise ValueError(f"{where}: `for_each` needs a list of texts, not {self.for_each!r}")
         for item in self.for_each:
             if not isinstance(item, str):
-                raise ValueError(f"{where}: for_each items must be strings, got {item!r}")
+                raise ValueError(f"{where}: `for_each` holds only text, not {item!r}")
         object.__setattr__(self, "for_each", tuple(self.for_each))
         for key in ("every", "timeout"):
             text = getattr(self, key)
             if text is not None and interval_secs(text) is None:
-                raise ValueError(f"{where}: bad `{key}` interval {quote(str(text))}")
+                raise ValueError(f"{where}: `{key}` cannot be read as an interval: {quote(str(text))}")
 
     @property
     def sql(self) -> str | None:
@@ -200,8 +235,9 @@ class Check:
         return self.query.replace("${each.value}", self.each_value)
 
     @property
-    def timeout_secs(self) -> int:
-        return interval_secs(self.timeout) if self.timeout else DEFAULT_TIMEOUT_SECS
+    def timeout_secs(self) -> int | None:
+        """The check's own deadline; without one it may take as long as its data need."""
+        return interval_secs(self.timeout) if self.timeout else None
 
     @property
     def every_secs(self) -> int:

@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only when the session names none (as in local tests) a temporary folder is
-    used; on a cluster set ``spark.checkpoint.dir`` to shared storage.
+    Only in local mode, and when the session names none, a temporary folder is
+    used; on a cluster a missing ``spark.checkpoint.dir`` is an error, as each
+    executor would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to storage that the driver and all executors share")
     return tempfile.mkdtemp(prefix="plumbline-")
 
 
@@ -24,9 +28,17 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once with a reliable checkpoint and read it back from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` once as Parquet and read it back; also where it lies, for :func:`discard`.
+
+    Passes over it read only the columns they need, and Catalyst knows its size.
+    """
+    path = fresh_dir(df.sparkSession, "result")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library's own, wherever its file system is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

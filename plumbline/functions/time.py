@@ -13,15 +13,16 @@ from plumbline.functions.text import quote
 
 # Unit letters and their length in seconds.
 UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
+#: A number as texts may hold it; casts alone would also take suffixes such as ``5d``.
+NUMBER = r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 
 def duration(text: str) -> float:
     """Seconds in ``"30m"``-style text; fractions allowed."""
     number, unit = text[:-1], text[-1:]
-    try:
-        amount = float(number)
-    except ValueError:
-        raise ValueError(f"bad duration: {quote(text)}") from None
+    if not re.fullmatch(NUMBER, number):
+        raise ValueError(f"bad duration: {quote(text)}")
+    amount = float(number)
     if unit not in UNIT_SECONDS:
         raise ValueError(f"unknown duration unit in {quote(text)} (use s/m/h/d)")
     return amount * UNIT_SECONDS[unit]
@@ -58,7 +59,8 @@ def _unit_factor(unit: Column) -> Column:
 
 def duration_seconds(text: Column) -> Column:
     """Column form of :func:`duration`; NULL where the text is no duration."""
-    number = text.substr(F.lit(1), F.length(text) - 1).try_cast("double")
+    number = text.substr(F.lit(1), F.length(text) - 1)
+    number = F.when(number.rlike(rf"^{NUMBER}\z"), number.try_cast("double"))
     return number * _unit_factor(F.right(text, F.lit(1)))
 
 
@@ -90,15 +92,25 @@ def age_of_epoch(epoch: Column, as_of: Column) -> Column:
 def register_functions(spark: SparkSession, as_of: datetime | None = None) -> None:
     """Make ``duration(text)`` and ``age(ts)`` usable in tier conditions.
 
+    ``age_text`` is ``age`` for texts, which must be written as dates; a text of
+    digits is no number of seconds. Conditions say ``age`` for both.
+
     They are SQL functions, so Catalyst inlines them; no Python runs per row.
     ``age`` measures from ``as_of``, or from the current time when not given.
     """
     now = f"TIMESTAMP '{utc(as_of):%Y-%m-%d %H:%M:%S.%f}+00:00'" if as_of else "current_timestamp()"
-    spark.sql("""
+    number = NUMBER.replace("\\", "\\\\")
+    spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION duration(t STRING) RETURNS DOUBLE
-        RETURN cast(left(t, length(t) - 1) AS DOUBLE) * CASE right(t, 1)
+        RETURN CASE WHEN t IS NULL OR left(t, length(t) - 1) RLIKE '^{number}$' THEN cast(left(t, length(t) - 1) AS DOUBLE)
+                    ELSE raise_error('bad duration: ' || t) END * CASE right(t, 1)
             WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400
             ELSE raise_error('unknown duration unit (use s/m/h/d)') END""")
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION age_text(t STRING) RETURNS DOUBLE
+        RETURN unix_micros({now}) / 1e6D
+             - CASE WHEN t IS NULL OR t RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}' THEN unix_micros(cast(t AS TIMESTAMP)) / 1e6D
+                    ELSE raise_error('bad timestamp: ' || t) END""")
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION age(t STRING, as_of TIMESTAMP DEFAULT {now}) RETURNS DOUBLE
         RETURN unix_micros(as_of) / 1e6D

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.text import column
 from plumbline.functions.time import seconds_between
@@ -64,8 +65,22 @@ def null_rate(df: DataFrame, name: str) -> DataFrame:
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Key combinations that occur more than once, with ``n``."""
-    return df.groupBy(*[column(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Key combinations that occur more than once, with ``n``.
+
+    Text keys are counted by their digest; only texts that do repeat are then
+    fetched, one of each after folding within tasks.
+    """
+    texts = [k for k in keys if isinstance(df.schema[k].dataType, T.StringType)]
+    if not texts:
+        return df.groupBy(*[column(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = [(F.unhex(F.sha2(column(k), 256)) if k in texts else column(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
+    ids = [f"_k{i}" for i in range(len(keys))]
+    again = df.select(*named).groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = df.select(*named, *[column(k).alias(f"_t{i}") for i, k in enumerate(keys) if k in texts])
+    on = [rows[k].eqNullSafe(again[k]) for k in ids]
+    found = rows.join(again, on).select(*[again[k] for k in ids], "n", *[f"_t{i}" for i, k in enumerate(keys) if k in texts])
+    one = found.groupBy(*ids, "n").agg(*[F.first(f"_t{i}").alias(f"_t{i}") for i, k in enumerate(keys) if k in texts])
+    return one.select(*[F.col(f"_t{i}" if k in texts else f"_k{i}").alias(k) for i, k in enumerate(keys)], "n")
 
 
 def group_size_not(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:

@@ -51,29 +51,43 @@ def orphan_count(child: DataFrame, parent: DataFrame, child_key: str | Sequence[
 def orphans_of_any(child: DataFrame, parents: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
     """Child rows lacking at least one of several parents ``(parent, child_key, parent_key)``.
 
-    Rows found to lack a parent leave at once; the rest go on to the next one.
-    Each parent's anti and semi join share one shuffle of the child, and both
-    are joins whose hot child keys adaptive execution can split. Rows with a
-    NULL key lack that parent for certain and skip the joins.
+    One pass over the child: a left outer join per parent against its distinct
+    keys marks what was found, and one filter keeps the rows that lack a mark.
+    Adaptive execution can split hot keys on the child's side of such joins.
+    Rows with a NULL key lack that parent for certain and skip the joins.
     """
     unset = reduce(Column.__or__, [column(child_key).isNull() for _, child_key, _ in parents])
-    lost, whole = [child.where(unset)], child.where(~unset)
-    for parent, child_key, parent_key in parents:
-        known = _parent_keys(parent, [parent_key])
-        on = whole[child_key] == known["_p0"]
-        lost.append(whole.join(known, on, "left_anti"))
-        whole = whole.join(known, on, "left_semi")
-    return reduce(DataFrame.unionByName, lost)
+    marked, marks = child.where(~unset), []
+    for i, (parent, child_key, parent_key) in enumerate(parents):
+        known = parent.select(column(parent_key).alias(f"_key{i}")).distinct()
+        marked = marked.join(known, marked[child_key] == known[f"_key{i}"], "left")
+        marks.append(F.col(f"_key{i}").isNull())
+    lost = marked.where(reduce(Column.__or__, marks)).select(*map(column, child.columns))
+    return lost.unionByName(child.where(unset))
 
 
-def without_match(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-    """Rows of ``left`` for which no row of ``right`` meets the condition."""
-    return left.join(right, on, "left_anti")
+def _skip_nulls(left: DataFrame, right: DataFrame, on: Column | Sequence[tuple[str, str]]) -> tuple[DataFrame, Column, Column | None]:
+    """Rows whose keys are set, the condition, and the test for the others; key pairs only, conditions stay as they are."""
+    if isinstance(on, Column):
+        return left, on, None
+    unset = reduce(Column.__or__, [left[a].isNull() for a, _ in on])
+    return left.where(~unset), reduce(Column.__and__, [left[a] == right[b] for a, b in on]), unset
 
 
-def with_match(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+def without_match(left: DataFrame, right: DataFrame, on: Column | Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows of ``left`` for which no row of ``right`` meets the condition.
+
+    Given as pairs of column names, rows with a NULL key skip the join.
+    """
+    keyed, test, unset = _skip_nulls(left, right, on)
+    out = keyed.join(right, test, "left_anti")
+    return out if unset is None else out.unionByName(left.where(unset))
+
+
+def with_match(left: DataFrame, right: DataFrame, on: Column | Sequence[tuple[str, str]]) -> DataFrame:
     """Rows of ``left`` for which some row of ``right`` meets the condition, once each."""
-    return left.join(right, on, "left_semi")
+    keyed, test, _ = _skip_nulls(left, right, on)
+    return keyed.join(right, test, "left_semi")
 
 
 def joined_count(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

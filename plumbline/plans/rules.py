@@ -8,8 +8,11 @@ small aggregates read back as scalar subqueries.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +31,15 @@ IQR_MIN, ZSCORE_MIN, NORMAL_MIN = 4, 3, 8
 ZSCORE_LIMIT, NORMAL_P = 3.0, 0.05
 FIRST = "_first_pass"
 # The text forms accepted as a timestamp.
-RFC3339_FORM = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
-LOCAL_FORM = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
+RFC3339_FORM = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])\z"
+LOCAL_FORM = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\z"
 
 
 def java_pattern(pattern: str) -> str:
     """The pattern in ``java.util.regex`` spelling.
 
-    ``$`` means the very end of the text, ``.`` excludes only ``\\n`` and the
-    classes ``\\d \\w \\s \\b`` cover Unicode.
+    ``$`` means the very end of the text, ``.`` excludes only ``\\n``, the
+    classes ``\\d \\w \\s \\b`` cover Unicode and so does ``(?i)``.
     """
     out, in_class, i = [], 0, 0
     multiline = "(?m" in pattern
@@ -52,12 +55,13 @@ def java_pattern(pattern: str) -> str:
         i += 1
     unicode = any(c in pattern for c in (r"\d", r"\w", r"\s", r"\b", r"\D", r"\W", r"\S", r"\B", "[:"))
     text = "".join(out).replace("(?P<", "(?<")
+    text = re.sub(r"\(\?([msxU]*)i([imsxU]*)(?=[-:)])", r"(?\1iu\2", text)
     return ("(?dU)" if unicode else "(?d)") + text
 
 
 def _is_time_text(text: Column) -> Column:
     """Whether text has an accepted timestamp form and names a real instant."""
-    local = F.regexp_replace(F.regexp_replace(text, "[Tt]", " "), r"(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})?$", "")
+    local = F.regexp_replace(F.regexp_replace(text, "[Tt]", " "), r"(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})?\z", "")
     real = local.try_cast("timestamp_ntz").isNotNull()
     return (text.rlike(RFC3339_FORM) | text.rlike(LOCAL_FORM)) & real
 
@@ -79,6 +83,30 @@ def _breaks_type(col: Column, dtype: T.DataType, expected: str) -> Column:
     return F.lit(not conforms)
 
 
+# The largest numbers of the integer types.
+_LARGEST = {T.ByteType: 2**7 - 1, T.ShortType: 2**15 - 1, T.IntegerType: 2**31 - 1, T.LongType: 2**63 - 1}
+
+
+def _outside(col: Column, dtype: T.DataType, low: float, high: float) -> Column:
+    """Whether a number lies outside the bounds, compared in the column's own type.
+
+    Bounds become literals of that type, so the comparison is exact and reaches
+    the scan; a bound beyond the type's values excludes nothing.
+    """
+    if isinstance(dtype, INTEGRAL):
+        most = _LARGEST[type(dtype)]
+        first = -math.inf if low == -math.inf else math.ceil(low) if math.isfinite(low) else math.inf
+        last = math.inf if high == math.inf else math.floor(high) if math.isfinite(high) else -math.inf
+        if first > most or last < -most - 1 or first > last:
+            return F.lit(True)
+        tests = [col < F.lit(first).cast(dtype)] if first > -most - 1 else []
+        tests += [col > F.lit(last).cast(dtype)] if last < most else []
+        return tests[0] | tests[1] if len(tests) == 2 else tests[0] if tests else F.lit(False)
+    if isinstance(dtype, T.DecimalType) and math.isfinite(low) and math.isfinite(high):
+        return (col < F.lit(Decimal(repr(low)))) | (col > F.lit(Decimal(repr(high))))
+    return ~col.cast("double").between(low, high)
+
+
 @dataclass(frozen=True)
 class Outliers:
     """What an outlier test needs to know: an interval, or count, mean and deviation."""
@@ -125,7 +153,7 @@ class Measure:
         if self.rule == "range":
             if not isinstance(dtype, NUMERIC):
                 return seen
-            return seen & ~col.cast("double").between(*self.param)
+            return seen & _outside(col, dtype, *self.param)
         if self.rule == "outliers" and isinstance(dtype, NUMERIC):
             return seen & outliers.predicate(col.cast("double"))
         return None
@@ -140,7 +168,9 @@ class Measure:
         if self.rule == "null_rate":
             return [F.count_if(~present(self.value, self.dtype)).alias(self.key)]
         if self.rule == "distribution":
-            return [F.count(self.number).alias(f"{self.key}_n"), F.avg(self.number).alias(f"{self.key}_mean")]
+            number = self.number
+            stats = (("n", F.count(number)), ("m2", F.var_pop(number)), ("skew", F.skewness(number)), ("kurt", F.kurtosis(number)))
+            return [agg.alias(f"{self.key}_{name}") for name, agg in stats]
         if self.rule == "outliers" and self.param == "zscore":
             number = self.number
             stats = (("n", F.count(number)), ("mean", F.avg(number)), ("sd", F.stddev_pop(number)))
@@ -154,13 +184,6 @@ class Measure:
         if self.rule == "outliers":
             predicate = self.predicate(outliers)
             return [(F.lit(0).cast("bigint") if predicate is None else F.count_if(predicate)).alias(self.key)]
-        if self.rule == "distribution":
-            off = self.number - first.getField(f"{self.key}_mean")
-            square = off * off
-            return [
-                F.coalesce(F.avg(power), F.lit(0.0)).alias(f"{self.key}_m{k}")
-                for k, power in ((2, square), (3, square * off), (4, square * square))
-            ]
         return []
 
     # What follows reads the one-row result of the passes.
@@ -181,9 +204,7 @@ class Measure:
 
     def _p(self) -> Column:
         """Jarque-Bera tail probability; chi-squared with two degrees is exp(-x/2)."""
-        n, m2, m3, m4 = (F.col(f"{self.key}_{k}") for k in ("n", "m2", "m3", "m4"))
-        spread = F.when(m2 > 0, m2)
-        skew, kurt = m3 / F.pow(spread, F.lit(1.5)), m4 / (spread * spread) - 3.0
+        n, skew, kurt = (F.col(f"{self.key}_{k}") for k in ("n", "skew", "kurt"))
         return F.exp(-(n / 6.0) * (skew * skew + kurt * kurt / 4.0) / 2.0)
 
     def error(self) -> Column:
@@ -280,7 +301,9 @@ def duplicate_counts(df: DataFrame, m: Measure) -> Column:
     Grouping by the value first lets every task fold its repeats before the
     shuffle, so one very frequent value stays one row per task.
     """
-    value = m.number if isinstance(m.dtype, NUMERIC) and not isinstance(m.dtype, INTEGRAL) else m.value
+    value = m.number if isinstance(m.dtype, (T.FloatType, T.DoubleType)) else m.value
+    if isinstance(m.dtype, (T.StringType, T.CharType, T.VarcharType)):
+        value = F.unhex(F.sha2(value, 256))  # long texts don't travel
     per_value = df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     total = F.coalesce(F.sum("n"), F.lit(0))
     return per_value.agg(F.struct(total.alias("values"), (total - F.count(F.lit(1))).alias("repeats")).alias("dup")).scalar()
@@ -291,12 +314,12 @@ def measure(
 ) -> DataFrame:
     """All counts of all measures in one row, with ``n_rows`` and any extra aggregates.
 
-    One scan for most rules. Outliers and normality take a second scan that
+    One scan for most rules. Outliers take a second scan that
     reads the first one's row as a scalar subquery; uniqueness one each, as its
     shuffle is by the column's values.
     """
     wide = first_pass(df, measures, extra)
-    second = [m for m in measures if m.rule in ("outliers", "distribution")]
+    second = [m for m in measures if m.rule == "outliers"]
     if second:
         first = as_struct(wide).alias(FIRST)
         seen = F.col(FIRST)

@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.lineage import materialise
+from plumbline.functions.lineage import discard, materialise
 from plumbline.functions.normalise import unsupported_column
 from plumbline.functions.text import debug_list, quote
 from plumbline.functions.time import register_functions, utc
@@ -26,7 +27,7 @@ from plumbline.model import ERROR, FAIL, WARN, Check, Suite
 from plumbline.plans.rules import compile_rules, find_fences, measure, missing_columns
 from plumbline.plans.thresholds import add_rows, first_row, needs, sample_array, tier_verdict
 from plumbline.plans.validate import sample_json, verdict
-from plumbline.sources.connections import first_line, open_connections
+from plumbline.sources.connections import first_line, open_connections, query_reader
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("ord", T.IntegerType(), False),
@@ -53,7 +54,9 @@ class _Job:
     session: SparkSession
     df: DataFrame
     checks: list[tuple[int, Check]]
-    timeout: int
+    timeout: int | None
+    written: bool = False
+    """Whether the source may change between passes, so that its rows are fetched once."""
 
 
 class QueryTimeout(Exception):
@@ -73,8 +76,10 @@ def suite_frame(spark: SparkSession, suite: Suite) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def resolve(check: Check, session: SparkSession) -> DataFrame:
-    """The check's result as a DataFrame: analysed, not run."""
+def resolve(check: Check, session: SparkSession, options: Mapping[str, Any] | None = None) -> DataFrame:
+    """The check's result as a DataFrame: analysed, not run. With ``options`` a database runs the SQL."""
+    if options and check.sql is not None:
+        return session.read.format("jdbc").options(**query_reader(session, options, check.sql)).load()
     return check.query(session) if callable(check.query) else session.sql(check.sql)
 
 
@@ -122,8 +127,10 @@ def _cancel_after(spark: SparkSession, group: str, seconds: float, done: threadi
         spark.sparkContext.cancelJobGroup(group)
 
 
-def with_deadline(spark: SparkSession, seconds: float, work: Callable[[], list[Row]]) -> list[Row]:
-    """Run Spark work of this thread; its jobs are really stopped at the deadline."""
+def with_deadline(spark: SparkSession, seconds: float | None, work: Callable[[], list[Row]]) -> list[Row]:
+    """Run Spark work of this thread; its jobs are really stopped at the deadline, if there is one."""
+    if seconds is None:
+        return work()
     group, done, fired = f"plumbline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
     spark.sparkContext.setJobGroup(group, "plumbline check", interruptOnCancel=True)
     watch = threading.Thread(target=_cancel_after, args=(spark, group, seconds, done, fired), daemon=True)
@@ -142,23 +149,25 @@ def _run_job(job: _Job, as_of: datetime | None) -> dict[int, Outcome]:
     by_ord = dict(job.checks)
 
     def work() -> dict[int, Outcome]:
-        df = materialise(job.df) if any(c.materialise for c in by_ord.values()) else job.df
-        out = {}
-        for r in group_plan(df, job.checks, as_of).collect():
-            sample = check_sample(df, by_ord[r["ord"]], r["status"], r["broken"])
-            out[r["ord"]] = Outcome(r["status"], r["detail"], list(sample.first()["sample"]) if sample is not None else [])
-        return out
+        df, path = materialise(job.df) if job.written or any(c.materialise for c in by_ord.values()) else (job.df, None)
+        try:
+            out = {}
+            for r in group_plan(df, job.checks, as_of).collect():
+                sample = check_sample(df, by_ord[r["ord"]], r["status"], r["broken"])
+                out[r["ord"]] = Outcome(r["status"], r["detail"], list(sample.first()["sample"]) if sample is not None else [])
+            return out
+        finally:
+            if path is not None:
+                discard(job.session, path)
 
     try:
         return with_deadline(job.session, job.timeout, work)
-    except QueryTimeout as err:
-        return {i: Outcome(ERROR, str(err)) for i in by_ord}
-    except Exception as err:  # noqa: BLE001 - a failing check must not take the others down
+    except Exception as err:  # noqa: BLE001 - a failing or slow check must not take the others down
         if len(job.checks) == 1:
             return {i: Outcome(ERROR, first_line(err)) for i in by_ord}
         out: dict[int, Outcome] = {}
-        for pair in job.checks:
-            out.update(_run_job(_Job(job.session, job.df, [pair], job.timeout), as_of))
+        for pair in job.checks:  # each by itself, with its own deadline
+            out.update(_run_job(_Job(job.session, job.df, [pair], job.timeout, job.written), as_of))
         return out
 
 
@@ -172,6 +181,8 @@ def run_checks(
     """
     live, dead = open_connections(spark, suite.connections)
     declared = [c.name for c in suite.connections]
+    options = {c.name: c.options for c in suite.connections}
+    changing = {c.name for c in suite.connections if c.live}
     for session in live.values():
         register_functions(session, as_of)
     checks = suite.resolved()
@@ -190,11 +201,11 @@ def run_checks(
             jobs[key].checks.append((i, check))
             continue
         try:
-            df = resolve(check, live[check.on])
+            df = resolve(check, live[check.on], options[check.on])
         except Exception as err:  # noqa: BLE001 - e.g. a missing table
             results[i] = Outcome(ERROR, first_line(err))
         else:
-            jobs[key] = _Job(live[check.on], df, [(i, check)], check.timeout_secs)
+            jobs[key] = _Job(live[check.on], df, [(i, check)], check.timeout_secs, check.on in changing)
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs) or 1))) as pool:
         for out in pool.map(lambda job: _run_job(job, as_of), jobs.values()):
             results.update(out)

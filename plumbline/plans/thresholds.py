@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.normalise import type_error_row
-from plumbline.functions.text import column, row_json
+from plumbline.functions.text import column, finite, row_json
 from plumbline.functions.time import moment, register_functions
 from plumbline.model import ERROR, FAIL, PASS, SAMPLE_ROWS, WARN, Check
 
@@ -33,21 +33,54 @@ def mentions(when: str, what: str) -> bool:
     return re.search(rf"(?<![\w.]){what}\b", _code(when), re.IGNORECASE) is not None
 
 
+def _closing(code: str, opening: int) -> int:
+    """Where the bracket at ``opening`` closes, or the end of the text."""
+    depth = 0
+    for at in range(opening, len(code)):
+        depth += (code[at] in "([") - (code[at] in ")]")
+        if depth == 0:
+            return at
+    return len(code)
+
+
+def _arguments(when: str, code: str, opening: int) -> list[str]:
+    """The texts between the commas of a call's brackets."""
+    end, depth, cuts = _closing(code, opening), 0, [opening]
+    for at in range(opening, end):
+        depth += (code[at] in "([") - (code[at] in ")]")
+        if code[at] == "," and depth == 1:
+            cuts.append(at)
+    return [when[a + 1 : b].strip() for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
+
+
+def typed_ages(ctx: DataFrame, when: str) -> str:
+    """The condition with ``age`` of a text spelled ``age_text``."""
+    code, out = _code(when), when
+    for match in reversed(list(re.finditer(r"\bage\s*\(", code, re.IGNORECASE))):
+        argument = _arguments(when, code, match.end() - 1)[0]
+        try:
+            dtype = ctx.select(F.expr(argument).alias("a")).schema["a"].dataType
+        except (AnalysisException, ParseException):
+            continue  # the condition as a whole will say what is wrong
+        if isinstance(dtype, T.StringType):
+            out = out[: match.start()] + "age_text(" + out[match.end() :]
+    return out
+
+
 def divisors(when: str) -> list[tuple[str, str]]:
-    """Each ``/`` or ``%`` of a condition with the text it divides by, innermost first."""
+    """Each ``/``, ``%``, ``div``, ``mod`` or ``pmod`` of a condition with the text it divides by, innermost first."""
     code, found = _code(when), []
-    for match in re.finditer(r"[/%]", code):
+    for match in re.finditer(r"\bp?mod\s*\(", code, re.IGNORECASE):
+        arguments = _arguments(when, code, match.end() - 1)
+        if len(arguments) == 2:
+            found.append((match[0].rstrip("( ").lower(), arguments[1]))
+    for match in re.finditer(r"[/%]|\bdiv\b", code, re.IGNORECASE):
         operand = re.compile(r"\s*[-+]?\s*(?:[\w.]+|(?=\())").match(code, match.end())
         if operand is None:
             continue
         end = operand.end()
         while end < len(code) and code[end] in "([":
-            depth = 0
-            for end in range(end, len(code)):
-                depth += (code[end] in "([") - (code[end] in ")]")
-                if depth == 0:
-                    break
-            end += 1
+            end = _closing(code, end) + 1
         found.append((match[0], when[match.end() : end].strip()))
     return sorted(found, key=lambda pair: len(pair[1]))
 
@@ -56,9 +89,14 @@ def order_keys(df: DataFrame, order_by: Sequence[str] | None) -> list[Column]:
     return [column(c) for c in order_by or df.columns]
 
 
+def finite_columns(df: DataFrame) -> list[Column]:
+    """All columns, NaN and infinities as NULL: a condition on such a number is an error, neither true nor false."""
+    return [finite(column(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
+
+
 def first_row(df: DataFrame, order_by: Sequence[str] | None = None) -> Column:
     """Aggregate: the first row, found without sorting."""
-    return F.min_by(F.struct(*map(column, df.columns)), F.struct(*order_keys(df, order_by)))
+    return F.min_by(F.struct(*finite_columns(df)), F.struct(*order_keys(df, order_by)))
 
 
 def first_rows(df: DataFrame, limit: int, order_by: Sequence[str] | None = None) -> DataFrame:
@@ -87,7 +125,7 @@ def add_rows(
     parts = [F.col("n_rows").alias("count")]
     if sample:
         keys = F.struct(*order_keys(df, order_by)).alias("k")
-        head = first_rows(df, SAMPLE_ROWS, order_by).select(keys, F.struct(*map(column, df.columns)).alias("r"))
+        head = first_rows(df, SAMPLE_ROWS, order_by).select(keys, F.struct(*finite_columns(df)).alias("r"))
         rows = F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda s: s.getField("r"))
         parts.append(head.agg(rows.alias("s")).scalar().alias("sample"))
     return ctx.withColumn("rows", F.struct(*parts)).withColumn("as_of", moment(as_of))
@@ -107,6 +145,7 @@ def condition(ctx: DataFrame, when: str) -> tuple[Column, Column]:
     anywhere in the text and ``row`` of an empty result at run time.
     """
     none = F.lit(None).cast("string")
+    when = typed_ages(ctx, when)
     try:
         dtype = ctx.select(F.expr(when).alias("fires")).schema["fires"].dataType
     except (AnalysisException, ParseException) as err:
@@ -120,7 +159,7 @@ def condition(ctx: DataFrame, when: str) -> tuple[Column, Column]:
         try:
             ctx.select(F.expr(f"try_cast(({text}) AS DOUBLE) = 0D"))
         except (AnalysisException, ParseException):
-            continue
+            return F.lit(f"cannot read the divisor of `{sign}`; put it in brackets"), F.lit(False)
         zero = F.expr(f"try_cast(({text}) AS DOUBLE) = 0D")
         words = F.lit(f"division by zero (`{sign}` with a zero divisor)")
         error = F.when(zero, words) if error is None else error.when(zero, words)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.lineage import materialise
+from plumbline.functions.lineage import discard, materialise
 from plumbline.functions.normalise import type_error_row
 from plumbline.functions.text import column, row_json
 from plumbline.model import ERROR, FAIL, PASS, SAMPLE_ROWS, ColumnRule
@@ -91,9 +91,8 @@ def offending_rows(
 ) -> DataFrame:
     """The first offending rows of each column, numbered within the column.
 
-    Per column a filtered top-``limit``: every task keeps only that many rows in
-    a heap, and the column's own condition lets Parquet statistics skip clean
-    row groups. ``only`` names the rule positions known to be violated; others
+    One scan for all columns: a row stands once for every column it offends,
+    and each task passes on only its first ``limit`` rows per column. ``only`` names the rule positions known to be violated; others
     are then not looked at. The result holds at most ``limit`` rows per column.
     """
     measures = [m for m in compile_rules(rules, df.schema) if only is None or m.ord in only]
@@ -106,15 +105,13 @@ def offending_rows(
         predicate = m.predicate(outliers.get(m.key, Outliers()))
         if predicate is not None:
             broken[m.ord] = broken[m.ord] | predicate if m.ord in broken else predicate
-    keys = [column(c).asc_nulls_first() for c in order_by or df.columns]
-    heads = [
-        df.where(predicate).orderBy(*keys).limit(limit).select(F.lit(i).alias("ord"), F.struct(*map(column, df.columns)).alias("row"))
-        for i, predicate in broken.items()
-    ]
-    empty = df.limit(0).select(F.lit(0).alias("ord"), F.struct(*map(column, df.columns)).alias("row"))
-    few = reduce(DataFrame.unionByName, heads) if heads else empty
+    row = F.struct(*map(column, df.columns)).alias("row")
+    if not broken:
+        return df.limit(0).select(F.lit(0).alias("ord"), F.lit(0).alias("pos"), row)
+    marks = F.array_compact(F.array(*[F.when(predicate, F.lit(i)) for i, predicate in broken.items()]))
+    hits = df.where(reduce(Column.__or__, broken.values())).select(F.explode(marks).alias("ord"), row)
     within = Window.partitionBy("ord").orderBy(*[F.col("row").getField(c).asc_nulls_first() for c in order_by or df.columns])
-    return few.withColumn("pos", F.row_number().over(within)).select("ord", "pos", "row")
+    return hits.withColumn("pos", F.row_number().over(within)).where(F.col("pos") <= limit).select("ord", "pos", "row")
 
 
 def sample_json(
@@ -137,20 +134,22 @@ def validate(
 ) -> DataFrame:
     """One row: ``check, status, detail, sample``.
 
-    With ``reuse`` the result is written once and read back, for inputs that
+    Evaluated here: the verdict first, and sample rows only of columns it names,
+    so a table that passes is not read for them. With ``reuse`` the result is written once and read back, for inputs that
     are themselves costly to compute.
     """
     failed = type_error_row(df, check, ERROR)
     if failed is not None:
         return failed
-    used = [r.name for r in rules if r.name in df.columns]
-    if reuse:
-        df = materialise(df)
+    df, path = materialise(df) if reuse else (df, None)
     measures = compile_rules(rules, df.schema)
     fences = find_fences(df, measures)
-    status, detail, _ = verdict(rules, measures, missing_columns(rules, df.schema, check))
-    wide = measure(df, measures, fences).select(F.lit(check).alias("check"), status.alias("status"), detail.alias("detail"))
-    if not used:
-        return wide.withColumn("sample", F.array().cast("array<string>"))
-    sample = sample_json(df, rules, order_by, fences).scalar()
-    return wide.withColumn("sample", F.when(F.col("status") == FAIL, sample).otherwise(F.array().cast("array<string>")))
+    status, detail, broken = verdict(rules, measures, missing_columns(rules, df.schema, check))
+    got = measure(df, measures, fences).select(status.alias("status"), detail.alias("detail"), broken.alias("broken")).first()
+    sample = []
+    if got["status"] == FAIL:
+        sample = list(sample_json(df, rules, order_by, fences, only=got["broken"]).first()["sample"])
+    if path is not None:
+        discard(df.sparkSession, path)
+    schema = "check string, status string, detail string, sample array<string>"
+    return df.sparkSession.createDataFrame([(check, got["status"], got["detail"], sample)], schema)

@@ -7,6 +7,7 @@ only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -23,6 +24,9 @@ class Connection:
     name: str
     load: Loader
     options: Mapping[str, Any] = field(default_factory=dict)
+    """Reader options of a database that runs the checks' SQL itself."""
+    live: bool = False
+    """Whether rows may change while a check reads them; each result is then fetched once."""
 
 
 def parquet_connection(name: str, root: str, tables: Sequence[str], suffix: str = ".parquet") -> Connection:
@@ -44,11 +48,26 @@ def jdbc_connection(name: str, url: str, tables: Mapping[str, Mapping[str, Any]]
         reader = spark.read.format("jdbc").options(url=url, **options)
         return {t: reader.options(dbtable=t, **extra).load() for t, extra in tables.items()}
 
-    return Connection(name, load)
+    return Connection(name, load, live=True)
+
+
+def jdbc_query_connection(name: str, url: str, **options: Any) -> Connection:
+    """A database that runs each check's SQL itself; only its rows travel.
+
+    The text goes to the reader's ``query`` option unchanged, so it is written
+    in the database's own SQL. Rows come through one connection: for results too
+    large for that, use :func:`jdbc_connection` with partitioned tables.
+    """
+    return Connection(name, lambda spark: {}, {"url": url, **options}, live=True)
+
+
+def query_reader(spark: SparkSession, options: Mapping[str, Any], sql: str) -> dict[str, Any]:
+    """The reader options that send ``sql`` to the database."""
+    return {**options, "query": sql.strip().rstrip(";")}
 
 
 def frame_connection(name: str, frames: Mapping[str, DataFrame]) -> Connection:
-    """Tables that are DataFrames already; their views live in the frames' own session."""
+    """Tables that are DataFrames already; the connection's views do not touch their own session."""
     return Connection(name, lambda spark: frames)
 
 
@@ -66,6 +85,19 @@ def scoped_session(spark: SparkSession) -> SparkSession:
     return session
 
 
+def _show(df: DataFrame, session: SparkSession, table: str) -> None:
+    """Make ``df`` a view of ``session`` alone, by way of a global view that goes at once."""
+    if df.sparkSession is session:
+        df.createOrReplaceTempView(table)
+        return
+    passing = f"plumbline_{uuid.uuid4().hex}"
+    df.createGlobalTempView(passing)
+    try:
+        session.table(f"global_temp.{passing}").createOrReplaceTempView(table)
+    finally:
+        session.catalog.dropGlobalTempView(passing)
+
+
 def open_connections(
     spark: SparkSession, connections: Sequence[Connection]
 ) -> tuple[dict[str, SparkSession], dict[str, str]]:
@@ -76,8 +108,7 @@ def open_connections(
         session = scoped_session(spark)
         try:
             for table, df in connection.load(session).items():
-                session = df.sparkSession
-                df.createOrReplaceTempView(table)
+                _show(df, session, table)
         except Exception as err:  # noqa: BLE001 - any failure to open is this connection's own
             dead[connection.name] = first_line(err)
         else:

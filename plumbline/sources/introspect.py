@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import column, quote
+from plumbline.sources.connections import first_line
 
 # Bounds of a table sample and the form of a safe table name.
 SAMPLE_DEFAULT, SAMPLE_MAX = 10, 100
@@ -56,20 +58,34 @@ def grouped_by_table(columns: DataFrame) -> DataFrame:
 
 
 def sample_table(df: DataFrame, limit: int | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
-    """A few rows in a stable order: 10 unless asked, between 1 and 100."""
+    """A few rows: 10 unless asked, between 1 and 100; any rows, or the first by ``order_by``."""
     n = min(max(SAMPLE_DEFAULT if limit is None else limit, 1), SAMPLE_MAX)
-    return df.orderBy(*[column(c).asc_nulls_first() for c in order_by or df.columns]).limit(n)
-
-
-def reachable(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Per table: whether a full count could be read, and how many rows it found."""
-    out = None
-    for name, df in tables.items():
-        line = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), F.lit(1).alias("ok"), "n_rows")
-        out = line if out is None else out.unionByName(line)
-    if out is None:
-        return spark.createDataFrame([], "table_name string, ok int, n_rows bigint")
-    return out
+    if order_by is None:
+        return df.limit(n)
+    return df.orderBy(*[column(c).asc_nulls_first() for c in order_by]).limit(n)
+
+
+def reachable(spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]) -> DataFrame:
+    """Per table: ``ok`` is 1 where a row could be asked for, else 0 with the error's first line.
+
+    Each table is probed by itself, with no more than one row; a function opens
+    its table within the probe, so one that cannot even be opened is reported too.
+    """
+    rows = []
+    for name, table in tables.items():
+        try:
+            (table() if callable(table) else table).limit(1).collect()
+        except Exception as err:  # noqa: BLE001 - any failure is what this reports
+            rows.append((name, 0, first_line(err)))
+        else:
+            rows.append((name, 1, None))
+    return spark.createDataFrame(rows, "table_name string, ok int, error string")
+
+
+def row_counts(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Per table: how many rows a full read finds."""
+    lines = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, lines) if lines else spark.createDataFrame([], "table_name string, n_rows bigint")
 
 
 def probe(spark: SparkSession) -> bool:

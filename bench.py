@@ -55,18 +55,15 @@ def iqr_prices(spark, root):
 
 
 def percentile_narrowing(spark, root):
-    exact_percentiles(Tables(spark, root).lineitem, ["l_extendedprice"], [0.25, 0.75], map_limit=1000)
+    exact_percentiles(Tables(spark, root).lineitem, ["l_extendedprice"], [0.25, 0.75])
     return None
 
 
-def percentile_map(spark, root):
-    exact_percentiles(Tables(spark, root).lineitem, ["l_extendedprice"], [0.25, 0.75], map_limit=10**9)
-    return None
 
 
 EXTRA = {
     "fused_rules_lineitem": fused_rules, "one_job_per_rule_lineitem": one_job_per_rule, "iqr_l_extendedprice": iqr_prices,
-    "percentile_by_narrowing": percentile_narrowing, "percentile_by_map": percentile_map,
+    "percentile_by_narrowing": percentile_narrowing,
 }
 
 

@@ -12,7 +12,7 @@ from plumbline.plans import results as res
 from plumbline.plans.suite import run_suite, suite_frame
 from plumbline.plans.thresholds import context, evaluate
 from plumbline.plans.validate import validate
-from plumbline.sources import parquet_connection
+from plumbline.sources import frame_connection, parquet_connection
 
 NEGATIVE = "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0"
 ERROR_RATE = "SELECT count(*) FILTER (WHERE event_type = 'error') / count(*) AS rate FROM events"
@@ -89,6 +89,9 @@ def tier_error_non_boolean(t: Tables) -> DataFrame:
               CASE WHEN zero THEN 'division by zero (`' || sign || '` with a zero divisor)' ELSE '1 row(s)' END AS detail FROM
            (SELECT 'divide' AS "check", '/' AS sign, negative = 0 AS zero FROM (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS negative FROM orders)
             UNION ALL SELECT 'modulo', '%', negative = 0 FROM (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS negative FROM orders)
+            UNION ALL SELECT 'whole', 'div', negative = 0 FROM (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS negative FROM orders)
+            UNION ALL SELECT 'rest', 'mod', negative = 0 FROM (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS negative FROM orders)
+            UNION ALL SELECT 'plain_rest', 'pmod', negative = 0 FROM (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS negative FROM orders)
             UNION ALL SELECT 'untaken', '/', negative = 0 FROM (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS negative FROM orders)
             UNION ALL SELECT 'sound', '/', n = 0 FROM (SELECT count(*) AS n FROM orders))""",
 )
@@ -96,11 +99,40 @@ def tier_error_div_zero(t: Tables) -> DataFrame:
     totals = t.orders.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") < 0).alias("negative"))
     conditions = {
         "divide": "row.n / row.negative < 1", "modulo": "row.n % row.negative == 0",
+        "whole": "row.n div row.negative == 0", "rest": "mod(row.n, row.negative) == 0", "plain_rest": "pmod(row.n, (row.negative * 1)) == 0",
         "untaken": "row.n < 0 and row.n / (row.negative * 2) > 1", "sound": "row.negative / row.n > 1",
     }
     return _evaluated(totals, [_check(name, fail=when) for name, when in conditions.items()])
 
 
+@query(
+    "tier_error_nan",
+    """SELECT "check", 'ERROR' AS status, '`when` returned null, expected a boolean' AS detail
+       FROM (SELECT count(*) AS n FROM orders WHERE o_totalprice > 0), (VALUES ('below'), ('above'), ('sampled')) c("check") WHERE n > 0
+       UNION ALL SELECT 'counted', CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END, '1 row(s)' FROM orders WHERE o_totalprice > 0""",
+)
+def tier_error_nan(t: Tables) -> DataFrame:
+    """A rate that is not a number is neither below nor above a threshold."""
+    paid = t.orders.where("o_totalprice > 0")
+    totals = paid.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice") * float("nan")).alias("rate"))
+    conditions = {"below": "row.rate < 0.9", "above": "row.rate > 0.9", "sampled": "rows.sample[0].rate > 0.9", "counted": "row.n > 0"}
+    return _evaluated(totals, [_check(name, fail=when) for name, when in conditions.items()])
+
+
+@query(
+    "suite_frames",
+    """SELECT "check", connection, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n || ' row(s)' AS detail FROM (
+           SELECT 'first' AS "check", 'a' AS connection, count(*) AS n FROM orders WHERE o_totalprice > 400000
+           UNION ALL SELECT 'second', 'b', count(*) FROM customer WHERE c_acctbal < 0
+           UNION ALL SELECT 'third', 'a', count(*) FROM orders WHERE o_totalprice > 400000)""",
+)
+def suite_frames(t: Tables) -> DataFrame:
+    """Two connections of frames, each with a table of the same name."""
+    pair = [frame_connection("a", {"t": t.orders.where("o_totalprice > 400000")}), frame_connection("b", {"t": t.customer.where("c_acctbal < 0")})]
+    checks = [Check(name, "SELECT * FROM t", on=on, fail="rows.count > 0") for name, on in (("first", "a"), ("second", "b"), ("third", "a"))]
+    return run_suite(t.spark, Suite(pair, checks), EVENTS_AS_OF).select("check", "connection", "status", "detail")
+
+
 @query(
     "check_decide",
     """SELECT "check", status, n || ' row(s)' AS detail FROM (SELECT count(*) AS n FROM customer WHERE c_acctbal < 0), LATERAL
@@ -269,11 +301,6 @@ def results_gauges(t: Tables) -> DataFrame:
 _HEAD = """printf('  [%s] %-32s %s', CASE status WHEN 'ERROR' THEN 'ERR ' ELSE status END, "check", detail)"""
 
 
-@query("report_text", f"SELECT ord, {_HEAD} AS line FROM ({SUITE_SQL})")
-def report_text(t: Tables) -> DataFrame:
-    return res.report_text(_results(t)).where("line_no = 0").select("ord", "line")
-
-
 # The sample rows the failing checks of the suite carry, as JSON texts in order.
 _BALANCE_JSON = """'{"c_custkey":' || c_custkey || ',"c_acctbal":' || c_acctbal || '}'"""
 _ORDER_JSON = """'{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":'
@@ -288,39 +315,56 @@ SAMPLED_SQL = f"""
                 UNION ALL (SELECT 4, 2, o_orderkey AS key, {_ORDER_JSON} FROM orders
                  WHERE NOT regexp_matches(o_orderpriority, '^[1-3]-') ORDER BY key LIMIT 10)) ORDER BY k, key LIMIT 10))
         GROUP BY ord) s ON s.ord = r.ord"""
+# The same rows as plain texts.
+_BALANCE_TEXT = "'c_custkey=' || c_custkey || ' c_acctbal=' || c_acctbal"
+_ORDER_TEXT = """'o_orderkey=' || o_orderkey || ' o_custkey=' || o_custkey || ' o_orderstatus=' || o_orderstatus || ' o_totalprice='
+    || o_totalprice || ' o_orderdate=' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00 o_orderpriority=' || o_orderpriority"""
+TEXT_SQL = SAMPLED_SQL.replace(_BALANCE_JSON, _BALANCE_TEXT).replace(_ORDER_JSON, _ORDER_TEXT)
+_LINES_SQL = f"""SELECT ord, 0 AS line_no, {_HEAD} AS line FROM ({SUITE_SQL})
+        UNION ALL SELECT ord, i::INTEGER, '      ' || sample[i] FROM ({TEXT_SQL}), range(1, 11) n(i) WHERE i <= len(sample)"""
 _QUOTED_DETAIL = """replace(detail, '"', chr(92) || '"')"""
 
 
-@query(
-    "report_text_samples",
-    f"""SELECT ord, 0 AS line_no, {_HEAD} AS line FROM ({SUITE_SQL})
-        UNION ALL SELECT ord, i::INTEGER, '      ' || sample[i] FROM ({SAMPLED_SQL}), range(1, 11) n(i) WHERE i <= len(sample)""",
-)
-def report_text_samples(t: Tables) -> DataFrame:
+@query("report_text", _LINES_SQL)
+def report_text(t: Tables) -> DataFrame:
     return res.report_text(_results(t))
 
 
-_SAMPLES = """
-    SELECT 2 AS ord, '{"c_custkey":' || c_custkey || ',"c_acctbal":' || c_acctbal || '}' AS j, row_number() OVER (ORDER BY c_custkey) AS pos
-    FROM (SELECT * FROM customer WHERE c_acctbal < 0 ORDER BY c_custkey LIMIT 2)"""
+@query("report_text_samples", f"SELECT ord, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS text FROM ({_LINES_SQL}) GROUP BY ord")
+def report_text_samples(t: Tables) -> DataFrame:
+    """Every check's lines as one text."""
+    lines = res.report_text(_results(t)).groupBy("ord").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return lines.select("ord", "n_lines", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
-@query(
-    "report_failures",
-    f"""SELECT r.ord, r.status || '  ' || r."check" || ' — ' || r.detail || chr(10) AS head, coalesce(s.rows, []) AS rows
-        FROM ({SUITE_SQL}) r LEFT JOIN (SELECT ord, list('  ' || j || chr(10) ORDER BY pos) AS rows FROM ({_SAMPLES}) GROUP BY ord) s ON s.ord = r.ord
-        WHERE r.status IN ('FAIL', 'ERROR') AND r.ord <> 4""",
-)
+_FAILURES_SQL = f"""SELECT ord, status || '  ' || "check" || ' — ' || detail || chr(10) AS head, ['  ' || x || chr(10) FOR x IN sample[1:2]] AS rows
+        FROM ({SAMPLED_SQL}) WHERE status IN ('FAIL', 'ERROR')"""
+
+
+@query("report_failures", _FAILURES_SQL)
 def report_failures(t: Tables) -> DataFrame:
-    return res.failure_lines(_results(t)).where("check <> 'orders_valid'").select("ord", "head", "rows")
+    return res.failure_lines(_results(t)).select("ord", "head", "rows")
 
 
 @query(
     "report_digest",
-    f"""SELECT printf('nightly: %d/%d checks FAILED on "shop"', count(*) FILTER (WHERE status IN ('FAIL', 'ERROR')), count(*)) AS headline FROM ({SUITE_SQL})""",
+    f"""SELECT (SELECT printf('nightly: %d/%d checks FAILED on "shop"', count(*) FILTER (WHERE status IN ('FAIL', 'ERROR')), count(*)) FROM ({SUITE_SQL}))
+               || chr(10) || string_agg(head || array_to_string(rows, ''), '' ORDER BY ord) AS digest, count(*)::INTEGER AS shown, 0 AS more
+        FROM ({_FAILURES_SQL})""",
 )
 def report_digest(t: Tables) -> DataFrame:
-    return res.failure_digest(_results(t), "nightly", "shop").select(F.substring_index("digest", "\n", 1).alias("headline"))
+    return res.failure_digest(_results(t), "nightly", "shop")
+
+
+@query(
+    "report_payload",
+    f"""SELECT '{{"config":"shop","status":"' || CASE WHEN count(*) FILTER (WHERE status IN ('FAIL', 'ERROR')) > 0 THEN 'fail' ELSE 'pass' END
+               || '","total":' || count(*) || ',"failed":' || count(*) FILTER (WHERE status IN ('FAIL', 'ERROR')) || ',"checks":['
+               || string_agg('{{"name":"' || "check" || '","status":"' || lower(status) || '","detail":"' || {_QUOTED_DETAIL} || '"}}', ',' ORDER BY ord)
+               || ']}}' AS payload FROM ({SUITE_SQL})""",
+)
+def report_payload(t: Tables) -> DataFrame:
+    return res.run_payload(_results(t), "shop")
 
 
 @query(

@@ -10,7 +10,7 @@ from plumbline.functions import time
 from plumbline.functions.normalise import normalise
 from plumbline.functions.text import row_text, value_text
 from plumbline.sources import Connection, open_connections, parquet_connection, static_connection
-from plumbline.sources.introspect import describe_columns, grouped_by_table, reachable, sample_table
+from plumbline.sources.introspect import describe_columns, grouped_by_table, reachable, row_counts, sample_table
 
 NOW = sql_at(EVENTS_AS_OF)
 
@@ -75,7 +75,7 @@ def schema_describe(t: Tables) -> DataFrame:
     frames = {name: getattr(t, name) for name in TABLES}
     per_table = grouped_by_table(describe_columns(t.spark, frames))
     text = F.array_join(F.transform("columns", lambda c: F.concat(c.getField("name"), F.lit(":"), c.getField("type"))), ",")
-    return per_table.join(reachable(t.spark, frames), "table_name").select("table_name", text.alias("described"), "n_rows")
+    return per_table.join(row_counts(t.spark, frames), "table_name").select("table_name", text.alias("described"), "n_rows")
 
 
 @query("table_sample", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -86,10 +86,15 @@ def table_sample(t: Tables) -> DataFrame:
 
 @query(
     "source_reachable",
-    " UNION ALL ".join(f"SELECT '{t}' AS table_name, 1 AS ok, count(*) AS n_rows FROM {t}" for t in TABLES),
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, 1 AS ok, true AS clean, count(*) AS n_rows FROM {t}" for t in TABLES)
+    + " UNION ALL SELECT 'dead', 0, false, CAST(NULL AS BIGINT)",
 )
 def source_reachable(t: Tables) -> DataFrame:
-    return reachable(t.spark, {name: getattr(t, name) for name in TABLES})
+    """Every table and one that is not there, with the rows of those that are."""
+    opened = {name: (lambda name=name: getattr(t, name)) for name in TABLES}
+    probed = reachable(t.spark, {**opened, "dead": lambda: t.spark.read.parquet(f"{t.root}/dead.parquet")})
+    counts = row_counts(t.spark, {name: getattr(t, name) for name in TABLES})
+    return probed.join(counts, "table_name", "left").select("table_name", "ok", F.col("error").isNull().alias("clean"), "n_rows")
 
 
 _AMOUNTS = """SELECT l_quantity / 4 || CASE l_returnflag WHEN 'A' THEN 's' WHEN 'N' THEN 'h' ELSE CASE l_linestatus WHEN 'O' THEN 'd' ELSE 'w' END END AS span

@@ -50,7 +50,8 @@ def rule_type_int(t: Tables) -> DataFrame:
     " UNION ALL ".join([
         _rule(
             """(SELECT CASE event_type WHEN 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
-                    WHEN 'view' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 'signup' THEN strftime(ts, '%Y-%m-%d')
+                    WHEN 'view' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN chr(10) ELSE '+25:99' END
+                    WHEN 'signup' THEN strftime(ts, '%Y-%m-%d')
                     WHEN 'error' THEN strftime(ts, '2024-02-31 %H:%M:%S') ELSE props END AS stamp FROM events)""",
             "stamp", "type",
             "NOT (regexp_full_match(stamp, '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}Z?')"
@@ -64,7 +65,7 @@ def rule_type_int(t: Tables) -> DataFrame:
 def rule_type_timestamp(t: Tables) -> DataFrame:
     stamp = (
         F.when(F.col("event_type") == "click", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(F.col("event_type") == "view", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        .when(F.col("event_type") == "view", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.element_at(F.array(*map(F.lit, ("", "\n", "+25:99"))), (F.col("event_id") % 3 + 1).cast("int"))))
         .when(F.col("event_type") == "signup", F.date_format("ts", "yyyy-MM-dd"))
         .when(F.col("event_type") == "error", F.date_format("ts", "'2024-02-31' HH:mm:ss"))
         .otherwise(F.col("props"))
@@ -138,12 +139,14 @@ def rule_allowed(t: Tables) -> DataFrame:
     " UNION ALL ".join([
         _rule("part", "p_brand", "matches", "NOT regexp_matches(p_brand, '^Brand#[0-9]$')",
               _count_words('column "p_brand": matches: ', ' value(s) do not match pattern "^Brand#[0-9]$"')),
+        _rule("part", "p_type", "matches", "NOT regexp_matches(p_type, '^(standard|small)', 'i')",
+              _count_words('column "p_type": matches: ', ' value(s) do not match pattern "^(?i:standard|small)"')),
         _rule("part", "p_size", "matches", "NOT regexp_matches(p_size::VARCHAR, '^[1-4][0-9]$')",
               _count_words('column "p_size": matches: ', ' value(s) do not match pattern "^[1-4][0-9]$"')),
     ]),
 )
 def rule_matches(t: Tables) -> DataFrame:
-    return _report(t.part, ColumnRule("p_brand", matches="^Brand#[0-9]$"), ColumnRule("p_size", matches="^[1-4][0-9]$"))
+    return _report(t.part, ColumnRule("p_brand", matches="^Brand#[0-9]$"), ColumnRule("p_type", matches="^(?i:standard|small)"), ColumnRule("p_size", matches="^[1-4][0-9]$"))
 
 
 @query(
@@ -199,6 +202,11 @@ def rule_outliers_iqr(t: Tables) -> DataFrame:
     return _report(t.events, ColumnRule("value", outliers="iqr"), ColumnRule("user_id", outliers="iqr"))
 
 
+@query("rule_outliers_iqr_lines", _iqr_sql("lineitem", "l_extendedprice"))
+def rule_outliers_iqr_lines(t: Tables) -> DataFrame:
+    return _report(t.lineitem, ColumnRule("l_extendedprice", outliers="iqr"))
+
+
 @query("rule_outliers_zscore", _zscore_sql("events", "value") + " UNION ALL " + _zscore_sql("events", "user_id"))
 def rule_outliers_zscore(t: Tables) -> DataFrame:
     return _report(t.events, ColumnRule("value", outliers="zscore"), ColumnRule("user_id", outliers="zscore"))

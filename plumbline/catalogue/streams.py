@@ -99,6 +99,20 @@ def stream_window_rules(t: Tables) -> DataFrame:
     return zoneless(table(t, counted, "window-rules"), "window_start", "window_end")
 
 
+@query(
+    "stream_window_null_rate",
+    """SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, count(*) AS n_rows,
+              CASE WHEN count(*) FILTER (WHERE user_id IS NULL) > 0.02 * count(*) THEN count(*) FILTER (WHERE user_id IS NULL) ELSE 0 END AS user_id_null_rate,
+              CASE WHEN count(*) FILTER (WHERE value IS NULL) > 0 THEN count(*) FILTER (WHERE value IS NULL) ELSE 0 END AS value_null_rate
+       FROM (SELECT *, date_trunc('day', ts)::TIMESTAMP AS d, max(ts) OVER () AS newest FROM events)
+       WHERE d + INTERVAL 1 DAY <= newest - INTERVAL 1 HOUR GROUP BY d""",
+)
+def stream_window_null_rate(t: Tables) -> DataFrame:
+    rules = [ColumnRule("user_id", null_rate=0.02), ColumnRule("value", null_rate=0.0)]
+    counted = jobs.window_rules(events(t), rules, "ts", "1 day", "1 hour")
+    return zoneless(table(t, counted, "window-null-rate"), "window_start", "window_end")
+
+
 @query(
     "stream_sliding_volume",
     """SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, count(*) AS n_rows
@@ -148,6 +162,6 @@ def stream_dedup(t: Tables) -> DataFrame:
 )
 def stream_orphans(t: Tables) -> DataFrame:
     stream, known = events(t), t.customer.where("c_acctbal > 0").select("c_custkey")
-    return table(t, jobs.stream_orphans(stream, known, stream["user_id"] == known["c_custkey"]), "orphans").select("event_id", "user_id")
+    return table(t, jobs.stream_orphans(stream, known, "user_id", "c_custkey"), "orphans").select("event_id", "user_id")
 
 

@@ -1,14 +1,13 @@
 """Exact percentiles of numeric columns without sorting or shuffling the data.
 
-A column with few distinct values goes to the built-in ``percentile``, whose
-state is a value -> count map. For any other column that map would grow with
-the data, so the wanted ranks are closed in on instead: a fixed-size
-``percentile_approx`` sketch proposes an interval around each rank, exact counts
-say on which side of (or inside) it the rank lies, and the next pass looks only
-at the values strictly inside, until few are left. Ties at an interval bound
-resolve at once, so a value held by a third of all rows cannot stall it. Each
-pass is a scan with pushed-down bounds and a handful of numbers per column back;
-it narrows the candidates about ``ACCURACY / 4``-fold.
+The wanted ranks are closed in on: a fixed-size sketch proposes an interval
+around each rank, exact counts say on which side of (or inside) it the rank
+lies, and the next pass looks only at the values strictly inside, until few are
+left to be numbered. Ties at an interval bound resolve at once, so a value held
+by a third of all rows cannot stall it. Sketches are merged in two levels, first
+within groups of tasks, so no task receives one from every other. Each pass is a
+scan with pushed-down bounds and a handful of numbers per column back; it
+narrows the candidates some hundredfold.
 """
 
 from __future__ import annotations
@@ -18,15 +17,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import as_number, column
 
-ACCURACY = 10_000
-MAP_LIMIT = 200_000
+#: Size of a sketch, the share of the data its proposals leave on either side of a rank, and groups of the first merge.
+SKETCH_SIZE, MARGIN, MERGE_GROUPS = 4096, 2e-3, 64
+#: Candidates of an interval that are numbered instead of narrowed again.
+FEW = 20_000
 
 
 @dataclass
@@ -55,7 +56,7 @@ class _Search:
 
 
 def exact_percentiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], at_least: int = 1, map_limit: int = MAP_LIMIT
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], at_least: int = 1, few: int = FEW
 ) -> dict[str, list[float | None]]:
     """Percentiles by linear interpolation at ``p * (n - 1)``, NULL and NaN left out.
 
@@ -64,34 +65,46 @@ def exact_percentiles(
     types = {f.name: f.dataType for f in df.schema.fields}
     numbers = df.select(*[as_number(column(c), types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
     names = [f"c{i}" for i in range(len(columns))]
-    around = F.array(*[F.lit(bound) for p in probs for bound in _around(p, p)])
-    first = numbers.agg(*[
-        agg for n in names for agg in (
-            F.count(n).alias(f"{n}_n"), F.approx_count_distinct(n).alias(f"{n}_d"), F.percentile_approx(n, around, ACCURACY).alias(f"{n}_q"),
-        )
-    ]).first()
+    everything = [_Search(n, {0: 0}, 0) for n in names]
+    around = [bound for p in probs for bound in _around(p, p)]
+    first = _sketched(numbers, everything, [around] * len(names), [F.count(n).alias(f"n{i}") for i, n in enumerate(names)])
     found: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
-    enough = [n for n in names if first[f"{n}_n"] >= max(at_least, 1)]
-    small = [n for n in enough if first[f"{n}_d"] <= map_limit]
-    if small:
-        row = numbers.agg(*[F.percentile(n, F.array(*map(F.lit, probs))).alias(n) for n in small]).first()
-        found.update({n: list(row[n]) for n in small})
-    large = [n for n in enough if n not in small]
+    sizes = {n: first[f"n{i}"] for i, n in enumerate(names)}
+    enough = [n for n in names if sizes[n] >= max(at_least, 1)]
     guesses = []
-    for n in large:
+    for n in enough:
+        bounds = first[f"q{names.index(n)}"]
         for i, p in enumerate(probs):
-            at = p * (first[f"{n}_n"] - 1)
-            ends = {math.floor(at), math.ceil(at)}
-            guesses.append((_Search(n, {r: r for r in ends}, first[f"{n}_n"]), *first[f"{n}_q"][2 * i : 2 * i + 2]))
-    values = _values_at(numbers, guesses, map_limit)
-    for n in large:
-        found[n] = [_interpolate(values, n, p * (first[f"{n}_n"] - 1)) for p in probs]
+            at = p * (sizes[n] - 1)
+            guesses.append((_Search(n, {r: r for r in {math.floor(at), math.ceil(at)}}, sizes[n]), *bounds[2 * i : 2 * i + 2]))
+    values = _values_at(numbers, guesses, few)
+    for n in enough:
+        found[n] = [_interpolate(values, n, p * (sizes[n] - 1)) for p in probs]
     return {c: found[n] for c, n in zip(columns, names, strict=True)}
 
 
 def _around(first: float, last: float) -> tuple[float, float]:
     """Shares of the data between which the sketch is asked to bracket some ranks."""
-    return max(0.0, first - 2 / ACCURACY), min(1.0, last + 2 / ACCURACY)
+    return max(0.0, first - MARGIN), min(1.0, last + MARGIN)
+
+
+def _sketched(numbers: DataFrame, searches: list[_Search], shares: list[list[float]], counts: Sequence[Column] = ()) -> Row:
+    """One row: per search the sketch's values ``q<i>`` at the given shares of its candidates, NULL without candidates; any counts."""
+    held = [F.when(s.candidate, F.col(s.column)) for s in searches]
+    sketches = [F.kll_sketch_agg_double(h, F.lit(SKETCH_SIZE)).alias(f"s{i}") for i, h in enumerate(held)]
+    some = [F.count(h).alias(f"m{i}") for i, h in enumerate(held)]
+    group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g")
+    parts = numbers.groupBy(group).agg(*sketches, *some, *counts)
+    names = [c for c in parts.columns if c not in ("g", *[f"s{i}" for i in range(len(searches))])]
+    merged = [
+        F.kll_merge_agg_double(F.when(F.col(f"m{i}") > 0, F.col(f"s{i}")), F.lit(SKETCH_SIZE)).alias(f"s{i}") for i in range(len(searches))
+    ]
+    whole = parts.agg(*merged, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    asked = [
+        F.when(F.col(f"m{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"s{i}"), F.array(*map(F.lit, shares[i])))).alias(f"q{i}")
+        for i in range(len(searches))
+    ]
+    return whole.select(*asked, *names).first()
 
 
 def _interpolate(values: dict[tuple[str, int], float], name: str, at: float) -> float:
@@ -100,16 +113,13 @@ def _interpolate(values: dict[tuple[str, int], float], name: str, at: float) ->
     return values[name, low] * (1 - share) + values[name, high] * share
 
 
-def _values_at(
-    numbers: DataFrame, guesses: list[tuple[_Search, float, float]], map_limit: int
-) -> dict[tuple[str, int], float]:
+def _values_at(numbers: DataFrame, guesses: list[tuple[_Search, float, float]], few: int) -> dict[tuple[str, int], float]:
     """The value at each wanted rank."""
     found: dict[tuple[str, int], float] = {}
     while guesses:
         searches = _split(numbers, guesses, found)
-        few = [s for s in searches if s.count <= map_limit]
-        guesses, more = _sketch(numbers, [s for s in searches if s.count > map_limit], map_limit)
-        found.update(_count_through(numbers, few + more))
+        found.update(_count_through(numbers, [s for s in searches if s.count <= few]))
+        guesses = _propose(numbers, [s for s in searches if s.count > few])
     return found
 
 
@@ -118,21 +128,16 @@ def _within(numbers: DataFrame, searches: list[_Search]) -> DataFrame:
     return numbers.where(reduce(Column.__or__, [s.candidate for s in searches]))
 
 
-def _sketch(
-    numbers: DataFrame, searches: list[_Search], map_limit: int
-) -> tuple[list[tuple[_Search, float, float]], list[_Search]]:
-    """Searches with a proposed inner interval, and those with few distinct values left."""
+def _propose(numbers: DataFrame, searches: list[_Search]) -> list[tuple[_Search, float, float]]:
+    """The searches, each with a proposed inner interval."""
     if not searches:
-        return [], []
-    sketch = []
-    for i, s in enumerate(searches):
-        held = F.when(s.candidate, F.col(s.column))
-        shares = [rank / max(s.count - 1, 1) for rank in s.ranks.values()]
-        around = F.array(*map(F.lit, _around(min(shares), max(shares))))
-        sketch += [F.percentile_approx(held, around, ACCURACY).alias(f"q{i}"), F.approx_count_distinct(held).alias(f"d{i}")]
-    row = _within(numbers, searches).agg(*sketch).first()
-    many = [i for i in range(len(searches)) if row[f"d{i}"] > map_limit]
-    return [(searches[i], *row[f"q{i}"]) for i in many], [s for i, s in enumerate(searches) if i not in many]
+        return []
+    shares = []
+    for s in searches:
+        ranks = [rank / max(s.count - 1, 1) for rank in s.ranks.values()]
+        shares.append(list(_around(min(ranks), max(ranks))))
+    row = _sketched(_within(numbers, searches), searches, shares)
+    return [(s, *row[f"q{i}"]) for i, s in enumerate(searches)]
 
 
 def _split(

@@ -86,10 +86,17 @@ def gauge_text(results: DataFrame, prefix: str = "plumbline") -> DataFrame:
     return head.unionByName(lines).orderBy("metric", "ord").select("line")
 
 
+def json_as_text(row: Column) -> Column:
+    """A sample row's JSON as ``key=val key=val``: texts bare, other values as they are written."""
+    keys = F.json_object_keys(row)
+    values = F.from_json(row, "map<string,string>")
+    return F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit("="), F.coalesce(F.element_at(values, k), F.lit("null")))), " ")
+
+
 def report_text(results: DataFrame) -> DataFrame:
-    """The run as text lines: one per check, its sample rows indented below."""
+    """The run as text lines: one per check, its sample rows as ``key=val`` texts indented below."""
     head = F.format_string("  [%s] %-32s %s", _lookup(STATUS_ICON), F.col("check"), F.col("detail"))
-    rows = F.transform(F.col("sample"), lambda s: F.concat(F.lit("      "), s))
+    rows = F.transform(F.col("sample"), lambda s: F.concat(F.lit("      "), json_as_text(s)))
     return results.select("ord", F.posexplode(F.concat(F.array(head), rows)).alias("line_no", "line"))
 
 
@@ -196,7 +203,36 @@ def failure_digest(results: DataFrame, title: str, suite: str, max_bytes: int =
     packed = gathered.withColumn("fold", F.aggregate("items", start, add_check))
     more = F.size("items") - F.col("fold.shown")
     tail = F.when(more == 1, "(+1 more check)\n").when(more > 1, F.format_string("(+%d more checks)\n", more)).otherwise("")
-    return packed.select(F.concat(F.col("fold.body"), tail).alias("digest"), F.col("fold.shown").alias("shown"), more.alias("more"))
+    whole = F.concat(F.col("fold.body"), tail)
+    return packed.select(_at_most(whole, max_bytes).alias("digest"), F.col("fold.shown").alias("shown"), more.alias("more"))
+
+
+def _at_most(text: Column, n_bytes: int) -> Column:
+    """The longest beginning of a text that takes no more than so many UTF-8 bytes and cuts no character."""
+    data = F.encode(text, "UTF-8")
+    # a character takes at most four bytes: step back over the continuation bytes at the cut
+    back = F.lit(0)
+    for k in (3, 2, 1):
+        cut = F.conv(F.hex(F.substring(data, n_bytes - k + 1, 1)), 16, 10).cast("int")  # the k-th byte from the end
+        length = F.when(cut >= 240, 4).when(cut >= 224, 3).when(cut >= 192, 2).otherwise(1)
+        back = F.when((cut >= 192) & (length > k), F.lit(k)).otherwise(back)
+    kept = F.decode(data.substr(F.lit(1), F.lit(n_bytes) - back), "UTF-8")
+    return F.when(F.octet_length(text) <= n_bytes, text).otherwise(kept)
+
+
+def run_payload(results: DataFrame, suite: str) -> DataFrame:
+    """One row: the whole run as JSON, with the suite's name, its status, both counts and every check's name, status and detail."""
+    item = F.concat(
+        F.lit('{"name":'), json_string(F.col("check")), F.lit(',"status":'), json_string(F.lower("status")),
+        F.lit(',"detail":'), json_string(F.col("detail")), F.lit("}"),
+    )
+    failed, total = F.count_if(is_failing()), F.count(F.lit(1))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("j")))), lambda s: s.getField("j")), ",")
+    body = F.concat(
+        F.lit('{"config":'), json_string(F.lit(suite)), F.lit(',"status":"'), F.when(failed > 0, "fail").otherwise("pass"),
+        F.lit('","total":'), total.cast("string"), F.lit(',"failed":'), failed.cast("string"), F.lit(',"checks":['), listed, F.lit("]}"),
+    )
+    return results.agg(body.alias("payload"))
 
 
 def explain(results: DataFrame, suite: DataFrame) -> DataFrame:

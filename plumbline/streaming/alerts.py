@@ -9,20 +9,27 @@ spread over time buckets and no Python sees a row.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.plans.alerts import raise_events, still_open, streaks
+from plumbline.streaming.jobs import AVAILABLE_NOW
 
 
 def sustained_alerts(
-    results: DataFrame, suite: DataFrame, path: str, checkpoint: str, bucket: str = "day"
+    results: DataFrame, suite: DataFrame, path: str, checkpoint: str, bucket: str = "day",
+    trigger: Mapping[str, Any] = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """Write alerts and recoveries as results stream in, in order of ``run_at``.
 
     Events go to ``path/events``, open streaks to ``path/open``, each under the
     micro-batch number. A batch replayed after a failure starts from the same
-    state and overwrites its own output, so every event is written once.
+    state and overwrites its own output, so every event is written once. A run
+    that arrives in a later batch than younger runs of its check is taken in the
+    order of its own batch: it cannot change events that are already written.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -35,7 +42,7 @@ def sustained_alerts(
         finally:
             marked.unpersist()
 
-    return results.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return results.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

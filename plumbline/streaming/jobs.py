@@ -2,24 +2,32 @@
 
 Each function takes a streaming DataFrame and returns one, or starts a query.
 Event times without a zone are read as timestamps first, because watermarks
-need them.
+need them. Functions that start a query take a ``trigger``: the arguments of
+Spark's own, by default everything that is available now; ``{"processingTime":
+"1 minute"}`` runs as a service until it is stopped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from plumbline.functions.text import column
 from plumbline.model import ColumnRule, Suite
-from plumbline.plans.rules import compile_rules
+from plumbline.plans.rules import Measure, compile_rules, missing_columns
 from plumbline.plans.suite import run_suite
 from plumbline.plans.validate import validate
 from plumbline.sources.connections import Connection, frame_connection
 
+#: Partitions that one key of a stream is spread over when it is joined.
+SALTS = 16
+
 
 def read_stream(
     spark: SparkSession, path: str, schema: str, time: str | None = None, files_per_batch: int | None = None
@@ -35,16 +43,52 @@ def read_stream(
     return stream.withColumn(time, F.col(time).cast("timestamp")) if time else stream
 
 
-def write_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run a stream over what is available now, into a Parquet table."""
+#: The default trigger: all that is available now, then stop.
+AVAILABLE_NOW: Mapping[str, Any] = {"availableNow": True}
+
+
+def write_table(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: Mapping[str, Any] = AVAILABLE_NOW
+) -> StreamingQuery:
+    """Run a stream into a Parquet table.
+
+    Windows reach an ``append`` table once the watermark has passed them; see
+    :func:`write_latest` for those still open.
+    """
     return (
         stream.writeStream.outputMode(mode).format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
+def write_latest(stream: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, Any] = AVAILABLE_NOW) -> StreamingQuery:
+    """Record, per micro-batch, every window that changed in it, closed or not.
+
+    The newest ``batch`` of a window holds its latest state.
+    """
+
+    def record(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        stream.writeStream.outputMode("update").foreachBatch(record)
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    )
+
+
+@contextmanager
+def _held(batch: DataFrame) -> Iterator[DataFrame]:
+    """The micro-batch kept while several passes read it; lost parts are read again from the source."""
+    batch.persist()
+    try:
+        yield batch
+    finally:
+        batch.unpersist()
+
+
 def validate_stream(
-    stream: DataFrame, rules: Sequence[ColumnRule], check: str, path: str, checkpoint: str, order_by: Sequence[str] | None = None
+    stream: DataFrame, rules: Sequence[ColumnRule], check: str, path: str, checkpoint: str, order_by: Sequence[str] | None = None,
+    trigger: Mapping[str, Any] = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """Validate each micro-batch and append one result row per batch.
 
@@ -53,16 +97,16 @@ def validate_stream(
     """
 
     def record(batch: DataFrame, batch_id: int) -> None:
-        result = validate(batch, rules, check, order_by).withColumn("run_at", F.current_timestamp())
-        result.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with _held(batch) as rows:
+            result = validate(rows, rules, check, order_by).withColumn("run_at", F.current_timestamp())
+            result.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return stream.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def watch_suite(
-    stream: DataFrame, table: str, suite: Callable[[Connection], Suite], path: str, checkpoint: str, as_of: datetime | None = None
+    stream: DataFrame, table: str, suite: Callable[[Connection], Suite], path: str, checkpoint: str, as_of: datetime | None = None,
+    trigger: Mapping[str, Any] = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """Run a whole suite on each micro-batch and append its results.
 
@@ -71,18 +115,34 @@ def watch_suite(
     """
 
     def record(batch: DataFrame, batch_id: int) -> None:
-        results = run_suite(batch.sparkSession, suite(frame_connection("batch", {table: batch})), as_of)
-        results.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with _held(batch) as rows:
+            results = run_suite(batch.sparkSession, suite(frame_connection("batch", {table: rows})), as_of)
+            results.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return stream.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def window_rules(stream: DataFrame, rules: Sequence[ColumnRule], time: str, width: str, delay: str) -> DataFrame:
-    """Violations of element-wise rules per tumbling event-time window."""
-    measures = [m for m in compile_rules(rules, stream.schema) if m.predicate() is not None]
-    counts = [F.count_if(m.predicate()).alias(f"{m.column}_{m.rule}") for m in measures]
+    """Violations of rules per tumbling event-time window: counts of offending rows, nulls counted where their share is too large.
+
+    Rules that need all of a window's values at once (``unique``, ``outliers``,
+    ``distribution``) and columns the stream does not have raise ``ValueError``.
+    """
+    missing = missing_columns(rules, stream.schema, "window")
+    if missing:
+        raise ValueError("; ".join(missing.values()))
+    measures = compile_rules(rules, stream.schema)
+    refused = [f"{m.column}: {m.rule}" for m in measures if m.rule in ("unique", "outliers", "distribution")]
+    if refused:
+        raise ValueError(f"rules that cannot be judged per window: {', '.join(refused)}")
+
+    def violations(m: Measure) -> Column:
+        if m.rule != "null_rate":
+            return F.count_if(m.predicate())
+        nulls = m.aggregates()[0]
+        return F.when(nulls / F.count(F.lit(1)) > F.lit(float(m.param)), nulls).otherwise(F.lit(0)).cast("bigint")
+
+    counts = [violations(m).alias(f"{m.column}_{m.rule}") for m in measures]
     windowed = stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"))
     return windowed.agg(F.count(F.lit(1)).alias("n_rows"), *counts).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_rows",
@@ -114,6 +174,16 @@ def drop_repeats(stream: DataFrame, keys: Sequence[str], time: str, delay: str)
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_orphans(stream: DataFrame, parents: DataFrame, on: Column) -> DataFrame:
-    """Stream rows whose parent is not in a static table."""
-    return stream.join(parents, on, "left_anti")
+def stream_orphans(stream: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
+    """Stream rows whose parent is not in a static table; a NULL key has none.
+
+    Adaptive execution does not split the joins of a stream, so rows with a NULL
+    key skip the join, and both sides spread each key over ``SALTS`` partitions:
+    rows by a hash of their content, parents once for each.
+    """
+    spread = F.pmod(F.xxhash64(*map(column, stream.columns)), F.lit(SALTS))
+    keyed = stream.where(column(key).isNotNull()).withColumn("_salt", spread.cast("int"))
+    known = parents.select(column(parent_key).alias("_key")).where("_key IS NOT NULL").distinct()
+    known = known.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    lost = keyed.join(known, (keyed[key] == known["_key"]) & (keyed["_salt"] == known["_salt"]), "left_anti").drop("_salt")
+    return lost.unionByName(stream.where(column(key).isNull()))

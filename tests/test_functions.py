@@ -81,7 +81,12 @@ def test_introspection(spark):
     for bad in ("a;b", "a b", "", "a'"):
         with pytest.raises(ValueError):
             introspect.safe_name(bad)
-    assert {tuple(r) for r in introspect.reachable(spark, tables).collect()} == {("a", 1, 1), ("b", 1, 1)}
+    tables["c"] = lambda: spark.read.parquet("/no/such/table")
+    tables["d"] = tables["b"].selectExpr("assert_true(k > 5) AS x", "k")
+    got = {r["table_name"]: (r["ok"], bool(r["error"])) for r in introspect.reachable(spark, tables).collect()}
+    assert got == {"a": (1, False), "b": (1, False), "c": (0, True), "d": (0, True)}
+    counts = {tuple(r) for r in introspect.row_counts(spark, {k: tables[k] for k in "ab"}).collect()}
+    assert counts == {("a", 1), ("b", 1)}
 
 
 def test_history_sink(spark):

@@ -1,4 +1,4 @@
-"""Exact percentiles against numpy, on the map path and on the narrowing path."""
+"""Exact percentiles against numpy, narrowed once or many times."""
 
 import numpy as np
 import pytest
@@ -12,9 +12,9 @@ def frame(spark, values):
     return spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
 
 
-@pytest.mark.parametrize("map_limit", [10**6, 200, 3])
+@pytest.mark.parametrize("few", [20_000, 200, 3])
 @pytest.mark.parametrize("shape", ["uniform", "hot_third", "heavy_tail", "two_values"])
-def test_matches_numpy(spark, map_limit, shape):
+def test_matches_numpy(spark, few, shape):
     rng = np.random.default_rng(7)
     values = {
         "uniform": rng.uniform(-5, 5, 6001),
@@ -22,7 +22,7 @@ def test_matches_numpy(spark, map_limit, shape):
         "heavy_tail": np.exp(rng.normal(0, 8, 5000)),
         "two_values": np.array([1.0] * 700 + [2.0] * 300),
     }[shape]
-    got = exact_percentiles(frame(spark, values), ["v"], PROBS, map_limit=map_limit)["v"]
+    got = exact_percentiles(frame(spark, values), ["v"], PROBS, few=few)["v"]
     assert got == pytest.approx(list(np.quantile(values, PROBS)), rel=1e-12, abs=1e-12)
 
 
@@ -32,6 +32,7 @@ def test_nulls_nan_and_short_columns(spark):
     assert iqr_fences(df, ["a", "b"]) == {"a": None, "b": None}
 
 
-def test_fences_of_the_small_example(spark):
-    assert iqr_fences(frame(spark, [10, 11, 12, 11, 10, 13, 12, 11]), ["v"]) == {"v": (8.875, 13.875)}
-    assert iqr_fences(frame(spark, [10, 11, 12, 11, 10, 13, 12, 11, 1000]), ["v"]) == {"v": (9.5, 13.5)}
+def test_fences(spark):
+    steady = [40 + k % 5 for k in range(20)]
+    assert iqr_fences(frame(spark, steady), ["v"]) == {"v": (38.0, 46.0)}
+    assert iqr_fences(frame(spark, [*steady, 90]), ["v"]) == {"v": (38.0, 46.0)}

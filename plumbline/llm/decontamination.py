@@ -47,7 +47,7 @@ class Hasher:
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [t.lower().split() for t in texts]
-        new = set().union(*chunks) - self.memo.keys()
+        new = set().union(*chunks).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
             self.memo, new = {}, set().union(*chunks)
         self.memo.update((c, self._one(c)) for c in new)

@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from plumbline.llm.store import map_batches, new_path, slices
 
 #: Entries a worker's memory of pieces may hold; when full it starts anew, which costs time only.
-MEMO = 600_000
+MEMO = 1_000_000
 #: White space as Unicode has it; the separators U+001C to U+001F, which Python adds, are not in it.
 _WHITE = "\t\n\x0b\x0c\r\x20\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PIECES = re.compile(rf"\x20?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
 _ODD = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case depends on their neighbours or is more than one letter.
 _UNLIKE = re.compile("[\u03a3\u0130]")
-_TAIL = re.compile(r"(.*[^\W_])([.,!?;:|#*$%&]++)", re.DOTALL).fullmatch
+_TAIL = ".,!?;:|#*$%&"
 
 
 @lru_cache(maxsize=4)
@@ -58,39 +58,44 @@ def encode_distinct(path: str, pieces: list[str], at_once: int = 2000) -> list[b
 
 
 class Memo:
-    """Ids of words or pieces of text, each met by the tokenizer once while it is remembered.
+    """Ids of words or pieces of text (never empty), each met by the tokenizer once while it is remembered.
 
     A piece that ends in punctuation after a letter or digit is put together from two, as both vocabularies' patterns
     always cut there; ``fold`` may lower-case pieces where the vocabulary does so itself.
     """
 
     def __init__(self, path: str, fold: bool = False) -> None:
-        self.path, self.fold, self.whole, self.parts = path, fold, {}, {}
+        self.path, self.fold, self.memo = path, fold, {}
 
     def _parts(self, piece: str) -> tuple[str, ...]:
         if self.fold:
-            if _UNLIKE.search(piece):
+            if piece.isascii():
+                piece = piece.lower()
+            elif _UNLIKE.search(piece):
                 return (piece,)
-            low = piece.lower()
-            if piece.isascii() or is_normalized("NFC", piece) and is_normalized("NFC", low):
-                piece = low
-        m = _TAIL(piece)
-        return m.groups() if m else (piece,)
+            else:
+                low = piece.lower()
+                piece = low if is_normalized("NFC", piece) and is_normalized("NFC", low) else piece
+        if piece[-1] in _TAIL:
+            stem = piece.rstrip(_TAIL)
+            if stem and stem[-1].isalnum():
+                return stem, piece[len(stem) :]
+        return (piece,)
 
     def learn(self, pieces: set[str]) -> None:
-        new = pieces - self.whole.keys()
-        if len(self.whole) + len(new) > MEMO:
-            self.whole, new = {}, pieces
-        made = {p: self._parts(p) for p in new}
-        parts = set().union(*made.values())
-        fresh = parts - self.parts.keys()
-        if len(self.parts) + len(fresh) > MEMO:
-            self.parts, fresh = {}, parts
-        fresh = list(fresh)
-        self.parts.update(zip(fresh, encode_distinct(self.path, fresh), strict=True))
-        get = self.parts.__getitem__
-        for piece, own in made.items():
-            self.whole[piece] = b"".join(map(get, own))
+        memo = self.memo
+        if len(memo) + len(pieces) > MEMO:  # short pieces are the ones that come again
+            memo = self.memo = {k: v for k, v in memo.items() if len(k) <= 7} if len(memo) > len(pieces) else {}
+        made, fresh = [], set()
+        for piece in pieces.difference(memo):
+            parts = self._parts(piece)
+            if parts[0] is not piece:
+                made.append((piece, parts))
+            fresh.update(parts)
+        fresh = list(fresh.difference(memo))
+        memo.update(zip(fresh, encode_distinct(self.path, fresh), strict=True))
+        for piece, parts in made:
+            memo[piece] = memo[parts[0]] if len(parts) == 1 else memo[parts[0]] + memo[parts[1]]
 
     def odd(self, text: str) -> bool:
         """Must this text be encoded whole?"""
@@ -111,7 +116,7 @@ class Counter(Memo):
     def counts(self, texts: list[str]) -> list[int]:
         pieces = [None if self.odd(t) else _PIECES.findall(t) for t in texts]
         self.learn(set().union(*filter(None, pieces)))
-        get = self.whole.__getitem__
+        get = self.memo.__getitem__
         return [(len(self.encode(t)) if p is None else sum(map(len, map(get, p)))) // 4 for t, p in zip(texts, pieces, strict=True)]
 
 

@@ -103,11 +103,11 @@ class Similarity:
         return out
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.whole.keys()
+        new = words.difference(self.whole)
         if len(self.whole) + len(new) > MEMO:
             self.whole, self.parts, self.rows, new = {}, {}, [], words
         made = {w: windows(w) for w in new}
-        fresh = list(set().union(*made.values()) - self.parts.keys())
+        fresh = list(set().union(*made.values()).difference(self.parts))
         for a in range(0, len(fresh), 20_000):
             part = fresh[a : a + 20_000]
             found = self.kernel(part)

@@ -180,7 +180,7 @@ def test_gauges(spark, results):
 
 def test_reports(spark, results):
     lines = [r["line"] for r in res.report_text(results).orderBy("ord", "line_no").collect()]
-    assert lines[0] == f"  [PASS] {'ok':32} 1 row(s)" and lines[3] == '      {"id":1}' and lines[-1].startswith("  [ERR ] broken")
+    assert lines[0] == f"  [PASS] {'ok':32} 1 row(s)" and lines[3] == "      id=1" and lines[-1].startswith("  [ERR ] broken")
     objects = [r["json"] for r in res.report_json(results).orderBy("ord").collect()]
     assert objects[2] == '{"name":"bad\\"one","status":"fail","detail":"3 row(s)","sample":[{"id":1},{"id":2},{"id":3}]}'
     blocks = [r["yaml"] for r in res.report_yaml(results).orderBy("ord").collect()]

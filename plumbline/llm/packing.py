@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import keep, map_batches, ship, slices
+from plumbline.llm.store import keep, map_batches, ship, slices, uncollected
 from plumbline.llm.tokens import Memo
 
 #: Pieces that are packed together. Each group ends with at most a few bins that are not full, one in thousands.
@@ -54,7 +54,9 @@ def token_pieces(docs: DataFrame, path: str, most_tokens: int = 2048, end_id: in
             texts = [t or "" for t in batch.column("text").to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []
             for a, b in slices(texts, 500_000):
-                for k, ids in enumerate(own.ids(texts[a:b]), a):
+                with uncollected():
+                    found = own.ids(texts[a:b])
+                for k, ids in enumerate(found, a):
                     ids += tail
                     for n, at in enumerate(range(0, len(ids), 4 * most_tokens)):
                         part = ids[at : at + 4 * most_tokens]

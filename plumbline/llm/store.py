@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -51,6 +53,18 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the cycle collector, which would go through a worker's millions of remembered words again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def slices(texts: list, most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``most_chars`` characters each (a longer text is a range of its own)."""
     start = size = 0

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import map_batches, new_path, slices
+from plumbline.llm.store import map_batches, new_path, slices, uncollected
 
 #: Entries a worker's memory of pieces may hold; when full it starts anew, which costs time only.
 MEMO = 1_000_000
@@ -158,7 +158,8 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, id_col: s
         for batch in batches:
             texts, out = batch.column("text").to_pylist(), []
             for a, b in slices(texts, 500_000):
-                out += count.counts(texts[a:b])
+                with uncollected():
+                    out += count.counts(texts[a:b])
             yield pa.RecordBatch.from_arrays([pa.array([which] * len(out), pa.string()), batch.column("digest"), pa.array(out, pa.int32())], names=["tokenizer", "digest", "n_tokens"])
 
     map_batches(misses, encode, "tokenizer string, digest binary, n_tokens int").write.mode("append").parquet(cache)

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.components import components
 from plumbline.llm.simhash import local_roots
@@ -68,18 +69,19 @@ def decode(unit: np.ndarray, words: int = WORDS, lean: float = LEAN) -> list[np.
     return out
 
 
-def unit_rows(vectors: list) -> tuple[list[bytes | None], list[np.ndarray | None]]:
-    """Digest and unit vector, in double precision, of each usable vector; None for the others."""
-    digests, units = [], []
-    for v in vectors:
-        own = None
-        if v is not None and len(v) and all(x is not None for x in v):
-            own = np.asarray(v, dtype=np.float64) + 0.0
-            size = np.abs(own).max() if np.isfinite(own).all() else 0.0
-            own = own / size if size > 0 else None
-        units.append(None if own is None else own / np.linalg.norm(own))
-        digests.append(None if own is None else hashlib.sha256((np.asarray(v, dtype=np.float64) + 0.0).tobytes()).digest())
-    return digests, units
+def digest_of(v: list | None) -> bytes | None:
+    """Digest of a usable vector; None for one that is null, empty, zero or holds null or non-finite components."""
+    if v is None or not len(v) or any(x is None for x in v):
+        return None
+    own = np.asarray(v, dtype=np.float64) + 0.0
+    return hashlib.sha256(own.tobytes()).digest() if np.isfinite(own).all() and own.any() else None
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """The vector with length one, in double precision."""
+    own = np.asarray(v, dtype=np.float64)
+    own = own / np.abs(own).max()
+    return own / np.linalg.norm(own)
 
 
 def _filters(rows: DataFrame, words: int, lean: float) -> DataFrame:
@@ -87,7 +89,7 @@ def _filters(rows: DataFrame, words: int, lean: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            units = [np.asarray(u) for u in batch.column("unit").to_pylist()]
+            units = [unit(u) for u in batch.column("vec").to_pylist()]
             out: list = [None] * len(units)
             by: dict[int, list[int]] = {}
             for k, u in enumerate(units):
@@ -97,9 +99,10 @@ def _filters(rows: DataFrame, words: int, lean: float) -> DataFrame:
                     part = own[a : a + 4096]
                     for k, found in zip(part, decode(np.stack([units[k] for k in part]), words, lean), strict=True):
                         out[k] = found
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "filters"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int16()))], names=[*batch.schema.names, "filters"])
 
-    return map_batches(rows, run, "node long, weight long, place string, unit array<double>, filters array<int>")
+    vec = rows.schema["vec"].dataType.simpleString()
+    return map_batches(rows, run, f"node long, weight long, place string, vec {vec}, filters array<smallint>")
 
 
 def _close(units: np.ndarray, first: np.ndarray, second: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +115,7 @@ def _close(units: np.ndarray, first: np.ndarray, second: np.ndarray, least: floa
 def _shared_before(filters: np.ndarray, x: np.ndarray, y: np.ndarray, here: int) -> np.ndarray:
     """Does each pair of rows share a filter with a smaller number than ``here``?"""
     own, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    lists = [np.asarray(filters[k]) for k in own]
+    lists = [np.asarray(filters[k], dtype=np.int64) for k in own]
     row = np.repeat(np.arange(len(own)), [len(f) for f in lists])
     col = np.concatenate(lists)
     row, col = row[col < here], col[col < here]
@@ -138,28 +141,30 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, words: int = WORDS, le
 
     def clean(batches):
         for batch in batches:
-            digests, units = unit_rows(batch.column("v").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("place"), pa.array(digests, pa.binary()), pa.array(units, pa.list_(pa.float64()))], names=["id", "place", "digest", "unit"],
-            )
+            digests = [digest_of(v) for v in batch.column("vec").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("place"), pa.array(digests, pa.binary()), batch.column("vec")], names=["id", "place", "digest", "vec"])
 
+    if not 1 <= words <= 181:
+        raise ValueError("words must lie between 1 and 181: filters are numbered in 16 bits")
     label = F.col(label_col).cast("string") if label_col else F.lit("")
-    source = vectors.select(F.col(id_col).alias("id"), F.concat_ws(":", F.size(vector_col).cast("string"), label).alias("place"), F.when(label.isNotNull(), F.col(vector_col).cast("array<double>")).alias("v"))
+    # vectors travel as they are stored, single precision as four bytes; cosines are taken in double precision
+    own = "float" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "double"
+    source = vectors.select(F.col(id_col).alias("id"), F.concat_ws(":", F.size(vector_col).cast("string"), label).alias("place"), F.when(label.isNotNull(), F.col(vector_col).cast(f"array<{own}>")).alias("vec"))
     kind = source.schema["id"].dataType.simpleString()
-    rows = keep(map_batches(source, clean, f"id {kind}, place string, digest binary, unit array<double>"), "vectors")
+    rows = keep(map_batches(source, clean, f"id {kind}, place string, digest binary, vec array<{own}>"), "vectors")
     usable = rows.where("digest is not null")
     nodes = keep(
-        usable.groupBy("place", "digest").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("unit").alias("unit")).withColumn("node", F.monotonically_increasing_id()), "nodes",
+        usable.groupBy("place", "digest").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("vec").alias("vec")).withColumn("node", F.monotonically_increasing_id()), "nodes",
     )
-    spread = keep(_filters(nodes.select("node", "weight", "place", "unit"), words, lean), "filters")
-    each = spread.select("node", "weight", "place", "unit", "filters", F.explode("filters").alias("filter"))
+    spread = keep(_filters(nodes.select("node", "weight", "place", "vec"), words, lean), "filters")
+    each = spread.select("node", "weight", "place", "vec", "filters", F.explode("filters").alias("filter"))
     sizes = spread.select("place", F.explode("filters").alias("filter")).groupBy("place", "filter").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = (
         each.join(sizes, ["place", "filter"]).withColumn("chunks", chunks).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("node", "weight", "unit", "filters", "place", "filter", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        .select("node", "weight", "vec", "filters", "place", "filter", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     )
     # many small groups go to Python together, in buckets whose number follows the rows
     rows_sent = dealt.count()
@@ -170,7 +175,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, words: int = WORDS, le
         marks = frame[["filter", "i", "j"]].to_numpy(dtype=np.int64)
         place = frame["place"].to_numpy()
         turns = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]).any(axis=1) | (place[1:] != place[:-1]), [True]]))
-        units, filters = frame["unit"].to_numpy(), frame["filters"].to_numpy()
+        units, filters = np.empty(len(frame), dtype=object), frame["filters"].to_numpy()
+        units[:] = [unit(v) for v in frame["vec"]]
         mine, names, weights = frame["mine"].to_numpy(), frame["node"].to_numpy(dtype=np.int64), frame["weight"].to_numpy(dtype=np.int64)
         out = []
         for a, b in zip(turns, turns[1:], strict=False):

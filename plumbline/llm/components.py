@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import discard
 from plumbline.llm.store import new_path
 
 MOST_ROUNDS = 60
@@ -23,9 +24,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark = edges.sparkSession
     root = new_path(spark, "components")
 
+    written: list[str] = []
+
     def write(df: DataFrame) -> DataFrame:
+        """Write a round's edges; those of the round before are no longer needed then."""
         path = f"{root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        for old in written:
+            discard(spark, old)
+        written[:] = [path]
         return spark.read.schema(df.schema).parquet(path)
 
     # every edge as (larger, smaller)

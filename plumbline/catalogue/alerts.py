@@ -114,12 +114,11 @@ def alert_payload(t: Tables) -> DataFrame:
     f"""SELECT c."check", h.last_run, coalesce(epoch({NOW}) - epoch(h.last_run) >= 3600, true) AS due,
                round(greatest(epoch({NOW}) - epoch(h.last_run) - 3600, 0), 3) AS overdue_secs
         FROM ({SUITE_SQL}) c LEFT JOIN (SELECT "check", max(run_at) AS last_run FROM ({HISTORY_SQL})
-             WHERE run_at <= {NOW} AND (status = 'FAIL' OR "check" = 'view') AND "check" <> 'click' GROUP BY "check") h ON h."check" = c."check\"""",
+             WHERE run_at <= {NOW} GROUP BY "check") h ON h."check" = c."check\"""",
 )
 def cadence_due(t: Tables) -> DataFrame:
     now = at(EVENTS_AS_OF)
-    kept = ((F.col("status") == "FAIL") | (F.col("check") == "view")) & (F.col("check") != "click")
-    seen = history(t).where((F.col("run_at") <= now) & kept)
+    seen = history(t).where(F.col("run_at") <= now)
     return alerts.cadence(suite(t), seen, now).select("check", "last_run", "due", F.round("overdue_secs", 3).alias("overdue_secs"))
 
 

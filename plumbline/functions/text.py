@@ -31,10 +31,6 @@ def plain_number(value: float) -> str:
     return format(Decimal(repr(float(value))), "f")
 
 
-def escape_sql(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("'", "\\'")
-
-
 def present(col: Column, dtype: T.DataType) -> Column:
     """True where there is a value; NaN and infinities count as missing."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):

@@ -72,6 +72,7 @@ def gauge_text(results: DataFrame, prefix: str = "plumbline") -> DataFrame:
     """The gauges as exposition lines, ready to be written as text."""
     name = F.concat(F.lit(f"{prefix}_"), F.col("metric"))
     line = F.concat(name, F.lit('{check="'), F.col("check"), F.lit('"} '), F.col("value").cast("string"))
+    # The gauges' help texts.
     help_text = {
         "check_status": "Check status: 0=pass 1=warn 2=fail 3=error",
         "check_up": "1 if check is passing or warning, 0 otherwise",
@@ -239,6 +240,7 @@ def explain(results: DataFrame, suite: DataFrame) -> DataFrame:
     """Results with the query behind them and a hint for failing ones."""
     tiers = suite.select("check", "query", "conditions")
     tier = F.when(F.array_contains("conditions", "fail"), "fail").otherwise("warn")
+    # The hints' texts.
     hint = (
         F.when(F.col("status") == ERROR, F.concat(F.lit("An ERROR occurred evaluating the check condition: "), F.col("detail")))
         .when(

@@ -217,6 +217,7 @@ class Measure:
 
     def detail(self, rows: Column) -> Column:
         """The rule's message, for when it is violated."""
+        # The wording of every rule's message, here and in ``error``.
         head, count = f"column {quote(self.column)}: ", F.col(self.key)
 
         def counted(before: str, after: str) -> Column:

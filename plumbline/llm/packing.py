@@ -8,14 +8,13 @@ dot-product of demand and residual, or the smallest norm of what would be left.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import keep, map_batches, ship, slices, uncollected
+from plumbline.llm.store import held, keep, map_batches, ship, slices, uncollected
 from plumbline.llm.tokens import Memo
 
 #: Pieces that are packed together. Each group ends with at most a few bins that are not full, one in thousands.
@@ -40,9 +39,8 @@ class Encoder(Memo):
         return [self.encode(t) if own is None else b"".join(map(get, own)) for t, own in zip(texts, words, strict=True)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("ids", path), lambda: Encoder(path))
 
 
 def token_pieces(docs: DataFrame, path: str, most_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm.store import map_batches, slices
+from plumbline.llm.store import held, map_batches, slices, uncollected
 
 DECAY, SPAN, LETTERS = 0.6, 7, 32
 #: Similarities below this are zero, so that a text's features come from few of its words.
 LEAST = 0.4
 #: Longer words are looked at in windows of this many characters, each half over the next.
 WINDOW = 24
-MEMO = 600_000
+MEMO = 300_000
 _EDGES = ".,!?;:|#*$%&()[]{}<>\"'`~^=+-_/\\"
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S(?!\S)){3,}+")
 
@@ -113,10 +113,9 @@ class Similarity:
             found = self.kernel(part)
             found[found < LEAST] = 0
             near = found.any(axis=1)
-            for word, is_near, row in zip(part, near.tolist(), found, strict=True):
-                self.parts[word] = len(self.rows) if is_near else -1
-                if is_near:
-                    self.rows.append(row.copy())
+            places = np.where(near, np.cumsum(near) - 1 + len(self.rows), -1)
+            self.parts.update(zip(part, places.tolist(), strict=True))
+            self.rows.extend(found[near])
         for word, own in made.items():
             self.whole[word] = tuple(k for k in map(self.parts.__getitem__, own) if k >= 0)
 
@@ -257,15 +256,8 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
     return Model(words, root @ w, b, slope, offset)
 
 
-_SCORERS: dict[tuple[str, ...], Similarity] = {}
-
-
 def _scorer(landmarks: list[str]) -> Similarity:
-    key = tuple(landmarks)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Similarity(landmarks)
-    return _SCORERS[key]
+    return held(("toxicity", *landmarks), lambda: Similarity(landmarks))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -280,7 +272,8 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_
         own = _scorer(sent.value.landmarks)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            scores = [sent.value.scores(own.texts(texts[a:b]).astype(np.float64)) for a, b in slices(texts)]
+            with uncollected():
+                scores = [sent.value.scores(own.texts(texts[a:b]).astype(np.float64)) for a, b in slices(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names, score_col])
 
     schema = StructType([*docs.schema.fields]).add(score_col, "double")

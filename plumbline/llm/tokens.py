@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.store import held, map_batches, new_path, slices, uncollected
 
 #: Entries a worker's memory of pieces may hold; when full it starts anew, which costs time only.
-MEMO = 600_000
+MEMO = 1_000_000
 #: White space as Unicode has it; the separators U+001C to U+001F, which Python adds, are not in it.
 _WHITE = "\t\n\x0b\x0c\r\x20\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PIECES = re.compile(rf"\x20?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plumbline.llm.decontamination import drop_contaminated
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.secrets import redact
-from plumbline.llm.simhash import near_duplicates
+from plumbline.llm.simhash import one_of_each
 from plumbline.llm.store import keep
 from plumbline.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
 
@@ -31,16 +30,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies.
+    """One document of each group of near copies: that with the smallest id, or with none if no row of the group has one.
 
-    Rows of one id are one document: of repeated rows one stays. Null and empty texts are copies of each other. Rows
-    without an id stay only where no row of their group has one, one for all such groups.
+    Exact repeats of a row are one document; rows of one id with different texts are documents of their own. Null and
+    empty texts are copies of each other.
     """
-    found = keep(near_duplicates(docs), "near-duplicates")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    ids = kept.distinct()
-    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
-    return out if ids.count() == kept.count() else out.dropDuplicates(["doc_id"])
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.llm.components import components
 from plumbline.llm.store import keep, map_batches, ship
@@ -37,16 +38,17 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and ``fp``, the 64-bit fingerprint as a signed long, per row; null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
+    """Id, other columns and ``fp``, the 64-bit fingerprint as a signed long, per row; null texts count as empty."""
+    kept = [id_col, *others]
 
     def run(batches):
         for batch in batches:
             own = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(own.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(own.view(np.int64))], names=[*kept, "fp"])
 
-    rows = docs.select(id_col, F.col(text_col).alias("text"))
-    return map_batches(rows, run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, fp long")
+    rows = docs.select(*kept, F.col(text_col).alias("text"))
+    return map_batches(rows, run, StructType([rows.schema[c] for c in kept]).add("fp", "long"))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -160,9 +162,39 @@ def near_duplicates(docs: DataFrame, limit: int = 2, id_col: str = "doc_id", tex
     an empty table an empty result; other columns are ignored.
     """
     prints = keep(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = keep(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    roots = components(links(nodes.select("fp"), limit))
-    member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    member = rooted(prints.groupBy("fp").agg(F.min(id_col).alias("least")), limit)
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def rooted(nodes: DataFrame, limit: int) -> DataFrame:
+    """``nodes``, one row per fingerprint, with ``root``, the smallest fingerprint reached; it alone tells components apart."""
+    nodes = keep(nodes, "distinct-fingerprints")
+    roots = components(links(nodes.select("fp"), limit))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each(docs: DataFrame, limit: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of :func:`near_duplicates`, with all its columns.
+
+    It is the one with the smallest id, or with none if all ids are null; the fingerprint and then the text's digest settle
+    ties, and exact repeats of that row are folded. An id that stands at texts of several components may stay once in each.
+    """
+    digest, pair = F.unhex(F.sha2(F.col(text_col), 256)), ["own_id", "own_digest"]
+    own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), digest.alias("own_digest"))
+    prints = keep(fingerprints(own, "own_id", "text", "own_digest"), "fingerprints")
+    first = F.struct(F.col("own_id").isNull().alias("last"), "own_id", "fp", "own_digest")
+    member = rooted(prints.groupBy("fp").agg(F.min(first).alias("least")), limit)
+    best = member.groupBy("root").agg(F.min("least").alias("least")).select("least.own_id", "least.own_digest")
+    sizes = prints.groupBy(pair).agg(F.count("*").alias("n"))
+    same = F.col("a.own_id").eqNullSafe(F.col("b.own_id")) & F.col("a.own_digest").eqNullSafe(F.col("b.own_digest"))
+    best = keep(best.alias("a").join(sizes.alias("b"), same).select("a.own_id", "a.own_digest", "n"), "survivors")
+
+    def rows(chosen: DataFrame) -> DataFrame:
+        return docs.join(chosen, F.col(id_col).eqNullSafe(F.col("own_id")) & digest.eqNullSafe(F.col("own_digest")), "left_semi")
+
+    repeated = best.where("n > 1")
+    if repeated.isEmpty():
+        return rows(best)
+    return rows(best.where("n = 1")).unionByName(rows(repeated).dropDuplicates([id_col, text_col]))

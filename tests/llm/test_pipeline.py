@@ -91,3 +91,17 @@ def test_stages_on_odd_documents(spark, edge_docs, no_docs):
             docs = stage(spark, docs, ROOT)
         rows = docs.collect()
         assert len({(r.doc_id, r.text) for r in rows}) == len(rows)
+
+
+def test_no_group_is_lost_to_null_or_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+
+    def kept(*rows):
+        docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, ROOT).collect()), key=str)
+
+    assert kept((None, a), (None, b), (None, b), (None, c), (5, c)) == sorted([(None, a), (None, b), (5, c)], key=str)
+    assert kept((None, a), (None, b), (None, c), (4, d), (4, d)) == sorted([(None, a), (None, b), (None, c), (4, d)], key=str)
+    assert kept((7, a), (7, b), (8, b)) == [(7, a), (7, b)]
+    assert kept((3, a), (7, a), (7, b)) == [(3, a), (7, b)]
+    assert len(kept((None, None), (None, ""), (None, " "), (9, a))) == 2

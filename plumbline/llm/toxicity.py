@@ -21,8 +21,8 @@ from pyspark.sql.types import StructType
 from plumbline.llm.store import held, map_batches, slices, uncollected
 
 DECAY, SPAN, LETTERS = 0.6, 7, 32
-#: Similarities below this are zero, so that a text's features come from few of its words.
-LEAST = 0.4
+#: Similarities below this are zero: just under those of five- to eight-letter words with a character between all letters.
+LEAST = 0.15
 #: Longer words are looked at in windows of this many characters, each half over the next.
 WINDOW = 24
 MEMO = 300_000
@@ -63,11 +63,27 @@ def forms(text: str) -> set[str]:
     return out
 
 
+def joined(word: str) -> set[str]:
+    """A word without what is put between its letters: any punctuation, or one and the same character between all of them."""
+    out = set()
+    if not word.isalnum():
+        out.add("".join(filter(str.isalnum, word)))
+    for own in (word, *out):
+        letters = list(filter(None, own.split(own[1]))) if len(own) > 6 else []
+        if len(letters) > 3 and max(map(len, letters)) == 1:
+            out.add("".join(letters))
+    return out
+
+
 def windows(word: str) -> list[str]:
     word = word.strip(_EDGES)
-    if len(word) <= WINDOW:
-        return [word] if len(word) >= 3 else []
-    return [word[a : a + WINDOW] for a in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+    out = []
+    for own in (word, *sorted(joined(word) - {word})):
+        if len(own) > WINDOW:
+            out += [own[a : a + WINDOW] for a in range(0, len(own) - WINDOW // 2, WINDOW // 2)]
+        elif len(own) >= 3:
+            out.append(own)
+    return out
 
 
 class Similarity:
@@ -80,9 +96,13 @@ class Similarity:
             codes, weight = word_triples([word], len(word))
             np.add.at(self.table[:, k], codes[0], weight)
         self.active = self.table.any(axis=1)
+        self.forget()
+
+    def forget(self) -> None:
+        """Rows are half floats, held by their bits: those of numbers that are not negative stand in the numbers' order."""
         self.whole: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows, self.used = np.zeros((1024, len(self.landmarks)), dtype=np.uint16), 0
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """Words x landmarks."""
@@ -105,7 +125,8 @@ class Similarity:
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.whole)
         if len(self.whole) + len(new) > MEMO:
-            self.whole, self.parts, self.rows, new = {}, {}, [], words
+            self.forget()
+            new = words
         made = {w: windows(w) for w in new}
         fresh = list(set().union(*made.values()).difference(self.parts))
         for a in range(0, len(fresh), 20_000):
@@ -113,9 +134,13 @@ class Similarity:
             found = self.kernel(part)
             found[found < LEAST] = 0
             near = found.any(axis=1)
-            places = np.where(near, np.cumsum(near) - 1 + len(self.rows), -1)
+            places = np.where(near, np.cumsum(near) - 1 + self.used, -1)
             self.parts.update(zip(part, places.tolist(), strict=True))
-            self.rows.extend(found[near])
+            more = found[near].astype(np.float16).view(np.uint16)
+            if self.used + len(more) > len(self.rows):
+                self.rows = np.concatenate([self.rows[: self.used], np.empty((max(len(more), self.used // 2), len(self.landmarks)), dtype=np.uint16)])
+            self.rows[self.used : self.used + len(more)] = more
+            self.used += len(more)
         for word, own in made.items():
             self.whole[word] = tuple(k for k in map(self.parts.__getitem__, own) if k >= 0)
 
@@ -128,7 +153,7 @@ class Similarity:
         for k, own in enumerate(words):
             near = {r for rows in map(get, own) if rows for r in rows}
             if near:
-                out[k] = np.max([self.rows[r] for r in near], axis=0)
+                out[k] = self.rows[list(near)].max(axis=0).view(np.float16)
         return out
 
 

@@ -391,6 +391,39 @@ def test_toxicity_held_out(spark):
     assert hits >= 0.85 * sum(r.toxic for r in found) and wrong <= 0.02 * len(found)
 
 
+def test_toxicity_of_words_written_apart(spark):
+    from plumbline.llm.toxicity import Similarity, fit_toxicity, score_toxicity
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioubcdlmnprst") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    bad = ["zorkplag", "vexomund", "quibblar", "wuzzig"]
+    apart = {
+        "two": lambda w: w[:3] + rng.choice(["**", "..", "-_"]) + w[3:],
+        "points": ".".join, "stars": "*".join, "blanks and stars": " * ".join, "mixed": lambda w: "".join(c + rng.choice("*-._") for c in w)[:-1],
+        "pairs": "--".join, "letters": "7".join,
+    }
+
+    def sentence(own):
+        out = [rng.choice(words) for _ in range(rng.randint(3, 40))]
+        out.insert(rng.randint(0, len(out)), own)
+        return " ".join(out)
+
+    learn = [(sentence(rng.choice(bad) if k % 6 == 0 else rng.choice(words)), int(k % 6 == 0)) for k in range(600)]
+    model = fit_toxicity(spark.createDataFrame(learn, "text string, toxic int"))
+    rows_ = [(name, sentence(f(rng.choice(bad)))) for name, f in apart.items() for _ in range(40)]
+    rows_ += [("clean", sentence(f(rng.choice(words)))) for f in apart.values() for _ in range(40)]
+    hits, total = Bag(), Bag(name for name, _ in rows_)
+    for r in score_toxicity(spark.createDataFrame(rows_, "name string, text string"), model).collect():
+        hits[r.name] += r.score >= 0.5
+    assert all(hits[name] >= 0.85 * total[name] for name in apart), hits
+    assert hits["clean"] <= 0.02 * total["clean"]
+
+    own = Similarity(["moron", "idiot", "stupid"])
+    for k, word in enumerate(own.landmarks):  # different letters between all of its own leave something of a word
+        assert own.texts(["".join(c + x for c, x in zip(word, "xqzjkw"))[:-1]])[0, k] > 0
+    assert own.texts(["the river"]).max() < 0.2
+
+
 def test_span_classifier_learns_reliabilities():
     from plumbline.llm.pii import LABELERS, reliabilities
 

@@ -21,8 +21,11 @@ from plumbline.llm.store import map_batches
 
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{24,}+={0,2}")
 _HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}+(?![0-9A-Fa-f])")
-_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*+)")
+#: A header is a JSON object, perhaps behind white space: its first byte is a brace, blank, tab or line break.
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([eICD][A-Za-z0-9_-]{10,}+)\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*+)")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?)PRIVATE KEY-----")
+#: Line breaks and slashes as they are written inside quoted strings, also quoted more than once.
+_ESCAPED_BREAK, _ESCAPED_SLASH = re.compile(r"\\+[nr]"), re.compile(r"\\+/")
 _BEGIN_SSH = b"openssh-key-v1\x00"
 _LONGEST_DEPTH = 16
 
@@ -81,7 +84,7 @@ def structure(data: bytes) -> str | None:
                 return "der"
     if data.startswith(b"-----BEGIN ") and b"PRIVATE KEY-----" in data:
         return "pem"
-    if data.startswith(b"eyJ") and data.isascii() and (m := _SIGNED.match(data.decode())) and signed(m):
+    if data[:1] in (b"e", b"I", b"C", b"D") and data.isascii() and (m := _SIGNED.match(data.decode())) and signed(m):
         return "jwt"
     return None
 
@@ -99,13 +102,13 @@ def signed(m: re.Match) -> bool:
 def confirmed(text: str) -> list[Span]:
     """Spans whose decoded content has a secret's structure, each under the name of that structure; they don't overlap."""
     found: list[Span] = []
-    if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _SIGNED.finditer(text) if signed(m)]
+    found += [("jwt", *m.span()) for m in _SIGNED.finditer(text) if signed(m)]
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
             foot = f"-----END {m.group(1)}PRIVATE KEY-----"
             end = text.find(foot, m.end())
-            lines = [x for x in text[m.end() : end].split("\n") if ":" not in x] if end >= 0 else []
+            inner = _ESCAPED_SLASH.sub("/", _ESCAPED_BREAK.sub("\n", text[m.end() : end])) if end >= 0 else ""
+            lines = [x for x in inner.split("\n") if ":" not in x]
             body = decoded("".join("".join(lines).split())) if lines else None
             if body and (structure(body) or "ENCRYPTED" in text[m.start() : m.end() + 60]):
                 found.append(("pem", m.start(), end + len(foot)))

@@ -485,3 +485,21 @@ def test_oracle_runs_on_short_items(spark):
     rel = con.sql(ORACLES["op2_decontamination"])
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(rel.columns, rel.fetchall())
     assert found.count() == 4
+
+
+def test_keys_and_tokens_inside_strings():
+    import base64
+    import json
+
+    from plumbline.llm.secrets import confirmed
+
+    key = der(0x30, der(0x02, b"\x00") + der(0x30, der(0x06, b"\x2a\x86\x48")) + der(0x04, bytes(range(200)) * 2))
+    body = base64.encodebytes(key).decode()
+    pem = f"-----BEGIN PRIVATE KEY-----\n{body}-----END PRIVATE KEY-----"
+    for text in (json.dumps({"key": pem}), json.dumps(json.dumps({"key": pem})), json.dumps({"key": pem.replace("\n", "\r\n")}).replace("/", "\\/"), f"KEY='{pem}'"):
+        first, last = text.index("-----BEGIN"), text.rindex("KEY-----") + len("KEY-----")
+        assert confirmed(text) == [("pem", first, last)]
+    for head in (' {"alg":"HS256"}', '{ "alg": "HS256"}', '{\n "alg": "none"}', '\r\n\t{"alg":"HS256"}'):
+        token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (head.encode(), b'{"sub":"1"}', bytes(range(32))))
+        assert confirmed(f"see {token} there") == [("jwt", 4, 4 + len(token))]
+    assert not confirmed("Incredible-values.example.org and ID-numbers-12345.abcdefgh.x")

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.llm.store import held, map_batches, slices, uncollected
 
-DECAY, SPAN, LETTERS = 0.6, 7, 32
+DECAY, SPAN, LETTERS = 0.6, 7, 128
 #: Similarities below this are zero: just under those of five- to eight-letter words with a character between all letters.
 LEAST = 0.15
 #: Longer words are looked at in windows of this many characters, each half over the next.
@@ -42,9 +42,10 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(words: list[str], n: int) -> np.ndarray:
-    """Letters as small numbers: a to z are 1 to 26, all others share the rest."""
+    """Letters as small numbers: a to z are 1 to 26, ASCII digits and marks share 27 to 31, other scripts the rest by code point."""
     raw = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), n)
-    return np.where((raw >= 97) & (raw <= 122), raw - 96, np.where((raw >= 48) & (raw <= 57), 27, 28 + raw % 4)).astype(np.int64)
+    latin = np.where((raw >= 97) & (raw <= 122), raw - 96, np.where((raw >= 48) & (raw <= 57), 27, 28 + raw % 4))
+    return np.where(raw < 128, latin, 32 + raw % (LETTERS - 32)).astype(np.int64)
 
 
 def word_triples(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,11 +92,14 @@ class Similarity:
 
     def __init__(self, landmarks: list[str]) -> None:
         self.landmarks = landmarks
-        self.table = np.zeros((LETTERS**3, len(landmarks)), dtype=np.float32)
-        for k, word in enumerate(landmarks):
-            codes, weight = word_triples([word], len(word))
-            np.add.at(self.table[:, k], codes[0], weight)
-        self.active = self.table.any(axis=1)
+        own = [word_triples([word], len(word)) for word in landmarks]
+        met = np.unique(np.concatenate([codes[0] for codes, _ in own])) if own else np.zeros(0, dtype=np.int64)
+        #: Row of the table for each triple that a landmark holds, 0 for all others.
+        self.place = np.zeros(LETTERS**3, dtype=np.int32)
+        self.place[met] = np.arange(1, len(met) + 1)
+        self.table = np.zeros((len(met) + 1, len(landmarks)), dtype=np.float32)
+        for k, (codes, weight) in enumerate(own):
+            np.add.at(self.table[:, k], self.place[codes[0]], weight)
         self.forget()
 
     def forget(self) -> None:
@@ -115,10 +119,11 @@ class Similarity:
             for a in range(0, len(own), step):
                 part = own[a : a + step]
                 codes, weight = word_triples([words[k] for k in part], n)
-                row, col = np.nonzero(self.active[codes])
+                at = self.place[codes]
+                row, col = np.nonzero(at)
                 if len(row):
                     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                    sums = np.add.reduceat(self.table[codes[row, col]] * weight[col, None].astype(np.float32), first, axis=0)
+                    sums = np.add.reduceat(self.table[at[row, col]] * weight[col, None].astype(np.float32), first, axis=0)
                     out[np.array(part)[row[first]]] = sums
         return out
 

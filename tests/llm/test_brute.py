@@ -503,3 +503,12 @@ def test_keys_and_tokens_inside_strings():
         token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (head.encode(), b'{"sub":"1"}', bytes(range(32))))
         assert confirmed(f"see {token} there") == [("jwt", 4, 4 + len(token))]
     assert not confirmed("Incredible-values.example.org and ID-numbers-12345.abcdefgh.x")
+
+
+def test_words_of_other_scripts_differ():
+    from plumbline.llm.toxicity import Similarity
+
+    words = ["дебил", "придурок", "μαλακας", "حمار حمار".split()[0], "笨蛋白痴"]
+    clean = ["кошка", "ячменный", "στοιχιο", "بيوت", "春天花园"]
+    got = Similarity(words).kernel(words + clean)
+    assert got.diagonal().min() > 0.99 and got[len(words) :].max() < 0.2

@@ -7,6 +7,7 @@ dot-product of demand and residual, or the smallest norm of what would be left.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -136,9 +137,14 @@ def pack(pieces: DataFrame, tokens: int = 2048, documents: int = 2048, attention
     return dealt.groupBy("deal").applyInPandas(one, f"{schema}, sequence_id long, offset long".replace(":", " "))
 
 
-def pack_documents(docs: DataFrame, path: str, most_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, most_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text", documents: int | None = None, attention: int | None = None, rule: str = "norm") -> DataFrame:
     """All pieces of all texts with their places: :func:`token_pieces`, kept in a table, then :func:`pack`.
 
-    A null id stays null, repeated rows are packed each on their own, other columns are ignored.
+    By default only tokens limit a sequence: as many pieces as tokens and a cost of tokens squared are never exceeded.
+    ``documents`` and ``attention`` set tighter limits; pieces are then cut no longer than the cost of one allows. A null id
+    stays null, repeated rows are packed each on their own, other columns are ignored.
     """
-    return pack(keep(token_pieces(docs, path, most_tokens, id_col=id_col, text_col=text_col), "token-pieces"), most_tokens)
+    documents, attention = most_tokens if documents is None else documents, most_tokens**2 if attention is None else attention
+    longest = min(most_tokens, math.isqrt(attention))
+    pieces = keep(token_pieces(docs, path, longest, id_col=id_col, text_col=text_col), "token-pieces")
+    return pack(pieces, most_tokens, documents, attention, rule)

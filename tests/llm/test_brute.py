@@ -512,3 +512,20 @@ def test_words_of_other_scripts_differ():
     clean = ["кошка", "ячменный", "στοιχιο", "بيوت", "春天花园"]
     got = Similarity(words).kernel(words + clean)
     assert got.diagonal().min() > 0.99 and got[len(words) :].max() < 0.2
+
+
+@pytest.mark.parametrize("limits", [{"documents": 3}, {"attention": 40_000}, {"documents": 5, "attention": 20_000, "rule": "dot"}])
+def test_packing_under_tighter_limits(spark, limits):
+    from plumbline.llm.packing import pack_documents
+
+    rng, most = random.Random(6), 300
+    texts = [" ".join(rng.choice(["red", "green", "house", "river"]) for _ in range(rng.choice([3, 20, 40, 150, 900]))) for _ in range(120)]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got, plain = (pack_documents(own, path, most, **x).collect() for x in (limits, {}))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append(r.length)
+    assert all(sum(b) <= most and len(b) <= limits.get("documents", most) and sum(n * n for n in b) <= limits.get("attention", most**2) for b in bins.values())
+    assert sum(r.length for r in got) == sum(r.length for r in plain)
+    assert len(bins) > len({r.sequence_id for r in plain})

@@ -12,12 +12,14 @@ from plumbline.llm.decontamination import find_contaminated
 from plumbline.llm.embeddings import near_vectors
 from plumbline.llm.language import fit_language, predict_language
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.periodic import find_runs, run_digests, with_cycles
 from plumbline.llm.pii import find_pii, pii_digests
 from plumbline.llm.repeats import find_repeats, remove_repeats
 from plumbline.llm.secrets import scan_secrets, secret_digests
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.tokens import token_counts
 from plumbline.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
+from plumbline.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +127,15 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
 def op10(spark: SparkSession, root: str) -> DataFrame:
     """Secrets in all documents."""
     return secret_digests(scan_secrets(table(spark, root, "documents")))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    """Periodic runs of words in all documents, of which one in ten has a tail that repeats itself."""
+    return run_digests(find_runs(with_cycles(table(spark, root, "documents"))))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    """All usable embeddings along the eight axes of greatest variance."""
+    return whiten(table(spark, root, "embeddings"))

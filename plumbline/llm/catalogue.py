@@ -12,6 +12,7 @@ from plumbline.llm.decontamination import find_contaminated
 from plumbline.llm.embeddings import near_vectors
 from plumbline.llm.language import fit_language, predict_language
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.pages import main_texts
 from plumbline.llm.periodic import find_runs, run_digests, with_cycles
 from plumbline.llm.pii import find_pii, pii_digests
 from plumbline.llm.repeats import find_repeats, remove_repeats
@@ -135,6 +136,12 @@ def op11(spark: SparkSession, root: str) -> DataFrame:
     return run_digests(find_runs(with_cycles(table(spark, root, "documents"))))
 
 
+@query("op12_main_text")
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    """Main text of all pages, by wrappers inferred for each host from all of its pages."""
+    return main_texts(table(spark, root, "pages"))
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, root: str) -> DataFrame:
     """All usable embeddings along the eight axes of greatest variance."""

@@ -189,6 +189,13 @@ def _count_through(numbers: DataFrame, searches: list[_Search]) -> dict[tuple[st
     return {(name, absolute): value for (_, name, absolute, _), value in zip(wanted, seen.agg(*picks).first(), strict=True)}
 
 
+def values_at_ranks(numbers: DataFrame, name: str, ranks: dict[int, int], count: int, few: int = FEW) -> dict[int, float]:
+    """The values at some ranks of a column that holds ``count`` numbers; ``ranks`` maps the keys of the answer to them."""
+    search = _Search(name, ranks, count)
+    found = _count_through(numbers, [search]) if count <= few else _values_at(numbers, _propose(numbers, [search]), few)
+    return {absolute: value for (_, absolute), value in found.items()}
+
+
 def iqr_fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float] | None]:
     """Outlier fences per column; ``None`` where fewer than four numbers exist."""
     types = {f.name: f.dataType for f in df.schema.fields}

@@ -296,6 +296,12 @@ def as_struct(row: DataFrame) -> Column:
     return row.select(F.struct("*").alias("s")).scalar()
 
 
+def digest_value(m: Measure) -> Column:
+    """A value's 256-bit digest, of one type for columns of any type; equal values have equal digests."""
+    value = m.number + F.lit(0.0) if isinstance(m.dtype, (T.FloatType, T.DoubleType)) else m.value
+    return F.unhex(F.sha2(value if isinstance(m.dtype, T.BinaryType) else value.cast("string"), 256))
+
+
 def duplicate_counts(df: DataFrame, m: Measure) -> Column:
     """Repeats among the non-null values of one column, as a scalar struct.
 

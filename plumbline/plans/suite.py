@@ -24,6 +24,7 @@ from plumbline.functions.normalise import unsupported_column
 from plumbline.functions.text import debug_list, quote
 from plumbline.functions.time import register_functions, utc
 from plumbline.model import ERROR, FAIL, WARN, Check, Suite
+from plumbline.plans.profiles import Profile, source_of
 from plumbline.plans.rules import compile_rules, find_fences, measure, missing_columns
 from plumbline.plans.thresholds import add_rows, first_row, needs, sample_array, tier_verdict
 from plumbline.plans.validate import sample_json, verdict
@@ -57,6 +58,9 @@ class _Job:
     timeout: int | None
     written: bool = False
     """Whether the source may change between passes, so that its rows are fetched once."""
+    store: str | None = None
+    """Where partial aggregates of its tables are kept, if they are."""
+    options: Mapping[str, Any] | None = None
 
 
 class QueryTimeout(Exception):
@@ -145,14 +149,31 @@ def with_deadline(spark: SparkSession, seconds: float | None, work: Callable[[],
         done.set()
 
 
+def _from_profile(job: _Job) -> dict[int, Outcome]:
+    """Outcomes of the checks that stored partial aggregates can answer."""
+    ruled = [(i, c) for i, c in job.checks if c.validate is not None and not c.materialise]
+    source = source_of(job.df) if job.store and ruled and not job.written and not unsupported_column(job.df.schema) else None
+    out = {}
+    for i, check in ruled if source else []:
+        profile = Profile(job.session, job.store, lambda session, check=check: resolve(check, session, job.options), source, check.validate, check.name, check.order_by)
+        got = profile.evaluate()
+        out[i] = Outcome(got.status, got.detail, got.sample)
+    return out
+
+
 def _run_job(job: _Job, as_of: datetime | None) -> dict[int, Outcome]:
     by_ord = dict(job.checks)
 
     def work() -> dict[int, Outcome]:
+        known = _from_profile(job)
+        rest = [pair for pair in job.checks if pair[0] not in known]
+        return {**known, **(scan(rest) if rest else {})}
+
+    def scan(checks: list[tuple[int, Check]]) -> dict[int, Outcome]:
         df, path = materialise(job.df) if job.written or any(c.materialise for c in by_ord.values()) else (job.df, None)
         try:
             out = {}
-            for r in group_plan(df, job.checks, as_of).collect():
+            for r in group_plan(df, checks, as_of).collect():
                 sample = check_sample(df, by_ord[r["ord"]], r["status"], r["broken"])
                 out[r["ord"]] = Outcome(r["status"], r["detail"], list(sample.first()["sample"]) if sample is not None else [])
             return out
@@ -167,15 +188,18 @@ def _run_job(job: _Job, as_of: datetime | None) -> dict[int, Outcome]:
             return {i: Outcome(ERROR, first_line(err)) for i in by_ord}
         out: dict[int, Outcome] = {}
         for pair in job.checks:  # each by itself, with its own deadline
-            out.update(_run_job(_Job(job.session, job.df, [pair], job.timeout, job.written), as_of))
+            out.update(_run_job(_Job(job.session, job.df, [pair], job.timeout, job.written, job.store, job.options), as_of))
         return out
 
 
 def run_checks(
-    spark: SparkSession, suite: Suite, as_of: datetime | None = None, threads: int = 8
+    spark: SparkSession, suite: Suite, as_of: datetime | None = None, threads: int = 8, store: str | None = None
 ) -> list[tuple[Check, Outcome]]:
     """Every check of the suite with its outcome, in suite order.
 
+    With a ``store`` (a folder), column rules over Parquet tables are judged by partial aggregates kept there, and only
+    files that no earlier run has seen are scanned (see :mod:`plumbline.plans.profiles`).
+
     Opening connections and analysing queries happen here on the driver; only
     the groups that are left to run start Spark jobs.
     """
@@ -205,7 +229,7 @@ def run_checks(
         except Exception as err:  # noqa: BLE001 - e.g. a missing table
             results[i] = Outcome(ERROR, first_line(err))
         else:
-            jobs[key] = _Job(live[check.on], df, [(i, check)], check.timeout_secs, check.on in changing)
+            jobs[key] = _Job(live[check.on], df, [(i, check)], check.timeout_secs, check.on in changing, store, options[check.on])
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs) or 1))) as pool:
         for out in pool.map(lambda job: _run_job(job, as_of), jobs.values()):
             results.update(out)
@@ -213,13 +237,13 @@ def run_checks(
 
 
 def run_suite(
-    spark: SparkSession, suite: Suite, as_of: datetime | None = None, threads: int = 8
+    spark: SparkSession, suite: Suite, as_of: datetime | None = None, threads: int = 8, store: str | None = None
 ) -> DataFrame:
-    """All results, one row per check, in suite order (column ``ord``)."""
+    """All results, one row per check, in suite order (column ``ord``); for ``store`` see :func:`run_checks`."""
     run_at = utc(as_of or datetime.now(UTC))
     rows = [
         (i, check.name, check.on, out.status, out.detail, out.sample, run_at)
-        for i, (check, out) in enumerate(run_checks(spark, suite, as_of, threads))
+        for i, (check, out) in enumerate(run_checks(spark, suite, as_of, threads, store))
     ]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 

@@ -97,7 +97,7 @@ def offending_rows(
     """
     measures = [m for m in compile_rules(rules, df.schema) if only is None or m.ord in only]
     outliers = find_fences(df, measures) if fences is None else fences
-    scored = [m for m in measures if m.rule == "outliers" and m.param == "zscore"]
+    scored = [m for m in measures if m.rule == "outliers" and m.param == "zscore" and m.key not in outliers]
     if scored:
         outliers = with_scores(as_struct(first_pass(df, scored)), scored, outliers)
     broken: dict[int, Column] = {}

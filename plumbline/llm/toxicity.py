@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,8 @@ def joined(word: str) -> set[str]:
 
 def windows(word: str) -> list[str]:
     word = word.strip(_EDGES)
+    if len(word) < 7 and word.isalnum():
+        return [word] if len(word) >= 3 else []
     out = []
     for own in (word, *sorted(joined(word) - {word})):
         if len(own) > WINDOW:
@@ -97,19 +100,29 @@ class Similarity:
         #: Row of the table for each triple that a landmark holds, 0 for all others.
         self.place = np.zeros(LETTERS**3, dtype=np.int32)
         self.place[met] = np.arange(1, len(met) + 1)
-        self.table = np.zeros((len(met) + 1, len(landmarks)), dtype=np.float32)
+        # landmarks that hold each triple, and their weights for it, triple after triple
+        entries: list[dict[int, float]] = [{} for _ in range(len(met) + 1)]
         for k, (codes, weight) in enumerate(own):
-            np.add.at(self.table[:, k], self.place[codes[0]], weight)
+            for at, w in zip(self.place[codes[0]].tolist(), weight.tolist(), strict=True):
+                entries[at][k] = entries[at].get(k, 0.0) + w
+        self.first = np.cumsum([0, *map(len, entries)])
+        self.holder = np.array([k for e in entries for k in e], dtype=np.int64)
+        self.share = np.array([w for e in entries for w in e.values()])
         self.forget()
 
     def forget(self) -> None:
-        """Rows are half floats, held by their bits: those of numbers that are not negative stand in the numbers' order."""
+        #: Words and parts of words with what they are like: landmark << 16 | the bits of the similarity as a half float.
         self.whole: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, int] = {}
-        self.rows, self.used = np.zeros((1024, len(self.landmarks)), dtype=np.uint16), 0
+        self.parts: dict[str, tuple[int, ...]] = {}
+        #: The same, not met since they were last looked through.
+        self.old: tuple[dict, dict] = {}, {}
+
+    def age(self) -> None:
+        """Words met of late stay for another turn, the others go."""
+        self.old, self.whole, self.parts = (self.whole, self.parts), {}, {}
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        """Words x landmarks."""
+        """Words x landmarks. Only triples that a landmark holds are looked at, and only with the landmarks that hold them."""
         out = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
         by: dict[int, list[int]] = {}
         for k, word in enumerate(words):
@@ -122,43 +135,48 @@ class Similarity:
                 at = self.place[codes]
                 row, col = np.nonzero(at)
                 if len(row):
-                    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                    sums = np.add.reduceat(self.table[at[row, col]] * weight[col, None].astype(np.float32), first, axis=0)
-                    out[np.array(part)[row[first]]] = sums
+                    begin = self.first[at[row, col]]
+                    many = self.first[at[row, col] + 1] - begin
+                    hit = np.repeat(np.arange(len(row)), many)
+                    held_by = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many - begin, many)
+                    key = row[hit] * len(self.landmarks) + self.holder[held_by]
+                    sums = np.bincount(key, weights=self.share[held_by] * weight[col[hit]], minlength=len(part) * len(self.landmarks))
+                    out[part] = sums.reshape(len(part), -1)
         return out
 
     def learn(self, words: set[str]) -> None:
+        if len(self.whole) > MEMO // 2:
+            self.age()
+        old_words, old_parts = self.old
         new = words.difference(self.whole)
-        if len(self.whole) + len(new) > MEMO:
-            self.forget()
-            new = words
-        made = {w: windows(w) for w in new}
-        fresh = list(set().union(*made.values()).difference(self.parts))
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
+        again = new.intersection(old_words)
+        self.whole.update(zip(again, map(old_words.__getitem__, again), strict=True))
+        made = {w: windows(w) for w in new.difference(again)}
+        fresh = set().union(*made.values()).difference(self.parts)
+        again = fresh.intersection(old_parts)
+        self.parts.update(zip(again, map(old_parts.__getitem__, again), strict=True))
+        rest = list(fresh.difference(again))
+        for a in range(0, len(rest), 20_000):
+            part = rest[a : a + 20_000]
             found = self.kernel(part)
-            found[found < LEAST] = 0
-            near = found.any(axis=1)
-            places = np.where(near, np.cumsum(near) - 1 + self.used, -1)
-            self.parts.update(zip(part, places.tolist(), strict=True))
-            more = found[near].astype(np.float16).view(np.uint16)
-            if self.used + len(more) > len(self.rows):
-                self.rows = np.concatenate([self.rows[: self.used], np.empty((max(len(more), self.used // 2), len(self.landmarks)), dtype=np.uint16)])
-            self.rows[self.used : self.used + len(more)] = more
-            self.used += len(more)
+            row, col = np.nonzero(found >= LEAST)
+            packed = (col << 16 | found[row, col].astype(np.float16).view(np.uint16)).tolist()
+            ends = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
+            self.parts.update(zip(part, (tuple(packed[i:j]) for i, j in zip(ends, ends[1:], strict=False)), strict=True))
+        get = self.parts.__getitem__
         for word, own in made.items():
-            self.whole[word] = tuple(k for k in map(self.parts.__getitem__, own) if k >= 0)
+            self.whole[word] = get(own[0]) if len(own) == 1 else tuple(chain.from_iterable(map(get, own)))
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """Texts x landmarks: the largest similarity of any of the text's words."""
         out = np.zeros((len(texts), len(self.landmarks)), dtype=np.float32)
         words = [forms(t) if t else set() for t in texts]
         self.learn(set().union(*words))
-        get = self.whole.__getitem__
-        for k, own in enumerate(words):
-            near = {r for rows in map(get, own) if rows for r in rows}
-            if near:
-                out[k] = self.rows[list(near)].max(axis=0).view(np.float16)
+        near = [list(chain.from_iterable(map(self.whole.__getitem__, own))) for own in words]
+        packed = np.fromiter(chain.from_iterable(near), dtype=np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in near])
+        values = (packed & 0xFFFF).astype(np.uint16).view(np.float16).astype(np.float32)
+        np.maximum.at(out.reshape(-1), text * len(self.landmarks) + (packed >> 16), values)
         return out
 
 

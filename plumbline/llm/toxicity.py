@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm.store import held, map_batches, slices, uncollected
+from plumbline.llm.store import held, keep, map_batches, slices, uncollected
 
 DECAY, SPAN, LETTERS = 0.6, 7, 128
 #: Similarities below this are zero: just under those of five- to eight-letter words with a character between all letters.
@@ -201,10 +201,10 @@ def nystrom(landmarks: list[str], ridge: float = 1e-2) -> np.ndarray:
     return (vectors / np.sqrt(np.maximum(values, 0) + ridge)) @ vectors.T
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
+def train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps on the rows within the margin; y is 1 or -1, classes weigh alike."""
     rows = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
+    cost = weight * np.where(y > 0, 0.5 / max(1, weight[y > 0].sum()), 0.5 / max(1, weight[y < 0].sum())) * weight.sum()
     w, keep_out = np.zeros(rows.shape[1]), np.append(np.full(x.shape[1], ridge), 1e-6)
     for _ in range(rounds):
         inside = y * (rows @ w) < 1
@@ -224,56 +224,62 @@ def train_machine(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int
     return w[:-1], float(w[-1])
 
 
-def calibrate(margins: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+def calibrate(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
     """Slope and offset of a logistic curve through the margins, with the usual softened targets."""
-    pos, neg = (y > 0).sum(), (y < 0).sum()
+    pos, neg = weight[y > 0].sum(), weight[y < 0].sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     rows, w = np.stack([margins, np.ones(len(margins))], axis=1), np.array([1.0, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -40, 40)))
-        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + 1e-6 * np.eye(2), rows.T @ (target - p))
+        step = np.linalg.solve((rows * (weight * p * (1 - p))[:, None]).T @ rows + 1e-6 * np.eye(2), rows.T @ (weight * (target - p)))
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def bounded(rows: DataFrame, most_rows: int, *by: str) -> DataFrame:
-    """``rows``, or where there are more than ``most_rows``, those whose hash of the columns ``by`` is in the share that fits."""
+def bounded(rows: DataFrame, most_rows: int, by: str) -> DataFrame:
+    """``rows``, which hold few rows of each ``by``, or where there are more than ``most_rows`` those whose hash of it is in the share that fits."""
     total = rows.count()
     if total <= most_rows:
         return rows
-    return rows.where(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < int((1 << 40) * 0.95 * most_rows / total))
+    return rows.where(F.pmod(F.xxhash64(by), F.lit(1 << 40)) < int((1 << 40) * 0.95 * most_rows / total))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Texts with their labels. At most about ``most_rows`` labels are taken, so that they can be sent to every task of the scan."""
-    few = bounded(labels.where(F.col(id_col).isNotNull()).select(id_col, label_col), most_rows, id_col)
-    return docs.select(id_col, text_col).join(F.broadcast(few), id_col)
+    """Texts with their labels (1 or 0); a text comes once for each different label of its id.
+
+    About ``most_rows`` different labels are taken at most, whatever their ids repeat, so that they can be sent to every task
+    of the scan. Labels without an id or a value are left out.
+    """
+    own = labels.select(id_col, (F.col(label_col) == 1).cast("int").alias(label_col)).dropna().distinct()
+    return docs.select(id_col, text_col).join(F.broadcast(bounded(own, most_rows, id_col)), id_col)
 
 
 def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", landmarks: int = 128, most_rows: int = 20_000) -> Model:
     """Learn from labelled texts (sentences or documents); the label is 1 for toxic.
 
-    At most ``most_rows`` rows are learned from, those with the smallest hashes of their text; this and the number of
-    landmarks bound what reaches the driver. Landmarks are the words most typical of toxic rows. Rows with a null text or
-    label are left out. Without rows of both labels the model scores every text 0 (or 1, if all are toxic).
+    Rows of equal text and label are one row with a weight. About ``most_rows`` such rows are learned from at most, those
+    with the smallest hashes of their text; this and the number of landmarks bound what reaches the driver. Landmarks are the
+    words most typical of toxic rows. Rows with a null text or label are left out. Without rows of both labels the model
+    scores every text 0 (or 1, if all are toxic).
     """
     rows = labelled.select(F.col(text_col).alias("text"), (F.col(label_col) == 1).alias("bad")).where("text is not null and bad is not null")
+    rows = keep(rows.groupBy("text", "bad").agg(F.count("*").alias("weight")), "labelled")
     rows = bounded(rows, most_rows, "text")
 
     def count(batches):
         sums: dict[str, list[int]] = {}
         for batch in batches:
-            for text, bad in zip(batch.column("text").to_pylist(), batch.column("bad").to_pylist(), strict=True):
+            for text, bad, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "bad", "weight")), strict=True):
                 for word in {w for x in forms(text) for w in windows(x)}:
-                    sums.setdefault(word, [0, 0])[bad] += 1
+                    sums.setdefault(word, [0, 0])[bad] += weight
         words = list(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.string()), pa.array([sums[w][1] for w in words], pa.int64()), pa.array([sums[w][0] for w in words], pa.int64())], names=["word", "bad", "good"],
         )
 
-    sizes = {r.bad: r["count"] for r in rows.groupBy("bad").count().collect()}
+    sizes = {r.bad: r.n for r in rows.groupBy("bad").agg(F.sum("weight").alias("n")).collect()}
     n_bad, n_good = sizes.get(True, 0), sizes.get(False, 0)
     if not n_bad or not n_good:
         return Model(bias=30.0 if n_bad else -30.0)
@@ -291,16 +297,17 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = np.concatenate([own.texts(texts[a:b]) for a, b in slices(texts)]) if texts else np.zeros((0, len(words)), dtype=np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("bad"), pa.array(list(found), pa.list_(pa.float32()))], names=["bad", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("bad"), batch.column("weight"), pa.array(list(found), pa.list_(pa.float32()))], names=["bad", "weight", "x"])
 
-    table = map_batches(rows, measure, "bad boolean, x array<float>").toPandas()  # at most most_rows x landmarks numbers
+    table = map_batches(rows, measure, "bad boolean, weight long, x array<float>").toPandas()  # at most most_rows x landmarks numbers
     x = np.stack(table["x"].to_numpy()).astype(np.float64)
     y = np.where(table["bad"].to_numpy(dtype=bool), 1.0, -1.0)
-    order = np.lexsort((*x.T[::-1], y))  # the same model whatever order rows arrive in
-    x, y = x[order], y[order]
+    weight = table["weight"].to_numpy(dtype=np.float64)
+    order = np.lexsort((weight, *x.T[::-1], y))  # the same model whatever order rows arrive in
+    x, y, weight = x[order], y[order], weight[order]
     root = nystrom(words)
-    w, b = train_machine(x @ root, y)
-    slope, offset = calibrate(x @ root @ w + b, y)
+    w, b = train_machine(x @ root, y, weight)
+    slope, offset = calibrate(x @ root @ w + b, y, weight)
     return Model(words, root @ w, b, slope, offset)
 
 

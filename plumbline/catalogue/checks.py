@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalogue.registry import EVENTS_AS_OF, TABLES, Tables, query
 from plumbline.catalogue.rules import ORDER_RULES
+from plumbline.functions.lineage import fresh_dir
 from plumbline.model import Check, ColumnRule, Defaults, Suite, Tier
 from plumbline.plans import results as res
 from plumbline.plans.suite import run_suite, suite_frame
@@ -440,3 +441,34 @@ def suite_list(t: Tables) -> DataFrame:
     return listed.join(_results(t).select("ord", "check", "status"), "check").select(
         "ord", "check", "status", "query", "conditions", "on_fail", F.col("sustained_secs").cast("int").alias("sustained_secs")
     )
+
+
+INCREMENTAL_RULES = [
+    ColumnRule("o_orderkey", not_null=True, unique=True), ColumnRule("o_custkey", unique=True),
+    ColumnRule("o_orderstatus", allowed=["O", "F"]), ColumnRule("o_totalprice", range=(1000, 400_000), outliers="iqr"),
+]
+
+
+@query(
+    "suite_incremental",
+    """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders),
+            n AS (SELECT count(*) AS n, count(o_orderkey) - count(DISTINCT o_orderkey) AS k, count(o_custkey) - count(DISTINCT o_custkey) AS c, count(o_custkey) AS cn,
+                         count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) AS s, count(*) FILTER (WHERE o_totalprice < 1000 OR o_totalprice > 400000) AS r,
+                         count(*) FILTER (WHERE o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)) AS o FROM orders, q)
+       SELECT 'orders_grow' AS "check", CASE WHEN k + c + s + r + o > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
+              CASE WHEN k + c + s + r + o = 0 THEN n || ' row(s), all rules passed' ELSE concat_ws('; ',
+                  CASE WHEN k > 0 THEN 'column "o_orderkey": unique: ' || k || ' duplicate(s) found in ' || n || ' non-null values' END,
+                  CASE WHEN c > 0 THEN 'column "o_custkey": unique: ' || c || ' duplicate(s) found in ' || cn || ' non-null values' END,
+                  CASE WHEN s > 0 THEN 'column "o_orderstatus": allowed: ' || s || ' value(s) not in allowed set ["O", "F"]' END,
+                  CASE WHEN r + o > 0 THEN 'column "o_totalprice": ' END || concat_ws(', ',
+                      CASE WHEN r > 0 THEN 'range=[1000,400000]: ' || r || ' value(s) out of range' END,
+                      CASE WHEN o > 0 THEN 'outliers=iqr: ' || o || ' outlier(s) found' END)) END AS detail FROM n""",
+)
+def suite_incremental(t: Tables) -> DataFrame:
+    """The orders arrive in two parts; the second run scans the second part only and judges the whole table."""
+    root, checks = fresh_dir(t.spark, "grow"), [Check("orders_grow", "SELECT * FROM orders", validate=INCREMENTAL_RULES)]
+    suite = Suite([parquet_connection("shop", root, ["orders"])], checks)
+    for part in ("o_orderkey % 4 <> 0", "o_orderkey % 4 = 0"):
+        t.orders.where(part).write.mode("append").parquet(f"{root}/orders.parquet")
+        results = run_suite(t.spark, suite, store=f"{root}/store")
+    return results.select("check", "status", "detail")

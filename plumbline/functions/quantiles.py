@@ -13,7 +13,7 @@ narrows the candidates some hundredfold.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plumbline.functions.lineage import discard, fresh_dir
 from plumbline.functions.text import as_number, column
 
 #: Size of a sketch, the share of the data its proposals leave on either side of a rank, and groups of the first merge.
@@ -123,6 +124,14 @@ def _values_at(numbers: DataFrame, guesses: list[tuple[_Search, float, float]],
     return found
 
 
+#: A column of this name says how often each row counts.
+WEIGHT = "_weight"
+
+
+def _weight(numbers: DataFrame) -> Column:
+    return F.col(WEIGHT) if WEIGHT in numbers.columns else F.lit(1)
+
+
 def _within(numbers: DataFrame, searches: list[_Search]) -> DataFrame:
     """Only rows some search still needs, so the bounds reach the scan."""
     return numbers.where(reduce(Column.__or__, [s.candidate for s in searches]))
@@ -149,7 +158,7 @@ def _split(
         col = F.col(s.column)
         at_high = col == high if high > low else F.lit(False)
         for part, test in (("a", col < low), ("b", col == low), ("c", (col > low) & (col < high)), ("d", at_high)):
-            parts.append(F.count_if(s.candidate & test).alias(f"{part}{k}"))
+            parts.append(F.coalesce(F.sum(F.when(s.candidate & test, _weight(numbers))), F.lit(0)).alias(f"{part}{k}"))
     tally = _within(numbers, [s for s, _, _ in guesses]).agg(*parts).first()
     return [
         piece
@@ -180,9 +189,9 @@ def _count_through(numbers: DataFrame, searches: list[_Search]) -> dict[tuple[st
     """Last step: few enough distinct values are left to number them in order."""
     if not searches:
         return {}
-    hits = F.array(*[F.when(s.candidate, F.struct(F.lit(i).alias("i"), F.col(s.column).alias("v"))) for i, s in enumerate(searches)])
+    hits = F.array(*[F.when(s.candidate, F.struct(F.lit(i).alias("i"), F.col(s.column).alias("v"), _weight(numbers).alias("n"))) for i, s in enumerate(searches)])
     held = _within(numbers, searches).select(F.inline(F.array_compact(hits)))
-    counts = held.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = held.groupBy("i", "v").agg(F.sum("n").alias("n"))
     seen = counts.withColumn("seen", F.sum("n").over(Window.partitionBy("i").orderBy("v")))
     wanted = [(i, s.column, absolute, rank) for i, s in enumerate(searches) for absolute, rank in s.ranks.items()]
     picks = [F.min(F.when((F.col("i") == i) & (F.col("seen") > rank), F.col("v"))) for i, _, _, rank in wanted]
@@ -196,6 +205,128 @@ def values_at_ranks(numbers: DataFrame, name: str, ranks: dict[int, int], count:
     return {absolute: value for (_, absolute), value in found.items()}
 
 
+#: Size of the sketch that rides along with a first pass, and the margin that outweighs its error.
+FIRST_SKETCH, FIRST_MARGIN = 1024, 6e-3
+
+
+@dataclass(frozen=True)
+class Fenced:
+    """What two scans tell: aggregates of the first, counts of the second, fences per column, and how many values lie beyond them."""
+
+    first: dict[str, object]
+    late: dict[str, int]
+    fences: dict[str, tuple[float, float] | None]
+    beyond: dict[str, int]
+
+
+def _bounds(df: DataFrame, numbers: dict[str, Column], first: Sequence[Column]) -> tuple[Row, dict[str, int], dict[str, list[float]]]:
+    """First scan: the caller's aggregates, sizes, and values around both quartiles of each column with enough numbers."""
+    shares = [max(0.0, 0.25 - FIRST_MARGIN), 0.25 + FIRST_MARGIN, 0.75 - FIRST_MARGIN, min(1.0, 0.75 + FIRST_MARGIN)]
+    counted = [F.count(v).alias(f"_n{i}") for i, v in enumerate(numbers.values())]
+    sketched = [F.kll_sketch_agg_double(v, F.lit(FIRST_SKETCH)).alias(f"_s{i}") for i, v in enumerate(numbers.values())]
+    asked = [F.when(F.col(f"_n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"_s{i}"), F.array(*map(F.lit, shares)))) for i in range(len(numbers))]
+    row = df.agg(*first, *counted, *sketched).withColumns({f"_s{i}": a for i, a in enumerate(asked)}).first()
+    sizes = {c: row[f"_n{i}"] for i, c in enumerate(numbers)}
+    return row, sizes, {c: list(row[f"_s{i}"]) for i, c in enumerate(numbers) if sizes[c] >= 4}
+
+
+def fences_in_two_scans(
+    df: DataFrame, columns: Sequence[str], first: Sequence[Column] = (), late: Callable[[Row], dict[str, Column]] = lambda row: {}, few: int = FEW
+) -> Fenced:
+    """Interquartile fences of numeric columns and the values beyond them, exactly, whatever the size of the data.
+
+    The first scan takes a sketch of each column beside the caller's ``first`` aggregates. The sketch says between which
+    values a quartile lies, and so where the fences can be. The second scan counts rows by where their value lies, beside
+    the caller's ``late`` conditions (made from the first scan's row), and by value only the some hundredth that is in
+    doubt. Its result is a table in which the rest is decided. Columns with fewer than four numbers have no fences. Where a
+    sketch missed a quartile, which its margin makes very unlikely, the column is searched anew.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numbers = {c: as_number(column(c), types[c]) for c in columns}
+    row, sizes, bounds = _bounds(df, numbers, first)
+    known = {k: v for k, v in row.asDict().items() if not k.startswith(("_n", "_s"))}
+    fences: dict[str, tuple[float, float] | None] = dict.fromkeys(columns)
+    beyond, conditions = dict.fromkeys(columns, 0), late(row)
+    if not bounds and not conditions:
+        return Fenced(known, {}, fences, beyond)
+
+    # a row's part in column i: which of the tests hold for its value, and the value itself if it is in doubt
+    zones, tests, placed, parts = {}, {}, [], []
+    for i, (c, (a1, b1, a3, b3)) in enumerate(bounds.items()):
+        v = F.col(f"_x{i}")
+        zones[c] = (a1 - 1.5 * (b3 - a1), b1 - 1.5 * (a3 - b1)), (a3 + 1.5 * (a3 - b1), b3 + 1.5 * (b3 - a1))
+        (low, low_most), (high_least, high) = zones[c]
+        zone = v.between(low, low_most) | v.between(high_least, high)
+        tests[i] = {"below first": v < a1, "at first": v.between(a1, b1), "below third": v < a3, "at third": v.between(a3, b3), "out": (v < low) | (v > high), "zone": zone}
+        mask = reduce(Column.__add__, [F.when(t, 1 << k).otherwise(0) for k, t in enumerate(tests[i].values())])
+        doubt = F.when(v.between(a1, b1) | v.between(a3, b3) | zone, v)
+        placed += [F.when(v.isNotNull(), mask).alias(f"_m{i}"), doubt.alias(f"_d{i}")]
+        parts.append(F.struct(F.lit(i).alias("i"), F.col(f"_m{i}").alias("mask"), F.col(f"_d{i}").alias("v")))
+    for j, condition in enumerate(conditions.values(), len(bounds)):
+        placed.append(F.when(condition, 0).alias(f"_m{j}"))
+        parts.append(F.struct(F.lit(j).alias("i"), F.col(f"_m{j}").alias("mask"), F.lit(None).cast("double").alias("v")))
+    path = fresh_dir(df.sparkSession, "doubt")
+    try:
+        rows = df.select("*", *[numbers[c].alias(f"_x{i}") for i, c in enumerate(bounds)])
+        rows = rows.select(*placed)
+        each = (rows.select(F.inline(F.array(*parts))) if len(parts) > 1 else rows.select(parts[0].alias("e")).select("e.*")).where("mask IS NOT NULL")
+        each.groupBy("i", "mask", "v").agg(F.count(F.lit(1)).alias(WEIGHT)).write.parquet(path)
+        table = df.sparkSession.read.schema(f"i int, mask int, v double, {WEIGHT} long").parquet(path)
+        met = table.groupBy("i", "mask").agg(F.sum(WEIGHT).alias("n")).collect()
+        seen = {(i, name): sum(r["n"] for r in met if r["i"] == i and r["mask"] >> k & 1) for i in tests for k, name in enumerate(tests[i])}
+        wanted, large, picks, values, missed = [], [], [], {}, set()
+        for i, c in enumerate(bounds):
+            a1, b1, a3, b3 = bounds[c]
+            for p, name, low, high in ((0.25, "first", a1, b1), (0.75, "third", a3, b3)):
+                start, size, at = seen[i, f"below {name}"], seen[i, f"at {name}"], p * (sizes[c] - 1)
+                ranks = {r: r - start for r in (math.floor(at), math.ceil(at))}
+                held = (F.col("i") == i) & F.col("v").between(low, high)
+                if min(ranks.values()) < 0 or max(ranks.values()) >= size:
+                    missed.add(c)
+                elif size <= few:
+                    wanted.append(((i, p), ranks))
+                    picks.append(F.array_sort(F.collect_list(F.when(held, F.struct("v", WEIGHT)))).alias(f"p{len(wanted) - 1}"))
+                else:
+                    large.append(((i, p), ranks, size, held))
+            if seen[i, "zone"] <= few:
+                picks.append(F.collect_list(F.when((F.col("i") == i) & F.col("mask").bitwiseAND(1 << 5).cast("boolean"), F.struct("v", WEIGHT))).alias(f"z{i}"))
+        got = table.agg(*picks).first().asDict() if picks else {}
+        for j, (key, ranks) in enumerate(wanted):
+            values[key] = _at_ranks(got[f"p{j}"], ranks)
+        for key, ranks, size, held in large:
+            values[key] = values_at_ranks(table.select(F.when(held, F.col("v")).alias("held"), WEIGHT), "held", ranks, size, few)
+        for i, c in enumerate(bounds):
+            if c in missed:
+                fences[c] = iqr_fences(df, [c])[c]
+            else:
+                q1, q3 = (_interpolate({(c, r): x for r, x in values[i, p].items()}, c, p * (sizes[c] - 1)) for p in (0.25, 0.75))
+                fences[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+            (low, low_most), (high_least, high) = zones[c]
+            first_fence, last_fence = fences[c]
+            if not (low <= first_fence <= low_most and high_least <= last_fence <= high):
+                beyond[c] = df.agg(F.count_if((numbers[c] < first_fence) | (numbers[c] > last_fence))).first()[0]
+                continue
+            if f"z{i}" in got:
+                within = sum(x[WEIGHT] for x in got[f"z{i}"] if x["v"] < first_fence or x["v"] > last_fence)
+            else:
+                outside = (F.col("v") < first_fence) | (F.col("v") > last_fence)
+                within = table.where((F.col("i") == i) & F.col("mask").bitwiseAND(1 << 5).cast("boolean") & outside).agg(F.coalesce(F.sum(WEIGHT), F.lit(0))).first()[0]
+            beyond[c] = within + seen[i, "out"]
+    finally:
+        discard(df.sparkSession, path)
+    late_counts = {name: sum(r["n"] for r in met if r["i"] == len(bounds) + j) for j, name in enumerate(conditions)}
+    return Fenced(known, late_counts, fences, beyond)
+
+
+def _at_ranks(ordered: list[Row], ranks: dict[int, int]) -> dict[int, float]:
+    """Values at ranks of weighted values in order."""
+    out, before = {}, 0
+    for value, weight in ordered:
+        out.update({at: value for at, r in ranks.items() if before <= r < before + weight})
+        before += weight
+    return out
+
+
 def iqr_fences(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float] | None]:
     """Outlier fences per column; ``None`` where fewer than four numbers exist."""
     types = {f.name: f.dataType for f in df.schema.fields}

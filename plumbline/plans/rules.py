@@ -14,11 +14,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.quantiles import iqr_fences
+from plumbline.functions.quantiles import fences_in_two_scans
 from plumbline.functions.text import (
     INTEGRAL, NUMERIC, TIMESTAMPS, as_number, column, debug_list, plain_number, present, quote, value_text,
 )
@@ -269,11 +269,33 @@ def missing_columns(rules: Sequence[ColumnRule], schema: T.StructType, check: st
     }
 
 
-def find_fences(df: DataFrame, measures: Sequence[Measure]) -> dict[str, Outliers]:
-    """Interquartile fences per ``iqr`` rule; the exact quartiles are searched for here."""
+class Fences(dict):
+    """``Outliers`` per ``iqr`` rule, and what the two scans that found them told beside: measures by name."""
+
+    known: dict[str, object]
+    names: tuple[str, ...]
+
+
+def find_fences(df: DataFrame, measures: Sequence[Measure]) -> Fences:
+    """Interquartile fences per ``iqr`` rule. The two scans this takes evaluate the other rules of ``measures`` as well."""
     wanted = [m for m in measures if m.rule == "outliers" and m.param == "iqr" and isinstance(m.dtype, NUMERIC)]
-    fences = iqr_fences(df, list(dict.fromkeys(m.column for m in wanted)))
-    return {m.key: Outliers(fences=fences[m.column]) for m in wanted}
+    out = Fences()
+    out.known, out.names = {}, ()
+    if not wanted:
+        return out
+    first = [F.count(F.lit(1)).alias("n_rows"), *[a for m in measures for a in m.aggregates()]]
+    scored = [m for m in measures if m.rule == "outliers" and m.param == "zscore"]
+
+    def late(row: Row) -> dict[str, Column]:
+        known = {m: Outliers(stats=tuple(F.lit(row[f"{m.key}_{k}"]).cast(t) for k, t in (("n", "bigint"), ("mean", "double"), ("sd", "double")))) for m in scored}
+        found = {m.key: m.predicate(known[m]) for m in scored}
+        return {k: p for k, p in found.items() if p is not None}
+
+    found = fences_in_two_scans(df, list(dict.fromkeys(m.column for m in wanted)), first, late)
+    out.update({m.key: Outliers(fences=found.fences[m.column]) for m in wanted})
+    out.known = {**found.first, **found.late, **{m.key: found.beyond[m.column] for m in wanted}}
+    out.names = tuple(m.key for m in measures)
+    return out
 
 
 def with_scores(first: Column, measures: Sequence[Measure], fences: dict[str, Outliers]) -> dict[str, Outliers]:
@@ -321,10 +343,13 @@ def measure(
 ) -> DataFrame:
     """All counts of all measures in one row, with ``n_rows`` and any extra aggregates.
 
-    One scan for most rules. Outliers take a second scan that
-    reads the first one's row as a scalar subquery; uniqueness one each, as its
-    shuffle is by the column's values.
+    One scan for most rules. ``zscore`` takes a second scan that reads the first
+    one's row as a scalar subquery; uniqueness one each, as its shuffle is by the
+    column's values. With ``iqr`` rules, the two scans of :func:`find_fences`
+    have answered all rules but uniqueness.
     """
+    if getattr(fences, "known", None) and fences.names == tuple(m.key for m in measures):
+        return _with_repeats(df, measures, _from_known(df, measures, fences, extra))
     wide = first_pass(df, measures, extra)
     second = [m for m in measures if m.rule == "outliers"]
     if second:
@@ -333,6 +358,18 @@ def measure(
         known = with_scores(seen, second, fences)
         late = [a for m in second for a in m.late_aggregates(seen, known.get(m.key, Outliers()))]
         wide = df.select("*", first).agg(*late).select("*", first).select("*", f"{FIRST}.*").drop(FIRST)
+    return _with_repeats(df, measures, wide)
+
+
+def _from_known(df: DataFrame, measures: Sequence[Measure], fences: Fences, extra: Sequence[Column]) -> DataFrame:
+    """Measures that are known already as one row; only ``extra`` needs another look."""
+    silent = [m.key for m in measures if m.rule == "outliers" and m.key not in fences.known]
+    values = {**fences.known, **dict.fromkeys(silent, 0)}
+    lits = [F.lit(v).cast("double" if isinstance(v, float) or k.endswith(("_m2", "_skew", "_kurt", "_mean", "_sd")) else "bigint").alias(k) for k, v in values.items()]
+    return (df.agg(*extra) if extra else df.sparkSession.range(1).drop("id")).select("*", *lits)
+
+
+def _with_repeats(df: DataFrame, measures: Sequence[Measure], wide: DataFrame) -> DataFrame:
     repeats = []
     for m in measures:
         if m.rule == "unique":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +13,23 @@ from pyspark.sql import functions as F
 from plumbline.llm.store import map_batches, slices
 
 BUCKETS = 1 << 15
-MAX_LANGS = 1000
+#: Numbers in a model, languages x buckets: 64 MB, so that it fits the driver and every task whatever the data.
+MOST_CELLS = 1 << 23
+#: Characters that are counted at once.
+WINDOW = 250_000
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def gram_buckets(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
+def gram_buckets(padded: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all character 2- and 3-grams, and where each text's begin (one more entry than texts).
 
-    Texts are lower-cased and padded with a blank on both sides, so every text has at least one gram.
+    Texts have two characters at least: they come lower-cased and padded with a blank on both sides.
     """
-    padded = [f" {t.lower()} " for t in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum([len(p) for p in padded])
     shift = np.uint32(32 - int(buckets).bit_length() + 1)
@@ -44,12 +51,34 @@ def gram_buckets(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
     return grams[used].astype(np.int64), np.concatenate([[0], counts[ends]])
 
 
+def gram_counts(texts: list[str], buckets: int = BUCKETS, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse counts of grams: rows (numbers of texts, ascending), buckets and counts, a window of characters at a time.
+
+    A text longer than a window is counted in parts that overlap by the two characters of the grams between them.
+    """
+    for a, b in slices(texts, window):
+        own = [f" {t.lower()} " for t in texts[a:b]]
+        if b - a > 1 or len(own[0]) <= 2 * window:
+            grams, starts = gram_buckets(own, buckets)
+            keys, n = np.unique(np.repeat(np.arange(a, b), np.diff(starts)) * buckets + grams, return_counts=True)
+            yield keys // buckets, keys % buckets, n
+            continue
+        for at in range(0, len(own[0]) - 1, window):
+            part = own[0][at : at + window + 2]
+            n = np.bincount(gram_buckets([part], buckets)[0], minlength=buckets)
+            if at + window + 1 < len(own[0]):  # the last pair begins the next part
+                n[gram_buckets([part[-2:]], buckets)[0]] -= 1
+            bucket = np.flatnonzero(n)
+            yield np.full(len(bucket), a), bucket, n[bucket]
+
+
 def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-probability matrix (languages x buckets).
 
     All labelled rows are counted on the executors: a task sends at most one row per language and bucket, and sums
     are combined before the shuffle. Rows with a null text or language are not learned from; with none left, the
-    model is empty. The matrix has languages x buckets numbers; more than ``MAX_LANGS`` languages raise an error.
+    model is empty. Repeated rows count as often as they occur. The matrix has languages x buckets numbers; more than
+    ``MOST_CELLS`` raise an error that asks for fewer buckets.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
 
@@ -62,19 +91,23 @@ def fit_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                 for lang, text in zip(langs[a:b], texts[a:b], strict=True):
                     by.setdefault(lang, []).append(text)
                 for lang, own in by.items():
-                    grams, _ = gram_buckets(own, buckets)
-                    sums[lang] = sums.get(lang, 0) + np.bincount(grams, minlength=buckets)
+                    total = sums.setdefault(lang, np.zeros(buckets, dtype=np.int64))
+                    for _, bucket, n in gram_counts(own, buckets):
+                        np.add.at(total, bucket, n)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
     table = map_batches(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    most = MOST_CELLS // buckets
+    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(most + 1).collect())
+    if len(langs) > most:
+        raise ValueError(f"more than {most} languages with {buckets} buckets: ask for fewer buckets")
     counts = np.full((len(langs), buckets), alpha)
-    found = table.toPandas()  # at most languages x buckets rows
-    np.add.at(counts, ([langs.index(x) for x in found["lang"]], found["bucket"].to_numpy()), found["n"].to_numpy())
+    if langs:
+        place = (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("int").alias("place")
+        found = table.select(place, "bucket", "n").toPandas()  # at most languages x buckets rows of numbers
+        np.add.at(counts, (found["place"].to_numpy(), found["bucket"].to_numpy()), found["n"].to_numpy())
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)) if langs else counts
 
 
@@ -94,11 +127,13 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray], id_co
             texts = batch.column("text").to_pylist()
             said, scores = ["und"] * len(texts), np.zeros(len(texts))
             for a, b in slices(texts):
-                own = [k for k in range(a, b) if langs and texts[k] and _LETTER.search(texts[k])]
+                own = [k for k in range(a, b) if langs and has_letter(texts[k])]
                 if not own:
                     continue
-                grams, starts = gram_buckets([texts[k] for k in own], by_bucket.shape[0])
-                sums = np.add.reduceat(by_bucket[grams], starts[:-1], axis=0)
+                sums = np.zeros((len(own), len(langs)))
+                for row, bucket, n in gram_counts([texts[k] for k in own], by_bucket.shape[0]):
+                    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                    sums[row[first]] += np.add.reduceat(by_bucket[bucket] * n[:, None], first, axis=0)
                 sums = np.exp(sums - sums.max(axis=1, keepdims=True))
                 sums /= sums.sum(axis=1, keepdims=True)
                 for k, best, p in zip(own, sums.argmax(axis=1), sums.max(axis=1), strict=True):

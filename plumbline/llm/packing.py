@@ -118,13 +118,13 @@ def best_fit(lengths: np.ndarray, tokens: int = 2048, documents: int = 2048, att
 def pack(pieces: DataFrame, tokens: int = 2048, documents: int = 2048, attention: int = 2048 * 2048, rule: str = "norm", group: int = GROUP) -> DataFrame:
     """``pieces`` (a table, as it is read more than once) with ``sequence_id`` and ``offset``.
 
-    Rows are dealt into groups of about ``group`` pieces by a hash of the row, so none depends on a source or a document,
-    and every group is packed by :func:`best_fit` on its own. Full pieces are sequences by themselves. Sequence numbers are
+    Rows are dealt into groups of about ``group`` pieces by a hash of the row and its place in the table, so none depends on a
+    source or a document, copies of one row are spread as well, and every group is packed by :func:`best_fit` on its own. Full pieces are sequences by themselves. Sequence numbers are
     unique, not consecutive. Repeated rows are placed in turn; an empty table stays empty.
     """
     groups = max(1, -(-pieces.count() // group))
     schema = pieces.schema.simpleString()[len("struct<") : -1]
-    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)))
+    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64(*pieces.columns, F.monotonically_increasing_id()), F.lit(groups)))
 
     def one(frame):
         frame = frame.sort_values(["length", *[c for c in frame.columns if c != "length"]], ascending=False)

@@ -40,12 +40,14 @@ ABSTAIN, NO, YES = "0", "1", "2"
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """Kind, start, end and whether the base patterns found it; candidates that overlap a base span are left to it."""
     out = [(*s, True) for s in base_pii(text)]
-    taken = sorted((a, b) for _, a, b, _ in out)
+    taken = bytearray(len(text))
+    for _, a, b, _ in out:
+        taken[a:b] = b"\1" * (b - a)
 
     def add(kind, a, b):
-        if not any(x < b and a < y for x, y in taken):
+        if taken.find(1, a, b) < 0:
             out.append((kind, a, b, False))
-            taken.append((a, b))
+            taken[a:b] = b"\1" * (b - a)
 
     if "@" in text or "(at)" in text or "[at]" in text:
         for m in _AT.finditer(text):

@@ -314,7 +314,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many:
     marks = whole.unionAll(_indexed(fetched.where("not many"), max(1, -(-size // INDEX_BYTES)), length)).unionAll(_counted(fetched.where("many"), length))
     marks = keep(marks.where(F.size("found") > 0), "marks")
     hits = segs.join(marks, ["key", "seg"]).select("id", "print", F.transform("found", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + length - 1).alias("b"))).alias("r"))
-    by_text = hits.groupBy("id", "print").agg(F.flatten(F.collect_list("r")).alias("r"))
+    by_text = hits.groupBy("id", "print").agg(F.flatten(F.collect_set("r")).alias("r"))
     joined = own.alias("d").join(by_text.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.print") == F.col("m.print")), "left").select(F.col("d.id").alias("id"), "text", "r")
 
     def merge(batches):
@@ -334,24 +334,28 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many:
 
 
 def remove_repeats(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """From :func:`find_repeats`: id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of the bytes that stay."""
+    """From :func:`find_repeats`: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of the bytes that stay, and these as text.
+
+    ``kept_text`` has a replacement mark where a removed range ends inside a character.
+    """
 
     def run(batches):
         for batch in batches:
-            n_bytes, n_removed, n_spans, digests = [], [], [], []
+            n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data, at, digest = text.encode("utf-8", "surrogatepass"), 0, hashlib.sha256()
+                data, at, parts = text.encode("utf-8", "surrogatepass"), 0, []
                 for s in spans:
-                    digest.update(data[at : s["a"]])
+                    parts.append(data[at : s["a"]])
                     at = s["b"]
-                digest.update(data[at:])
+                left = b"".join([*parts, data[at:]])
                 n_bytes.append(len(data))
                 n_removed.append(sum(s["b"] - s["a"] for s in spans))
                 n_spans.append(len(spans))
-                digests.append(digest.hexdigest())
+                digests.append(hashlib.sha256(left).hexdigest())
+                kept.append(left.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())],
-                names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [batch.column(id_col), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())],
+                names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
             )
 
-    return map_batches(found, run, f"{id_col} {found.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(found, run, f"{id_col} {found.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from plumbline.llm.components import components
-from plumbline.llm.store import keep, map_batches, ship
+from plumbline.llm.store import keep, map_batches, ship, unused
 
 SEED, SHINGLE, BITS = 42, 3, 64
 
@@ -181,7 +181,8 @@ def one_of_each(docs: DataFrame, limit: int = 2, id_col: str = "doc_id", text_co
     It is the one with the smallest id, or with none if all ids are null; the fingerprint and then the text's digest settle
     ties, and exact repeats of that row are folded. An id that stands at texts of several components may stay once in each.
     """
-    digest, pair = F.unhex(F.sha2(F.col(text_col), 256)), ["own_id", "own_digest"]
+    digest, id_, print_ = F.unhex(F.sha2(F.col(text_col), 256)), unused("chosen_id", docs.columns), unused("chosen_digest", docs.columns)
+    pair = ["own_id", "own_digest"]
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), digest.alias("own_digest"))
     prints = keep(fingerprints(own, "own_id", "text", "own_digest"), "fingerprints")
     first = F.struct(F.col("own_id").isNull().alias("last"), "own_id", "fp", "own_digest")
@@ -192,7 +193,8 @@ def one_of_each(docs: DataFrame, limit: int = 2, id_col: str = "doc_id", text_co
     best = keep(best.alias("a").join(sizes.alias("b"), same).select("a.own_id", "a.own_digest", "n"), "survivors")
 
     def rows(chosen: DataFrame) -> DataFrame:
-        return docs.join(chosen, F.col(id_col).eqNullSafe(F.col("own_id")) & digest.eqNullSafe(F.col("own_digest")), "left_semi")
+        chosen = chosen.select(F.col("own_id").alias(id_), F.col("own_digest").alias(print_))
+        return docs.join(chosen, F.col(id_col).eqNullSafe(F.col(id_)) & digest.eqNullSafe(F.col(print_)), "left_semi")
 
     repeated = best.where("n > 1")
     if repeated.isEmpty():

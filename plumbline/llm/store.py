@@ -6,7 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -76,6 +76,14 @@ def uncollected() -> Iterator[None]:
             gc.enable()
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with lines before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def slices(texts: list, most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``most_chars`` characters each (a longer text is a range of its own)."""
     start = size = 0

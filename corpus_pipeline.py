@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.decontamination import drop_contaminated
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.secrets import redact
 from plumbline.llm.simhash import one_of_each
-from plumbline.llm.store import keep
+from plumbline.llm.store import keep, unused
 from plumbline.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
 
 
@@ -26,7 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = fit_toxicity(labelled_texts(docs, labels))
-    return score_toxicity(docs, model, score_col="toxicity_score").where("toxicity_score < 0.5").select(docs.columns)
+    score = unused("toxicity_score", docs.columns)
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -338,8 +338,8 @@ def rule_of(root: Element) -> dict:
 
     Elements named article, else main, are taken if they hold a third of the text outside links that does not stand apart.
     Else the rule goes down from the root as long as one container holds three fifths of that text; below the container it
-    ends at, parts that read the same on three pages or more, and lists that are mostly links, are left out if text of the
-    pages' own remains.
+    ends at, lists that are mostly links are left out, and so are parts that read the same on all of three pages or more if
+    they hold less text than those that differ.
     """
     total = _plain(root)
     for name in ("article", "main"):
@@ -353,24 +353,27 @@ def rule_of(root: Element) -> dict:
         if not heavy or at.plain * 5 > 2 * _plain(at):
             break
         at, path = heavy[0]
-    skip, own, kept = set(), 0, set()
+    steady, lists, kept = {}, set(), {}
 
     def look(e: Element, path: tuple[str, ...]) -> None:
-        nonlocal own
         for x in e.items:
             if x.apart:
                 continue
             here = path if x.label.startswith("(") else (*path, x.label)
             links, text = _linked(x), _plain(x)
-            if (root.met >= 3 and not x.optional and not x.repeated and text + links and _steady(x)) or (links > text and x.label.split(".")[0] in ("ul", "ol", "div", "section", "table")):
-                skip.add(here)
+            if links > text and x.label.split(".")[0] in ("ul", "ol", "div", "section", "table"):
+                lists.add(here)
+            elif root.met >= 3 and x.met >= root.met and not x.optional and not x.repeated and text and _steady(x):
+                steady[here] = steady.get(here, 0) + text
             else:
-                own += x.plain
-                kept.add(here)
+                kept[here] = kept.get(here, 0) + x.plain
                 look(x, here)
 
     look(at, path)
-    return {"take": [path], "skip": sorted(skip - kept) if own + at.plain else []}
+    own = at.plain + sum(kept.values())
+    # where most of the text is the same everywhere, pages are copies of each other rather than framed by it
+    skip = {*(lists if own + sum(steady.values()) else ()), *(steady if sum(steady.values()) < own else ())}
+    return {"take": [path], "skip": sorted(skip - set(kept))}
 
 
 def _linked(e: Element) -> int:

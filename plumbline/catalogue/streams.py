@@ -15,6 +15,7 @@ from plumbline.model import Check, ColumnRule, Defaults, Suite, Tier
 from plumbline.sources import Connection
 from plumbline.streaming import jobs
 from plumbline.streaming.alerts import read_events, sustained_alerts
+from plumbline.streaming.windows import validate_windows
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 RULES = [
@@ -113,6 +114,54 @@ def stream_window_null_rate(t: Tables) -> DataFrame:
     return zoneless(table(t, counted, "window-null-rate"), "window_start", "window_end")
 
 
+def closed(inner: str) -> str:
+    """DuckDB: the days that a watermark of one hour has passed, as ``d``, with every row's own columns."""
+    return f"""(SELECT * FROM (SELECT *, date_trunc('day', ts)::TIMESTAMP AS d, max(ts) OVER () AS newest FROM events) WHERE d + INTERVAL 1 DAY <= newest - INTERVAL 1 HOUR) {inner}"""
+
+
+def judged(t: Tables, rules: list[ColumnRule], name: str) -> DataFrame:
+    path = fresh_dir(t.spark, name)
+    finish(validate_windows(events(t), rules, "ts", "1 day", "1 hour", f"{path}/data", f"{path}/checkpoint"))
+    return zoneless(t.spark.read.parquet(f"{path}/data").drop("batch"), "window_start", "window_end")
+
+
+@query(
+    "stream_window_unique",
+    f"""SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, count(*) AS n_rows, count(user_id) - count(DISTINCT user_id) AS user_id_unique,
+               count(event_id) - count(DISTINCT event_id) AS event_id_unique, count(*) FILTER (WHERE value < 0 OR value > 150) AS value_range
+        FROM {closed("")} GROUP BY d""",
+)
+def stream_window_unique(t: Tables) -> DataFrame:
+    return judged(t, [ColumnRule("user_id", unique=True), ColumnRule("event_id", unique=True), ColumnRule("value", range=(0, 150))], "window-unique")
+
+
+@query(
+    "stream_window_outliers",
+    f"""WITH e AS (SELECT * FROM {closed("")}),
+             s AS (SELECT d, avg(value) AS mean, stddev_pop(value) AS sd, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3,
+                          quantile_cont(user_id, 0.25) AS u1, quantile_cont(user_id, 0.75) AS u3 FROM e GROUP BY d)
+        SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, count(*) AS n_rows,
+               count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS value_outliers,
+               count(*) FILTER (WHERE user_id < u1 - 1.5 * (u3 - u1) OR user_id > u3 + 1.5 * (u3 - u1)) AS user_id_outliers
+        FROM e JOIN s USING (d) GROUP BY d""",
+)
+def stream_window_outliers(t: Tables) -> DataFrame:
+    return judged(t, [ColumnRule("value", outliers="iqr"), ColumnRule("user_id", outliers="iqr")], "window-outliers")
+
+
+@query(
+    "stream_window_normal",
+    f"""WITH e AS (SELECT *, value AS x, avg(value) OVER (PARTITION BY d) AS mu, stddev_pop(value) OVER (PARTITION BY d) AS sd FROM {closed("")}),
+             s AS (SELECT d, count(*) AS n_rows, count(x) AS n, avg((x - mu) ** 2) AS m2, avg((x - mu) ** 3) AS m3, avg((x - mu) ** 4) AS m4,
+                          count(*) FILTER (WHERE abs((x - mu) / sd) > 3) AS far FROM e GROUP BY d)
+        SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, n_rows, far AS value_outliers,
+               CASE WHEN n < 8 OR m2 = 0 THEN NULL WHEN exp(-(n / 6.0) * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4) / 2) < 0.05 THEN 1 ELSE 0 END AS value_distribution
+        FROM s""",
+)
+def stream_window_normal(t: Tables) -> DataFrame:
+    return judged(t, [ColumnRule("value", outliers="zscore", distribution="normal")], "window-normal")
+
+
 @query(
     "stream_sliding_volume",
     """SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, count(*) AS n_rows

@@ -158,6 +158,10 @@ class Measure:
             return seen & outliers.predicate(col.cast("double"))
         return None
 
+    def counted_rows(self) -> Column:
+        """True on the rows that an element-wise rule counts; for ``null_rate`` those without a value."""
+        return ~present(self.value, self.dtype) if self.rule == "null_rate" else self.predicate()
+
     @property
     def number(self) -> Column:
         """The values a statistical rule works on: finite numbers, else NULL."""

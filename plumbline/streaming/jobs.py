@@ -126,7 +126,8 @@ def window_rules(stream: DataFrame, rules: Sequence[ColumnRule], time: str, widt
     """Violations of rules per tumbling event-time window: counts of offending rows, nulls counted where their share is too large.
 
     Rules that need all of a window's values at once (``unique``, ``outliers``,
-    ``distribution``) and columns the stream does not have raise ``ValueError``.
+    ``distribution``; see :func:`plumbline.streaming.windows.validate_windows`) and
+    columns the stream does not have raise ``ValueError``.
     """
     missing = missing_columns(rules, stream.schema, "window")
     if missing:

@@ -94,14 +94,18 @@ def tier_error_non_boolean(t: Tables) -> DataFrame:
             UNION ALL SELECT 'rest', 'mod', negative = 0 FROM (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS negative FROM orders)
             UNION ALL SELECT 'plain_rest', 'pmod', negative = 0 FROM (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS negative FROM orders)
             UNION ALL SELECT 'untaken', '/', negative = 0 FROM (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS negative FROM orders)
-            UNION ALL SELECT 'sound', '/', n = 0 FROM (SELECT count(*) AS n FROM orders))""",
+            UNION ALL SELECT name, '/', n = 0 FROM (SELECT count(*) AS n FROM orders),
+                (VALUES ('sound'), ('quoted_name'), ('exponent'), ('branches'), ('remark')) c(name)
+            UNION ALL SELECT 'branches_zero', '/', negative = 0 FROM (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS negative FROM orders))""",
 )
 def tier_error_div_zero(t: Tables) -> DataFrame:
-    totals = t.orders.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") < 0).alias("negative"))
+    totals = t.orders.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") < 0).alias("negative"), F.lit(1).alias("n/a"))
     conditions = {
         "divide": "row.n / row.negative < 1", "modulo": "row.n % row.negative == 0",
         "whole": "row.n div row.negative == 0", "rest": "mod(row.n, row.negative) == 0", "plain_rest": "pmod(row.n, (row.negative * 1)) == 0",
         "untaken": "row.n < 0 and row.n / (row.negative * 2) > 1", "sound": "row.negative / row.n > 1",
+        "quoted_name": "row.`n/a` > 1 and row.n < 0", "exponent": "row.n / 1e-3 < 1", "branches": "row.n / case when row.n > 0 then 2 else 1 end < 0",
+        "remark": "row.n % 3 == 7 -- row.n / 0", "branches_zero": "row.n / case when row.n < 0 then 2 else row.negative end < 0",
     }
     return _evaluated(totals, [_check(name, fail=when) for name, when in conditions.items()])
 

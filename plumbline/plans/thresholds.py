@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from datetime import datetime
+from typing import Any
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 from plumbline.functions.normalise import type_error_row
 from plumbline.functions.text import column, finite, row_json
@@ -67,22 +69,43 @@ def typed_ages(ctx: DataFrame, when: str) -> str:
     return out
 
 
+# Division nodes of a parsed expression, and functions that divide by their second argument, with their signs.
+_DIVISIONS = {"Divide": "/", "Remainder": "%", "IntegralDivide": "div", "Pmod": "pmod"}
+_DIVIDING = ("mod", "pmod", "div")
+
+
+def _parts(items) -> list:
+    iterator, out = items.iterator(), []
+    while iterator.hasNext():
+        out.append(iterator.next())
+    return out
+
+
+def _divisions(spark: SparkSession, when: str) -> list[tuple[str, Any]]:
+    """Each division of a condition as its sign and the parsed expression it divides by, innermost first."""
+    found = []
+
+    def walk(node) -> None:
+        children, kind = _parts(node.children()), node.getClass().getSimpleName()
+        for child in children:
+            walk(child)
+        if kind in _DIVISIONS:
+            found.append((_DIVISIONS[kind], children[1]))
+        elif kind == "UnresolvedFunction" and len(children) == 2 and _parts(node.nameParts())[-1].lower() in _DIVIDING:
+            found.append((_parts(node.nameParts())[-1].lower(), children[1]))
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parseExpression(when))
+    return found
+
+
 def divisors(when: str) -> list[tuple[str, str]]:
-    """Each ``/``, ``%``, ``div``, ``mod`` or ``pmod`` of a condition with the text it divides by, innermost first."""
-    code, found = _code(when), []
-    for match in re.finditer(r"\bp?mod\s*\(", code, re.IGNORECASE):
-        arguments = _arguments(when, code, match.end() - 1)
-        if len(arguments) == 2:
-            found.append((match[0].rstrip("( ").lower(), arguments[1]))
-    for match in re.finditer(r"[/%]|\bdiv\b", code, re.IGNORECASE):
-        operand = re.compile(r"\s*[-+]?\s*(?:[\w.]+|(?=\())").match(code, match.end())
-        if operand is None:
-            continue
-        end = operand.end()
-        while end < len(code) and code[end] in "([":
-            end = _closing(code, end) + 1
-        found.append((match[0], when[match.end() : end].strip()))
-    return sorted(found, key=lambda pair: len(pair[1]))
+    """Each ``/``, ``%``, ``div``, ``mod`` or ``pmod`` of a condition with what it divides by, innermost first."""
+    return [(sign, expression.sql()) for sign, expression in _divisions(SparkSession.active(), when)]
+
+
+def _is_zero(spark: SparkSession, expression) -> Column:
+    """Whether a parsed expression is zero, as a column that any frame may resolve."""
+    return ClassicColumn(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression)).try_cast("double") == F.lit(0.0)
 
 
 def order_keys(df: DataFrame, order_by: Sequence[str] | None) -> list[Column]:
@@ -155,12 +178,12 @@ def condition(ctx: DataFrame, when: str) -> tuple[Column, Column]:
     error = None
     if mentions(when, "row") and "row" in ctx.columns:
         error = F.when(F.col("n_rows") == 0, F.lit("`when` reads `row` but the result has no rows"))
-    for sign, text in divisors(when):
+    for sign, expression in _divisions(ctx.sparkSession, when):
+        zero = _is_zero(ctx.sparkSession, expression)
         try:
-            ctx.select(F.expr(f"try_cast(({text}) AS DOUBLE) = 0D"))
-        except (AnalysisException, ParseException):
-            return F.lit(f"cannot read the divisor of `{sign}`; put it in brackets"), F.lit(False)
-        zero = F.expr(f"try_cast(({text}) AS DOUBLE) = 0D")
+            ctx.select(zero)
+        except AnalysisException:  # it speaks of the elements of an array
+            return F.lit(f"cannot judge the divisor of `{sign}`: it changes from element to element"), F.lit(False)
         words = F.lit(f"division by zero (`{sign}` with a zero divisor)")
         error = F.when(zero, words) if error is None else error.when(zero, words)
     fires = F.expr(when).cast("boolean")
@@ -185,11 +208,25 @@ def tier_verdict(ctx: DataFrame, check: Check) -> tuple[Column, Column]:
 
 
 def evaluate(df: DataFrame, check: Check, as_of: datetime | None = None) -> DataFrame:
-    """One row: ``check, status, detail, sample`` for a check with tiers."""
+    """One row: ``check, status, detail, sample`` for a check with tiers.
+
+    Evaluated here, so that a condition or a query that fails while it runs is
+    an ERROR like any other.
+    """
     failed = type_error_row(df, check.name, ERROR)
     if failed is not None:
         return failed
     register_functions(df.sparkSession, as_of)
+    schema = "check string, status string, detail string, sample array<string>"
+    try:
+        got = tuple(_evaluated(df, check, as_of).first())
+    except Exception as err:  # noqa: BLE001 - whatever stops a check is its result
+        text = err.getMessage() if hasattr(err, "getMessage") else str(err)
+        got = (check.name, ERROR, (text or type(err).__name__).splitlines()[0], [])
+    return df.sparkSession.createDataFrame([got], schema)
+
+
+def _evaluated(df: DataFrame, check: Check, as_of: datetime | None) -> DataFrame:
     row, sample = needs(check)
     ctx = context(df, check.order_by, row, sample, as_of)
     status, detail = tier_verdict(ctx, check)

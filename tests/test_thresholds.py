@@ -97,3 +97,23 @@ def test_reading_conditions():
 def test_bad_checks(make):
     with pytest.raises(ValueError):
         make()
+
+
+def test_divisors_come_from_the_parsed_condition(spark):
+    assert divisors("row.`a/b` > 1") == []
+    assert [s for s, _ in divisors("row.a / 1e-3 > 1 /* x / y */ -- z / 0")] == ["/"]
+    assert [s for s, _ in divisors("mod(a, b) + c div d + pmod(e, f % g) / case when h then 1 else 0 end")] == ["mod", "div", "%", "pmod", "/"]
+
+
+@pytest.mark.parametrize(("when", "status"), [
+    ("row.`a/b` > 1", "FAIL"), ("row.a / 1e-3 > 1", "FAIL"), ("row.a / case when row.a > 5 then 1 else 2 end > 1", "FAIL"), ("row.a % 3 == 0 -- x / 0", "FAIL"),
+    ("row.a / case when row.a > 5 then 0 else 2 end > 1", "ERROR"), ("row.a / row.`zero` > 1", "ERROR"), ("row.a > 1 or row.a / row.zero > 1", "ERROR"),
+    ("exists(array(1, 2), x -> row.a / x > 1)", "ERROR"), ("cast(row.t as int) > 1", "ERROR"), ("row.a / cast(row.t as int) > 1", "ERROR"),
+])
+def test_divisions_and_casts_in_every_form(spark, when, status):
+    df = spark.createDataFrame([(9, 3, 0, "word")], "a int, `a/b` int, zero int, t string")
+    assert verdict_of(df, when) == status
+
+
+def verdict_of(df, when):
+    return evaluate(df, Check("t", "", fail=when), NOW).first()["status"]

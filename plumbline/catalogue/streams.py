@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.catalogue.alerts import EVENT_SQL, history, suite
+from plumbline.catalogue.alerts import EVENT_SQL, HISTORY_SQL, history, suite
 from plumbline.catalogue.registry import Tables, query
 from plumbline.functions.lineage import fresh_dir
 from plumbline.model import Check, ColumnRule, Defaults, Suite, Tier
@@ -195,7 +195,25 @@ def stream_sustained_alerts(t: Tables) -> DataFrame:
         runs.where(part).write.mode("append").parquet(f"{path}/history")
         arriving = jobs.read_stream(t.spark, f"{path}/history", "check string, run_at timestamp_ntz, status string, detail string")
         finish(sustained_alerts(arriving, suite(t), f"{path}/out", f"{path}/checkpoint"))
-    return read_events(t.spark, f"{path}/out").drop("batch")
+    return read_events(t.spark, f"{path}/out")
+
+
+LATE_SQL = EVENT_SQL + f""" AND s.run_at <= (SELECT max(run_at) - INTERVAL 90 MINUTE FROM ({HISTORY_SQL}))"""
+
+
+@query("stream_late_alerts", LATE_SQL.replace("WHERE s.recovered OR", "WHERE (s.recovered OR").replace(">= c.sustained_secs)", ">= c.sustained_secs))"))
+def stream_late_alerts(t: Tables) -> DataFrame:
+    """Runs arrive up to an hour late, in three micro-batches of mixed hours; events are those of the ordered history."""
+    path, runs = fresh_dir(t.spark, "late-alerts"), history(t)
+    first, last = F.lit("2024-01-10 03:00:00").cast("timestamp_ntz"), F.lit("2024-01-20 16:00:00").cast("timestamp_ntz")
+    late = F.pmod(F.hash("check", "run_at"), F.lit(2)) == 0  # half of a batch's newest runs come with the next
+    hour = F.expr("INTERVAL 1 HOUR")
+    batch = F.when((F.col("run_at") < first - hour) | ((F.col("run_at") < first) & ~late), 0).when((F.col("run_at") < last - hour) | ((F.col("run_at") < last) & ~late), 1).otherwise(2)
+    for part in range(3):
+        runs.where(batch == part).write.mode("append").parquet(f"{path}/history")
+        arriving = jobs.read_stream(t.spark, f"{path}/history", "check string, run_at timestamp_ntz, status string, detail string")
+        finish(sustained_alerts(arriving, suite(t), f"{path}/out", f"{path}/checkpoint", delay="90 minutes"))
+    return read_events(t.spark, f"{path}/out")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")

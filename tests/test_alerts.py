@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.lineage import fresh_dir
 from plumbline.plans import alerts
 from plumbline.streaming import jobs
-from plumbline.streaming.alerts import read_events, sustained_alerts
+from plumbline.streaming.alerts import open_streaks, read_events, sustained_alerts
 
 START = datetime(2024, 1, 1)
 SCHEMA = "check string, run_at timestamp_ntz, status string, detail string"
@@ -125,3 +125,22 @@ def test_stream_over_several_batches(spark):
         sustained_alerts(stream, suite, f"{path}/out", f"{path}/checkpoint").awaitTermination(120)
     got = sorted((r["check"], r["run_at"], r["status"]) for r in read_events(spark, f"{path}/out").collect())
     assert got == step_by_step(rows, SUSTAINED)[1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_runs_that_arrive_out_of_order_within_the_delay_are_taken_in_order(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(check, START + timedelta(minutes=10 * k + shift), rng.choice(["PASS", "FAIL", "FAIL", "ERROR"]), "d") for k in range(60) for shift, check in enumerate("ab")]
+    rows.sort(key=lambda r: r[1] + timedelta(minutes=rng.randrange(50)))  # nothing is overtaken by more than 50 minutes
+    rows += [("end", START + timedelta(days=2), "FAIL", "d")]
+    suite = spark.createDataFrame([("a", 1200, None), ("b", None, "ops"), ("end", None, None)], SUITE)
+    path = str(tmp_path)
+    for lo, hi in ((0, 37), (37, 38), (38, 90), (90, len(rows))):
+        spark.createDataFrame(rows[lo:hi], SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = jobs.read_stream(spark, f"{path}/in", SCHEMA)
+        sustained_alerts(stream, suite, f"{path}/out", f"{path}/checkpoint", delay="1 hour").awaitTermination(200)
+    got = sorted((r["check"], r["run_at"], r["status"]) for r in read_events(spark, f"{path}/out").collect())
+    want = step_by_step(rows[:-1], {"a": 1200, "b": None})[1]
+    assert got == want and len(want) > 40
+    last = {c: max((r for r in rows[:-1] if r[0] == c), key=lambda r: r[1]) for c in "ab"}
+    assert {r["check"] for r in open_streaks(spark, f"{path}/checkpoint").collect()} == {c for c, r in last.items() if r[2] != "PASS"}

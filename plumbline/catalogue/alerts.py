@@ -6,6 +6,8 @@ hour, failing while the hour's mean value is above 60.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from plumbline.catalogue.registry import EVENTS_AS_OF, Tables, at, query, sql_at
 from plumbline.functions.lineage import fresh_dir
 from plumbline.functions.time import seconds_between
 from plumbline.plans import alerts
+from plumbline.plans.calendar import calendar_due, calendar_frame, missed_moments
 from plumbline.plans.results import results_latest as newest_results
 from plumbline.sources.sinks import append_results, read_results
 
@@ -122,6 +125,38 @@ def cadence_due(t: Tables) -> DataFrame:
     return alerts.cadence(suite(t), seen, now).select("check", "last_run", "due", F.round("overdue_secs", 3).alias("overdue_secs"))
 
 
+CALENDARS = {"click": "0 */6 * * *", "view": "30 9-17/4 * jan mon-fri", "signup": "0 0 1,15 * *", "purchase": "15 3 13 * fri", "error": "*/20 22-23,0 * * *"}
+MOMENTS_SQL = """
+    SELECT c."check", m AS expected_at FROM generate_series(TIMESTAMP '2024-01-03 05:10:00', TIMESTAMP '2024-01-27 21:59:00', INTERVAL 1 MINUTE) g(m),
+           (VALUES ('click'), ('view'), ('signup'), ('purchase'), ('error')) c("check")
+    WHERE CASE c."check" WHEN 'click' THEN minute(m) = 0 AND hour(m) % 6 = 0 WHEN 'view' THEN minute(m) = 30 AND hour(m) IN (9, 13, 17) AND month(m) = 1 AND dayofweek(m) BETWEEN 1 AND 5
+          WHEN 'signup' THEN minute(m) = 0 AND hour(m) = 0 AND day(m) IN (1, 15) WHEN 'purchase' THEN minute(m) = 15 AND hour(m) = 3 AND (day(m) = 13 OR dayofweek(m) = 5)
+          ELSE minute(m) % 20 = 0 AND hour(m) IN (22, 23, 0) END"""
+FROM, TO = datetime(2024, 1, 3, 5, 10), datetime(2024, 1, 27, 22)
+
+
+@query(
+    "cadence_calendar_missed",
+    f"""WITH e AS (SELECT *, coalesce(lead(expected_at) OVER (PARTITION BY "check" ORDER BY expected_at), {sql_at(TO)}) AS until FROM ({MOMENTS_SQL}))
+        SELECT e."check", expected_at, min(run_at) AS ran_at, count(run_at) = 0 AS missed
+        FROM e LEFT JOIN ({HISTORY_SQL}) h ON h."check" = e."check" AND run_at >= expected_at AND run_at < until GROUP BY e."check", expected_at""",
+)
+def cadence_calendar_missed(t: Tables) -> DataFrame:
+    return missed_moments(calendar_frame(t.spark, CALENDARS), history(t), at(FROM), at(TO))
+
+
+@query(
+    "cadence_calendar_due",
+    f"""WITH l AS (SELECT c."check", max(run_at) AS last_run FROM (SELECT DISTINCT "check" FROM ({MOMENTS_SQL})) c
+                   LEFT JOIN ({HISTORY_SQL}) h ON h."check" = c."check" AND run_at <= TIMESTAMP '2024-01-20 04:00:00' AND run_at > TIMESTAMP '2024-01-04 00:00:00' AND hour(run_at) < 23 GROUP BY c."check")
+        SELECT "check", last_run, last_run IS NULL OR EXISTS (SELECT 1 FROM ({MOMENTS_SQL}) m WHERE m."check" = l."check" AND expected_at > last_run
+               AND expected_at <= TIMESTAMP '2024-01-20 22:30:00') AS due FROM l""",
+)
+def cadence_calendar_due(t: Tables) -> DataFrame:
+    seen = history(t).where((F.col("run_at") <= at(datetime(2024, 1, 20, 4))) & (F.col("run_at") > at(datetime(2024, 1, 4))) & (F.hour("run_at") < 23))
+    return calendar_due(calendar_frame(t.spark, CALENDARS), seen, at(datetime(2024, 1, 20, 22, 30)))
+
+
 @query("results_latest", f"SELECT \"check\", max(run_at) AS run_at, arg_max(status, run_at) AS status FROM ({HISTORY_SQL}) GROUP BY \"check\"")
 def results_latest(t: Tables) -> DataFrame:
     return newest_results(history(t)).select("check", "run_at", "status")

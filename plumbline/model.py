@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from plumbline.functions.text import debug_list, plain_number, quote
+from plumbline.plans.calendar import parse_calendar
 from plumbline.functions.time import interval_secs
 
 # Names the rules accept and the defaults a check falls back to.
@@ -223,6 +224,9 @@ class Check:
         for key in ("every", "timeout"):
             text = getattr(self, key)
             if text is not None and interval_secs(text) is None:
+                if key == "every" and len(text.split()) == 5:
+                    parse_calendar(text)
+                    continue
                 raise ValueError(f"{where}: `{key}` cannot be read as an interval: {quote(str(text))}")
 
     @property
@@ -240,9 +244,15 @@ class Check:
         return interval_secs(self.timeout) if self.timeout else None
 
     @property
-    def every_secs(self) -> int:
+    def every_secs(self) -> int | None:
+        """The interval between runs; none for a check that runs by the calendar."""
         return interval_secs(self.every) if self.every else DEFAULT_EVERY_SECS
 
+    @property
+    def calendar(self) -> str | None:
+        """``every`` where it names moments (minute, hour, day, month, weekday) instead of an interval."""
+        return self.every if self.every and interval_secs(self.every) is None else None
+
     @property
     def sustained_secs(self) -> int | None:
         """Only the fail tier's ``sustained`` gates alerts."""

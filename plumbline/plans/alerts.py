@@ -128,11 +128,14 @@ def payload(events: DataFrame) -> DataFrame:
 
 
 def cadence(suite: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
-    """Per check of the suite: last run, whether it is due, and how late it is."""
+    """Per check of the suite with an interval: last run, whether it is due, and how late it is.
+
+    Checks that run by the calendar are judged by :mod:`plumbline.plans.calendar`.
+    """
     last = history.groupBy("check").agg(F.max("run_at").alias("last_run"))
     idle = seconds_between(F.col("last_run"), as_of)
     late = F.greatest(idle - F.col("every_secs"), F.lit(0.0))
-    return suite.select("check", "every_secs").join(last, "check", "left").select(
+    return suite.where("every_secs IS NOT NULL").select("check", "every_secs").join(last, "check", "left").select(
         "check", "every_secs", "last_run",
         F.coalesce(idle >= F.col("every_secs"), F.lit(True)).alias("due"), late.alias("overdue_secs"),
     )

@@ -37,18 +37,27 @@ def describe_columns(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Da
 
 
 def describe_schema(spark: SparkSession, schema: str | None = None) -> DataFrame:
-    """Columns of every table and view the session sees, or of one schema."""
+    """Columns of every table and view the session sees, or of one schema.
+
+    One that cannot be resolved, say a view of a dropped table, is one row with
+    ordinal 0, no column, and the error in place of a type.
+    """
     if schema is not None:
         safe_name(schema, "schema")
     databases = [schema] if schema else [d.name for d in spark.catalog.listDatabases() if d.name not in SYSTEM_SCHEMAS]
     names: dict[str, DataFrame] = {}
+    broken = []
     for database in databases:
         for table in spark.catalog.listTables(database):
             if table.isTemporary and schema is not None:
                 continue
             full = table.name if table.isTemporary else f"{database}.{table.name}"
-            names[full] = spark.table(full)
-    return describe_columns(spark, names)
+            try:
+                names[full] = spark.table(full)
+            except Exception as err:  # noqa: BLE001 - one broken view must not end the listing
+                broken.append((full, 0, None, f"error: {first_line(err)}", None))
+    found = describe_columns(spark, names)
+    return found.unionAll(spark.createDataFrame(broken, found.schema)) if broken else found
 
 
 def grouped_by_table(columns: DataFrame) -> DataFrame:

@@ -160,10 +160,10 @@ def sliding_volume(stream: DataFrame, time: str, width: str, slide: str, delay:
 def silent_gaps(stream: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:
     """Activity sessions per key; a session's end is where the key fell silent.
 
-    Sessions are merged within each task before the shuffle, so a busy key
-    sends few rows.
+    Set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
+    in the session: sessions are then merged within each task before the
+    shuffle, so a busy key sends few rows.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = stream.withWatermark(time, delay).groupBy(F.col(key), F.session_window(time, gap).alias("w"))
     return sessions.agg(F.count(F.lit(1)).alias("n_rows")).select(
         key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_rows"

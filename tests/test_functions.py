@@ -102,3 +102,16 @@ def test_history_sink(spark):
     assert spark.read.json(f"{path}-json").where("name = 'a'").count() == 3
     sinks.write_yaml(history, f"{path}-yaml")
     assert spark.read.text(f"{path}-yaml").count() > 6
+
+
+def test_one_broken_view_does_not_end_the_listing(spark, tmp_path):
+    spark.sql(f"CREATE TABLE gone_table (id INT) USING parquet LOCATION '{tmp_path}/gone'")
+    spark.sql("CREATE VIEW broken_view AS SELECT id FROM gone_table")
+    spark.sql("CREATE TABLE whole_table (id INT, name STRING) USING parquet LOCATION '%s/whole'" % tmp_path)
+    spark.sql("DROP TABLE gone_table")
+    try:
+        rows = [(r["table_name"], r["ordinal"], r["column_name"]) for r in introspect.describe_schema(spark).where("table_name LIKE 'default.%'").collect()]
+        assert sorted(rows, key=str) == sorted([("default.broken_view", 0, None), ("default.whole_table", 1, "id"), ("default.whole_table", 2, "name")], key=str)
+    finally:
+        spark.sql("DROP VIEW IF EXISTS broken_view")
+        spark.sql("DROP TABLE IF EXISTS whole_table")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from plumbline.catalogue.registry import EVENTS_AS_OF, TABLES, Tables, at, query, sql_at
 from plumbline.functions import time
+from plumbline.functions.lineage import fresh_dir
 from plumbline.functions.normalise import normalise
 from plumbline.functions.text import row_text, value_text
 from plumbline.sources import Connection, open_connections, parquet_connection, static_connection
 from plumbline.sources.introspect import describe_columns, grouped_by_table, reachable, row_counts, sample_table
+from plumbline.sources.pages import read_pages, write_pages
 
 NOW = sql_at(EVENTS_AS_OF)
 
@@ -167,3 +169,14 @@ def fn_render(t: Tables) -> DataFrame:
 def report_row_text(t: Tables) -> DataFrame:
     joined = t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left").select("doc_id", "lang", "quality")
     return joined.select(row_text(joined.schema).alias("line"))
+
+
+ORDER_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "varchar", "o_totalprice": "double"}
+
+
+@query("source_paged", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice::DOUBLE AS o_totalprice FROM orders")
+def source_paged(t: Tables) -> DataFrame:
+    """The orders, delivered in pages of text and read back by their declared types."""
+    path = fresh_dir(t.spark, "paged")
+    write_pages(t.orders, f"{path}/orders", ORDER_TYPES)
+    return read_pages(t.spark, f"{path}/orders")

@@ -62,7 +62,7 @@ def java_pattern(pattern: str) -> str:
 def _is_time_text(text: Column) -> Column:
     """Whether text has an accepted timestamp form and names a real instant."""
     local = F.regexp_replace(F.regexp_replace(text, "[Tt]", " "), r"(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})?\z", "")
-    real = local.try_cast("timestamp_ntz").isNotNull()
+    real = F.regexp_replace(local, r":60\z", ":59").try_cast("timestamp_ntz").isNotNull()  # a leap second
     return (text.rlike(RFC3339_FORM) | text.rlike(LOCAL_FORM)) & real
 
 

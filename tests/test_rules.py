@@ -99,6 +99,8 @@ MOMENT = dt.datetime(2024, 1, 5, 6, 7, 8)
         ("string", "2024-01-05T06:07:08Z", {"string", "timestamp"}),
         ("string", "2024-01-05T06:07:08.123+02:00", {"string", "timestamp"}),
         ("string", "2024-01-05 06:07:08", {"string", "timestamp"}),
+        ("string", "2024-01-05T06:07:60Z", {"string", "timestamp"}),
+        ("string", "2024-01-05 06:60:07", {"string"}),
         ("string", "2024-02-31 06:07:08", {"string"}),
         ("string", "2024-01-05", {"string"}),
         ("boolean", True, {"bool"}),

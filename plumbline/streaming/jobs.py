@@ -180,11 +180,13 @@ def stream_orphans(stream: DataFrame, parents: DataFrame, key: str, parent_key:
 
     Adaptive execution does not split the joins of a stream, so rows with a NULL
     key skip the join, and both sides spread each key over ``SALTS`` partitions:
-    rows by a hash of their content, parents once for each.
+    rows by a hash of their content, parents once for each. Spark's estimate does
+    not know that these are ``SALTS`` times the parents, so the join is asked to
+    sort and merge: the driver would not hold a broadcast that seems small enough.
     """
     spread = F.pmod(F.xxhash64(*map(column, stream.columns)), F.lit(SALTS))
     keyed = stream.where(column(key).isNotNull()).withColumn("_salt", spread.cast("int"))
     known = parents.select(column(parent_key).alias("_key")).where("_key IS NOT NULL").distinct()
-    known = known.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    known = known.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))).hint("merge")
     lost = keyed.join(known, (keyed[key] == known["_key"]) & (keyed["_salt"] == known["_salt"]), "left_anti").drop("_salt")
     return lost.unionByName(stream.where(column(key).isNull()))

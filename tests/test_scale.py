@@ -193,6 +193,19 @@ def test_stream_orphans_of_null_and_hot_keys(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
 
 
+def test_stream_orphans_never_broadcast_the_spread_parents(spark, tmp_path, capsys):
+    source, parents = str(tmp_path / "in"), str(tmp_path / "parents")
+    spark.createDataFrame([(k, k) for k in range(40)] + [(40, None)], "id int, key int").write.parquet(source)
+    spark.range(30).write.parquet(parents)  # small enough for a broadcast
+    lost = jobs.stream_orphans(jobs.read_stream(spark, source, "id int, key int"), spark.read.parquet(parents), "key", "id")
+    run = jobs.write_table(lost, str(tmp_path / "out"), str(tmp_path / "cp"))
+    run.awaitTermination()
+    run.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(30, 41))
+
+
 def test_open_windows_are_recorded_when_asked_for(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 1 AS v").write.parquet(source)
